@@ -375,6 +375,36 @@ SCANS = Shape("orders", (
     "o_orderstatus AS payload",
 ))
 
+CONTROL_LABELS = Shape("customer", (
+    f"{block(C, 15)} AS page_id",
+    f"{C} AS label_idx",
+    f"concat('f', {text(f'{C} % 11')}) AS for_id",
+    f"{pick(C, [' Card number ', '', 'Your name', '  '])} AS label_text",
+))
+
+PHOTOS = Shape("part", (
+    f"{block(P, 10)} AS page_id",
+    f"{P} AS box_id",
+    f"cast(({P} * 37) % 1600 - 150 AS double) AS x",
+    f"cast(({P} * 53) % 1000 - 120 AS double) AS y",
+    f"cast(20 + ({P} * 29) % 300 AS double) AS w",
+    f"cast(20 + ({P} * 41) % 200 AS double) AS h",
+    "cast(1280 AS double) AS viewport_w",
+    "cast(720 AS double) AS viewport_h",
+))
+
+PAGE_META = Shape("customer", (
+    f"{C} AS page_id",
+    f"concat('#f', {text(C)}) AS selector",
+    "c_name AS label",
+    f"{pick(C, ['text_input', 'password_input', 'sensitive_input'])} AS type",
+    f"CASE {C} % 4 WHEN 0 THEN cast(2 AS double) WHEN 1 THEN cast(1.5 AS double) WHEN 2 THEN cast(1 AS double) ELSE cast(1.25 AS double) END AS dpr",
+    f"cast(({C} * 7) % 1501 AS double) AS viewport_w",
+    f"cast(700 + {C} % 3 AS double) AS viewport_h",
+    f"concat('https://site.example/', {text(C)}) AS url",
+    f"concat('Title ', {text(C)}) AS title",
+))
+
 SHAPES: dict[str, Shape] = {
     name.lower(): value for name, value in list(globals().items()) if isinstance(value, Shape)
 }
