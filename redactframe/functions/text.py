@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # ASCII white space; Spark's own trim() strips only U+0020.
@@ -33,6 +33,25 @@ def jvm_regex(pattern: str, ignore_case: bool = False) -> str:
     return ("(?i)" if ignore_case else "") + out
 
 
+def let(value: Column, body) -> Column:
+    """Bind an expression once and use it many times: ``body`` gets the bound value.
+
+    Repeated use of a costly expression inside CASE branches or lambdas would otherwise
+    evaluate it again at every mention.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def materialize(df: DataFrame, keep: list[str], **named: Column) -> DataFrame:
+    """Select ``keep`` plus computed columns, each evaluated exactly once per row.
+
+    A plain select would be merged into the filters and projections above it, which then
+    repeat a costly expression at every mention. A one-row generator is not merged.
+    """
+    row = F.struct(*[c.alias(n) for n, c in named.items()])
+    return df.select(*keep, F.inline(F.array(row)))
+
+
 def matches(text: Column, pattern: str, ignore_case: bool = False) -> Column:
     return text.rlike(jvm_regex(pattern, ignore_case))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from redactframe import rules
 from redactframe.functions.checksums import luhn_valid
-from redactframe.functions.text import any_match, first_present, matches, squash, trim, words
+from redactframe.functions.text import any_match, first_present, let, matches, materialize, squash, trim, words
 
 
 def selector() -> Column:
@@ -169,24 +169,13 @@ def classify_fields(controls: DataFrame) -> DataFrame:
     for key, patterns in rules.KEYWORD_KEYS:
         steps.append((any_match(F.col("all_text"), patterns, True), key, F.lit(f"keyword:{key}")))
 
-    decided = reduce(
-        lambda acc, s: acc.when(s[0], F.struct(F.lit(s[1]).cast("string").alias("key"), s[2].alias("reason"))),
-        steps[1:],
-        F.when(steps[0][0], F.struct(F.lit(None).cast("string").alias("key"), steps[0][2].alias("reason"))),
-    )
-    return d.select("page_id", "field_idx", decided.alias("d")).select(
-        "page_id", "field_idx", "d.key", "d.reason",
-        F.coalesce(F.col("d.key").isin(rules.SENSITIVE_FIELD_KEYS), F.lit(False)).alias("sensitive"),
-    )
-
-
-def label_rules(spark) -> DataFrame:
-    """The profile keys with their comparison forms, in list order (43 rows, fixed size)."""
-    import re
-
-    flat = lambda s: re.sub("[^a-z0-9]", "", s.lower())
-    rows = [(i, k, flat(k), flat(rules.PROFILE_LABELS.get(k, k))) for i, k in enumerate(rules.PROFILE_KEYS)]
-    return spark.createDataFrame(rows, "key_order int, key string, key_token string, label_token string")
+    step = reduce(lambda acc, i: acc.when(steps[i][0], i + 1), range(1, len(steps)), F.when(steps[0][0], 1))
+    keys = F.array(*[F.lit(key).cast("string") for _, key, _ in steps])
+    reasons = F.array(*[reason for _, _, reason in steps])
+    decided = materialize(d, ["page_id", "field_idx"], step=step)
+    return decided.select(
+        "page_id", "field_idx", F.get(keys, F.col("step") - 1).alias("key"), F.get(reasons, F.col("step") - 1).alias("reason")
+    ).withColumn("sensitive", F.coalesce(F.col("key").isin(rules.SENSITIVE_FIELD_KEYS), F.lit(False)))
 
 
 def clean_label(raw: Column) -> Column:
@@ -203,14 +192,6 @@ def resolve_label_expr(label: Column) -> Column:
     import re
 
     flat = lambda s: re.sub("[^a-z0-9]", "", s.lower())
-    cleaned = clean_label(label)
-    token = squash(cleaned)
-    blocked = (
-        (cleaned == "")
-        | matches(cleaned, rules.SKIP_LABELS, True)
-        | (token == "")
-        | matches(cleaned, rules.PROFILE_NEVER_STORE_KEY, True)
-    )
     exact: dict[str, str] = {}
     for k in rules.PROFILE_KEYS:
         for form in (flat(k), flat(rules.PROFILE_LABELS.get(k, k))):
@@ -221,17 +202,25 @@ def resolve_label_expr(label: Column) -> Column:
         F.struct(F.lit(k).alias("key"), F.lit(flat(k)).alias("a"), F.lit(flat(rules.PROFILE_LABELS.get(k, k))).alias("b"))
         for k in rules.PROFILE_KEYS
     ])
-    fuzzy = F.get(
-        F.filter(
+
+    def by_token(token: Column) -> Column:
+        fits = F.filter(
             table,
             lambda r: F.contains(r["a"], token) | F.contains(token, r["a"]) | F.contains(r["b"], token)
             | F.contains(token, r["b"]),
-        ),
-        F.lit(0),
-    )["key"]
-    return F.when(blocked, None).otherwise(
-        F.coalesce(F.element_at(lookup, token), F.when(F.length(token) >= 4, fuzzy))
-    )
+        )
+        fuzzy = F.when(F.length(token) >= 4, F.get(fits, F.lit(0))["key"])
+        return F.when(token != "", F.coalesce(F.element_at(lookup, token), fuzzy))
+
+    def by_label(cleaned: Column) -> Column:
+        blocked = (
+            (cleaned == "")
+            | matches(cleaned, rules.SKIP_LABELS, True)
+            | matches(cleaned, rules.PROFILE_NEVER_STORE_KEY, True)
+        )
+        return F.when(~blocked, let(squash(cleaned), by_token))
+
+    return let(clean_label(label), by_label)
 
 
 def photo_boxes(images: DataFrame) -> DataFrame:

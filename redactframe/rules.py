@@ -458,7 +458,7 @@ MIN_IMAGE_SIDE = 28
 ACTION_SELECTOR_CHARS, ACTION_VALUE_CHARS, ACTION_SUMMARY_CHARS, ACTION_URL_CHARS = 256, 2000, 500, 2048
 ACTION_KEY_CHARS = 50
 ACTION_COORD_MAX = 65535
-SELECTOR_SAFE = r"""^[\w#.[\]="':()>+ ,-]*$"""
+SELECTOR_SAFE = r"""^[\w#.\[\]="':()>+ ,-]*$"""
 # the actions whose bare objects are cut out of a reply
 REPLY_ACTIONS = (
     "click|type|write_code|scroll|navigate|done|fill_many|key_press|hover|extract_text|clear|focus|select|wait"

@@ -246,6 +246,7 @@ LABELS_SEEN = Shape("customer", (
 
 PROFILE_ENTRIES = Shape("customer", (
     f"{block(C, 8)} AS user_id",
+    f"{C} AS entry_idx",
     pick(C, ['Full Name', 'email', 'Phone', 'notes', 'City', 'Date of Birth', 'jobTitle', '_docSource:a', 'Guardian Name', 'skills', "Father's Name"])
     + " AS key",
     f"CASE WHEN {C} % 13 = 0 THEN '' WHEN {C} % 11 = 3 THEN 'met Asha Rao in Pune' ELSE concat(c_mktsegment, ' ', {text(f'{C} % 40')}) END AS value",
@@ -405,6 +406,35 @@ PAGE_META = Shape("customer", (
     f"concat('Title ', {text(C)}) AS title",
 ))
 
+STRUCT_ENTRIES = Shape("orders", (
+    f"{block(O, 200)} AS doc_id",
+    f"{O} AS pos",
+    f"CASE WHEN {O} % 31 = 0 THEN 'panRef' WHEN {O} % 37 = 0 THEN lpad('k', 65, 'k') WHEN {O} % 41 = 0 THEN '  ' "
+    f"WHEN {O} % 7 = 0 THEN concat(' key', {text(f'{O} % 150')}, ' ') ELSE concat('key', {text(f'{O} % 150')}) END AS key",
+    f"CASE WHEN {O} % 13 = 0 THEN '2345 6789 9012' WHEN {O} % 17 = 0 THEN lpad('v', 2001, 'v') WHEN {O} % 19 = 0 THEN ' ' ELSE concat(' v', {text(O)}) END AS value",
+    f"CASE WHEN {O} % 23 = 0 THEN 'number' ELSE 'string' END AS value_type",
+))
+
+TYPED_VALUES = Shape("orders", (
+    f"{O} AS row_id",
+    pick(O, ['dob', 'gender', 'city']) + " AS key",
+    pick(O, ['1/2/1999', 'M', ' Pune ', '03-11-2001', 'Woman', 'x', '12.12.1980', 'nonbinary', '', '1999-01-02', 'other', 'y']) + " AS value",
+))
+
+SKIPPED_KEYS = Shape("customer", (
+    f"{C} AS user_id",
+    pick(C, ['email', 'city', 'country', 'fullName', 'never']) + " AS key",
+))
+
+CLAIMS = Shape("orders", (
+    f"{O} AS claim_id",
+    f"{block(O, 80)} AS user_id",
+    pick(f"{O} * 3", ['Full name', 'Email', 'Phone number', 'City', '', 'Job Title', 'Father name', 'Notes']) + " AS label",
+    pick(f"{O} * 5", ['Full Name', 'email', 'phone', None, 'jobTitle', 'zzz', 'city', '', "Father's Name"]) + " AS profile_key",
+    "CASE " + f"{O} % 7 WHEN 0 THEN 'asha rao' WHEN 1 THEN 'x' WHEN 2 THEN ' INVENTED value ' WHEN 3 THEN 'and' ELSE concat("
+    + pick(block(O, 7), ['BUILDING ', 'machinery ', 'AUTOMOBILE ', 'Household ', 'FURNITURE ']) + f", {text(f'{O} % 40')}) END AS value",
+))
+
 SHAPES: dict[str, Shape] = {
     name.lower(): value for name, value in list(globals().items()) if isinstance(value, Shape)
 }
