@@ -364,7 +364,7 @@ RUNS = Shape("orders", (
 
 FILL_ITEMS = Shape("lineitem", (
     "l_orderkey AS action_id",
-    "cast(l_linenumber AS bigint) AS pos",
+    "(cast(l_linenumber AS bigint) * 10000000 + l_partkey) * 100000 + l_suppkey AS pos",
     pick("l_partkey", ['#a', ' #a ', '#b', '#c', '', '*bad*', '#d']) + " AS selector",
     f"CASE WHEN l_suppkey % 9 = 0 THEN NULL ELSE concat('v', {text('l_suppkey')}) END AS value",
 ))
