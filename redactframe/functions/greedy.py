@@ -20,20 +20,20 @@ from redactframe.functions.ordered import islands, with_next_match, with_previou
 from redactframe.session import cut_lineage
 
 MAX_FOLD = 1000
+SEGMENT_MS = 86_400_000
 
 
 def greedy_accept(
-    df: DataFrame, keys: list[str], ts: str, event: str, interval: int, segment: Column, max_fold: int = MAX_FOLD
+    df: DataFrame, keys: list[str], ts: str, event: str, interval: int, segment: int = SEGMENT_MS, max_fold: int = MAX_FOLD
 ) -> DataFrame:
     """Rows of df plus ``accepted`` (boolean) and ``last_accepted`` (ts that decided, null on the first).
 
     ``ts`` and ``event`` are long columns; ``event`` is unique per key and breaks ties.
-    ``segment`` is a deterministic, monotone function of ``ts`` (see functions.ordered).
+    ``segment`` is the width of the cuts in units of ``ts`` (see functions.ordered).
     """
     slim = df.select(*keys, F.col(ts).alias("__ts"), F.col(event).alias("__ev"))
     order = ["__ts", "__ev"]
-    seg = segment
-    timed = slim.withColumn("__seg_by", seg)
+    timed = slim.withColumn("__seg_by", F.floor(F.col("__ts") / segment))
     prev = with_previous(timed, keys, order, ["__ts"], F.col("__seg_by"))
     opens = F.col("prev___ts").isNull() | (F.col("__ts") - F.col("prev___ts") >= interval)
     run = islands(prev, keys, order, opens, "__run", F.col("__seg_by"))
@@ -59,23 +59,17 @@ def greedy_accept(
     accepted = single.unionByName(kept)
     long_runs = runs.filter(f"__n > {max_fold}")
     if not long_runs.isEmpty():
-        accepted = accepted.unionByName(_orbit(long_runs, keys, interval))
+        accepted = accepted.unionByName(_orbit(long_runs, keys, interval, segment))
 
     flags = accepted.select(*keys, F.col("__ev").alias(event), F.lit(True).alias("accepted"))
     marked = df.join(flags, [*keys, event], "left").withColumn("accepted", F.coalesce("accepted", F.lit(False)))
     # the latest accepted instant at or before each row: runs are cut by segment like everything else
-    at = marked.select(*keys, F.col(ts).alias("__ts"), F.col(event).alias("__ev"), "accepted", seg_alias(segment, ts).alias("__seg_by"))
+    at = marked.select(*keys, F.col(ts).alias("__ts"), F.col(event).alias("__ev"), "accepted").withColumn(
+        "__seg_by", F.floor(F.col("__ts") / segment))
     last = _last_accepted(at, keys)
     return marked.join(last.select(*keys, F.col("__ev").alias(event), "last_accepted"), [*keys, event])
 
 
-def seg_alias(segment: Column, ts: str) -> Column:
-    return segment if ts == "__ts" else F.floor(F.col(ts) / F.lit(SEGMENT_MS)).cast("long")
-
-
-SEGMENT_MS = 86_400_000
-
-
 def _last_accepted(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Max accepted ts strictly before each row, across segments."""
     marked = rows.withColumn("__acc", F.when(F.col("accepted"), F.col("__ts")))
@@ -85,7 +79,7 @@ def _last_accepted(rows: DataFrame, keys: list[str]) -> DataFrame:
     ).drop("__neg", "__negev", "__acc")
 
 
-def _orbit(rows: DataFrame, keys: list[str], interval: int) -> DataFrame:
+def _orbit(rows: DataFrame, keys: list[str], interval: int, segment: int) -> DataFrame:
     """Accepted events of long runs by pointer doubling; every round is a reliable checkpoint."""
     ids = [*keys, "__run"]
     events = rows.select(*ids, "__ts", F.lit(1).alias("__kind"), "__ev")
@@ -93,7 +87,7 @@ def _orbit(rows: DataFrame, keys: list[str], interval: int) -> DataFrame:
     both = events.unionByName(probes)
     target = F.when(F.col("__kind") == 1, F.col("__ev"))
     nxt = (
-        with_next_match(both, ids, ["__ts", "__kind", "__ev"], target, "__to", F.floor(F.col("__ts") / SEGMENT_MS))
+        with_next_match(both, ids, ["__ts", "__kind", "__ev"], target, "__to", F.floor(F.col("__ts") / segment))
         .filter("__kind = 0 AND __to IS NOT NULL")
         .select(*ids, F.col("__ev").alias("__from"), "__to")
     )

@@ -62,14 +62,14 @@ def risk_cache(visits: DataFrame, key: str, ts_ms: str, event: str, ttl_ms: int)
 
     The age counts from the last recomputation, so a busy tab still refreshes.
     """
-    d = greedy_accept(visits, [key], ts_ms, event, ttl_ms, day_of(F.col("__ts")))
+    d = greedy_accept(visits, [key], ts_ms, event, ttl_ms)
     return d.withColumnRenamed("accepted", "recomputed").withColumn(
         "report_ts", F.when(F.col("recomputed"), F.col(ts_ms)).otherwise(F.col("last_accepted"))).drop("last_accepted")
 
 
 def rate_limit(calls: DataFrame, key: str, ts_ms: str, event: str, interval_ms: int) -> DataFrame:
     """Accept at most one call per interval; a refused call learns how long to wait."""
-    d = greedy_accept(calls, [key], ts_ms, event, interval_ms, day_of(F.col("__ts")))
+    d = greedy_accept(calls, [key], ts_ms, event, interval_ms)
     wait = F.when(~F.col("accepted"), F.lit(interval_ms) - (F.col(ts_ms) - F.col("last_accepted")))
     return d.withColumn("retry_after_ms", wait).drop("last_accepted")
 

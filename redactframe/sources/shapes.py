@@ -273,7 +273,7 @@ GT_ELEMENTS = Shape("customer", (
 
 DETECTIONS = Shape("customer", (
     f"{block(C, 12)} AS page_id",
-    f"concat('#e', {text(f'({C} * 5) % 12')}) AS selector",
+    f"concat('#e', {text(f'({C} * 5) % 9')}) AS selector",
     f"CASE WHEN {C} % 4 = 3 THEN false ELSE true END AS fired",
 ))
 
@@ -406,6 +406,25 @@ PAGE_META = Shape("customer", (
     f"concat('Title ', {text(C)}) AS title",
 ))
 
+PREDICTED_BOXES = Shape("part", (
+    f"{block(P, 40)} AS image_id",
+    f"{P} AS pred_id",
+    f"cast(({P} * 37) % 300 + {P} % 9 AS double) AS x1",
+    f"cast(({P} * 53) % 200 + {P} % 7 AS double) AS y1",
+    f"cast(({P} * 37) % 300 + 22 + p_size AS double) AS x2",
+    f"cast(({P} * 53) % 200 + 19 + p_size AS double) AS y2",
+))
+
+RAW_FACES = Shape("part", (
+    f"{P} AS face_id",
+    f"cast(200 + ({P} * 97) % 2600 AS double) AS width",
+    f"cast(150 + ({P} * 61) % 1900 AS double) AS height",
+    f"cast(({P} * 13) % 100 AS double) / 100 AS ymin",
+    f"cast(({P} * 17) % 100 AS double) / 100 AS xmin",
+    f"cast(({P} * 13) % 100 + 8 AS double) / 100 AS ymax",
+    f"cast(({P} * 17) % 100 + 9 AS double) / 100 AS xmax",
+))
+
 STRUCT_ENTRIES = Shape("orders", (
     f"{block(O, 200)} AS doc_id",
     f"{O} AS pos",
