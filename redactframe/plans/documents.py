@@ -8,6 +8,7 @@ from redactframe import rules
 from redactframe.operators import documents as D
 from redactframe.plans import sqltext as q
 from redactframe.plans.registry import query
+from redactframe.sources import files
 from redactframe.sources.shapes import cte
 from redactframe.sources.tables import derived, table
 
@@ -144,3 +145,14 @@ def vault_contains(spark, sf):
         "CASE WHEN doc_id % 3 = 0 THEN ' x ' ELSE upper(substr(text, cast(1 + doc_id % 20 AS int), cast(4 + doc_id % 5 AS int))) END AS value",
     )
     return D.vault_contains(claims, D.vault_retention(_vault_input(spark, sf))).select("claim_id", "owner_id", "value")
+
+
+@query("small_images", oracle=f"{cte('image_headers')} SELECT image_id, true_width AS width, true_height AS height FROM image_headers WHERE kind <> 'gif' AND (true_width < 28 OR true_height < 28)")
+def small_images(spark, sf):
+    """Image headers built from table values; the sizes must come back out of the bytes."""
+    hex_of = lambda c, n: F.lpad(F.hex(c), n, "0")
+    png = F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), hex_of("true_width", 8), hex_of("true_height", 8), F.lit("0802000000"))
+    jpeg = F.concat(F.lit("FFD8FFE000104A46494600010100000100010000FFC4000500FFC0001108"), hex_of("true_height", 4), hex_of("true_width", 4), F.lit("03011100021101"))
+    body = F.unhex(F.when(F.col("kind") == "png", png).when(F.col("kind") == "jpeg", jpeg).otherwise("474946383961FFFF"))
+    images = derived(spark, sf, "image_headers").select("image_id", body.alias("content"))
+    return files.degenerate_images(images).select("image_id", "width", "height")

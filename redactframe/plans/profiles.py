@@ -307,3 +307,27 @@ def provenance_check(spark, sf):
     docs = table(spark, sf, "documents").selectExpr("cast(substr(source, 4) AS bigint) AS owner_id", "doc_id", "doc_id AS extracted_at", "text")
     vault = documents.vault_retention(docs)
     return matching.provenance(derived(spark, sf, "claims"), _profile(spark, sf), vault)
+
+
+def _best(src: str, want: str, keys: str, order: str) -> str:
+    """First key that correlates, then first name-like one, for the distinct wanted texts."""
+    return f"""SELECT user_id, wanted, min_by(key, o) AS key, min_by(value, o) AS value FROM (
+      SELECT w.user_id, w.wanted, p.key, p.value, CASE WHEN {corr('p.key', 'w.wanted')} THEN 0 WHEN {namelike('p.key')} AND {namelike('w.wanted')} THEN 1 END * 1000000000000 + p.{order} AS o
+      FROM (SELECT DISTINCT user_id, {want} AS wanted FROM {src}) w JOIN {keys} p ON p.user_id = w.user_id) WHERE o IS NOT NULL GROUP BY user_id, wanted"""
+
+
+@query("fill_rewrite", oracle=f"""{cte('claims', 'profile_entries', 'user_fields')}, {VAULT_TEXTS},
+ ff AS (SELECT user_id, label AS key, min_by(selector, field_idx) AS value, min(field_idx) AS ko FROM user_fields WHERE type <> 'password_input' AND label <> '' GROUP BY ALL),
+ tg AS ({_best('claims', 'label', 'ff', 'ko')}),
+ pl AS (SELECT c.claim_id, c.user_id, c.label, {q.trim('c.value')} AS proposed, tg.key AS field_label, tg.value AS selector FROM claims c JOIN tg ON tg.user_id = c.user_id AND tg.wanted = c.label WHERE c.label <> ''),
+ m1 AS ({match_sql('claims', 'label', True)}), m2 AS ({match_sql('pl', 'field_label', True)}),
+ k AS (SELECT pl.*, coalesce(m1.key, m2.key) AS pk, {q.trim('CASE WHEN m1.key IS NOT NULL THEN m1.value ELSE m2.value END')} AS own FROM pl
+   LEFT JOIN m1 ON m1.user_id = pl.user_id AND m1.wanted = pl.label LEFT JOIN m2 ON m2.user_id = pl.user_id AND m2.wanted = pl.field_label),
+ v AS (SELECT *, CASE WHEN coalesce(own, '') <> '' THEN own WHEN length(proposed) >= 2 AND (EXISTS (SELECT 1 FROM vault t WHERE t.owner_id = k.user_id AND contains(lower(t.text), lower(proposed)))
+   OR EXISTS (SELECT 1 FROM profile_entries p WHERE p.user_id = k.user_id AND contains(lower(p.value), lower(proposed)))) THEN proposed END AS value FROM k),
+ r AS (SELECT *, row_number() OVER (PARTITION BY user_id, selector ORDER BY claim_id) AS rn FROM v WHERE coalesce(value, '') <> '')
+ SELECT user_id, selector, claim_id, value, coalesce(pk, label) AS profile_key FROM r WHERE rn = 1""")
+def fill_rewrite(spark, sf):
+    docs = table(spark, sf, "documents").selectExpr("cast(substr(source, 4) AS bigint) AS owner_id", "doc_id", "doc_id AS extracted_at", "text")
+    return matching.rewrite_fill(
+        derived(spark, sf, "claims"), derived(spark, sf, "user_fields"), _profile(spark, sf), documents.vault_retention(docs))

@@ -425,6 +425,13 @@ RAW_FACES = Shape("part", (
     f"cast(({P} * 17) % 100 + 9 AS double) / 100 AS xmax",
 ))
 
+IMAGE_HEADERS = Shape("orders", (
+    f"{O} AS image_id",
+    f"cast(8 + ({O} * 37) % 900 AS bigint) AS true_width",
+    f"cast(6 + ({O} * 53) % 700 AS bigint) AS true_height",
+    f"CASE {O} % 3 WHEN 0 THEN 'png' WHEN 1 THEN 'jpeg' ELSE 'gif' END AS kind",
+))
+
 STRUCT_ENTRIES = Shape("orders", (
     f"{block(O, 200)} AS doc_id",
     f"{O} AS pos",
