@@ -13,7 +13,7 @@ through pointer doubling, so no run is ever gathered in one task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from redactframe.functions.ordered import islands, with_next_match, with_previous
@@ -96,23 +96,14 @@ def _orbit(rows: DataFrame, keys: list[str], interval: int, segment: int) -> Dat
     reached = cut_lineage(heads)
     n = reached.count()
     while True:
-        step = reached.join(jump, (F.col("__ev") == F.col("__from")) & _same(reached, jump, ids)).select(
-            *[reached[c] for c in ids], F.col("__to").alias("__ev"))
+        step = reached.join(jump.withColumnRenamed("__from", "__ev"), [*ids, "__ev"]).select(*ids, F.col("__to").alias("__ev"))
         reached = cut_lineage(reached.unionByName(step).distinct())
         grown = reached.count()
         if grown == n:
             break
         n = grown
-        a, b = jump.alias("a"), jump.alias("b")
-        cond = F.col("a.__to") == F.col("b.__from")
-        for c in ids:
-            cond = cond & (F.col(f"a.{c}") == F.col(f"b.{c}"))
-        jump = cut_lineage(a.join(b, cond).select(*[F.col(f"a.{c}") for c in ids], "a.__from", "b.__to"))
+        first = jump.withColumnRenamed("__to", "__mid")
+        second = jump.withColumnRenamed("__from", "__mid")
+        jump = cut_lineage(first.join(second, [*ids, "__mid"]).select(*ids, "__from", "__to"))
     return reached.join(rows.select(*ids, "__ev", "__ts"), [*ids, "__ev"]).select(*keys, "__ev", "__ts")
 
-
-def _same(left: DataFrame, right: DataFrame, cols: list[str]) -> Column:
-    cond = F.lit(True)
-    for c in cols:
-        cond = cond & (left[c] == right[c])
-    return cond

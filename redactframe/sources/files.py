@@ -24,22 +24,30 @@ def scan_files(spark: SparkSession, path: str) -> DataFrame:
         "format", doc_format(F.col("name"), F.lit(None).cast("string")))
 
 
+def utf8_text(content: Column) -> Column:
+    """Bytes as text: malformed sequences become the replacement character, a byte order mark goes.
+
+    decode() would fail the whole job on one malformed file.
+    """
+    return F.regexp_replace(F.make_valid_utf8(content.cast("string")), "^\ufeff", "")
+
+
 def ingest(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Documents with their text, and rejected files with a code.
 
     Size and type are decided from the listing, so oversized and unsupported files are never
-    opened. PDF text needs a parser library and comes in as a text table instead; a PDF file is reported as NO_PARSER.
+    opened. A file scan skips files without bytes, so EMPTY appears only for listings that come
+    as a table (documents.split_ingest). PDF text needs a parser library and comes in as a text table instead; a PDF file is reported as NO_PARSER.
     """
     files = scan_files(spark, path)
     code = (
         F.when(F.col("format").isNull(), "UNSUPPORTED")
-        .when(F.col("n_bytes") == 0, "EMPTY")
         .when(F.col("n_bytes") > rules.MAX_DOCUMENT_BYTES, "TOO_LARGE")
         .when(F.col("format") == "pdf", "NO_PARSER")
     )
     coded = files.withColumn("reject_code", code)
     plain = coded.filter(F.col("reject_code").isNull() & F.col("format").isin(TEXT_FORMATS)).select(
-        "path", "name", "format", "n_bytes", F.decode("content", F.lit("UTF-8")).alias("text"), F.lit(None).cast("string").alias("reject_code"))
+        "path", "name", "format", "n_bytes", utf8_text(F.col("content")).alias("text"), F.lit(None).cast("string").alias("reject_code"))
     word = docx_text(coded.filter(F.col("reject_code").isNull() & (F.col("format") == "docx")))
     early = coded.filter(F.col("reject_code").isNotNull()).select("path", "name", "format", "n_bytes", "reject_code")
     read = plain.unionByName(word)
