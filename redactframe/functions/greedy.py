@@ -54,8 +54,8 @@ def greedy_accept(
             F.when(ok, F.concat(acc["kept"], F.array(e))).otherwise(acc["kept"]).alias("kept"),
         )
 
-    kept = folded.select(*keys, F.explode(F.aggregate("__all", init, step, lambda a: a["kept"])).alias("k")).select(
-        *keys, F.col("k.__ev").alias("__ev"), F.col("k.__ts").alias("__ts"))
+    kept = folded.select(*keys, F.explode(F.aggregate("__all", init, step, lambda a: a["kept"])).alias("__hit")).select(
+        *keys, F.col("__hit.__ev").alias("__ev"), F.col("__hit.__ts").alias("__ts"))
     accepted = single.unionByName(kept)
     long_runs = runs.filter(f"__n > {max_fold}")
     if not long_runs.isEmpty():

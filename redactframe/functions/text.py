@@ -13,7 +13,8 @@ WHITESPACE = " \t\n\x0b\f\r"
 
 # ``\b`` on Java 17 follows Unicode letters while the rules mean ASCII words.
 _EDGE = r"(?:(?<!\w)(?=\w)|(?<=\w)(?!\w))"
-_STARTS_WITH_WORD = re.compile(r"\\b(?=\\d|\[[A-Za-z0-9-]+\])")
+_STARTS_WITH_WORD = re.compile(r"\\b(?=(?:\(\?!\([^()]*\)\\b\))?(?:\\d|\[[A-Za-z0-9-]+\]))")
+_STARTS_OPTIONAL = re.compile(r"\\b\(\?:\\\+\?1")
 _ENDS_WITH_WORD = re.compile(r"(?:\\d|\[[A-Za-z0-9-]+\])(?:\{[\d,]+\})?\\b$")
 
 
@@ -27,6 +28,8 @@ def jvm_regex(pattern: str, ignore_case: bool = False) -> str:
     if "|" not in re.sub(r"\([^()]*\)", "", pattern):
         if _STARTS_WITH_WORD.match(out):
             out = r"(?<!\w)" + out[2:]
+        elif _STARTS_OPTIONAL.match(out):
+            out = r"(?=[\d+(])" + out
         if _ENDS_WITH_WORD.search(out):
             out = out[:-2] + r"(?!\w)"
     out = out.replace(r"\b", _EDGE)
@@ -52,6 +55,20 @@ def materialize(df: DataFrame, keep: list[str], **named: Column) -> DataFrame:
     return df.select(*keep, F.inline(F.array(row)))
 
 
+def may_match(text: Column, pattern: str) -> Column:
+    """Cheap necessary condition: a rule around an @ or a digit needs one in the text."""
+    if "@" in pattern:
+        return F.contains(text, F.lit("@"))
+    if r"\d{4}" in pattern:
+        return text.rlike(r"\d{4}")
+    return text.rlike(r"\d")
+
+
+def count_matches(text: Column, pattern: str) -> Column:
+    n = F.size(F.regexp_extract_all(text, F.lit(jvm_regex(pattern)), F.lit(0)))
+    return F.when(may_match(text, pattern), n).otherwise(0)
+
+
 def matches(text: Column, pattern: str, ignore_case: bool = False) -> Column:
     return text.rlike(jvm_regex(pattern, ignore_case))
 
@@ -107,9 +124,7 @@ def match_spans(text: Column, pattern: str) -> Column:
     the running length of pieces and matches - no second search that could land on an
     unrelated equal string.
     """
-    p = F.lit(jvm_regex(pattern))
-    found = F.regexp_extract_all(text, p, F.lit(0))
-    gaps = F.split(text, jvm_regex(pattern), -1)
+    found = F.regexp_extract_all(text, F.lit(jvm_regex(pattern)), F.lit(0))
     empty = F.array().cast("array<struct<text:string,start:int,end:int>>")
     start = F.struct(F.lit(0).alias("pos"), empty.alias("spans"))
 
@@ -119,8 +134,10 @@ def match_spans(text: Column, pattern: str) -> Column:
         span = F.struct(pair["hit"].alias("text"), begin.alias("start"), stop.alias("end"))
         return F.struct(stop.alias("pos"), F.concat(acc["spans"], F.array(span)).alias("spans"))
 
-    pairs = F.transform(
-        found, lambda hit, i: F.struct(hit.alias("hit"), F.get(gaps, i).alias("gap"))
-    )
-    spans = F.aggregate(pairs, start, step, lambda acc: acc["spans"])
-    return F.when(F.size(found) > 0, spans).otherwise(empty)
+    def located(hits):
+        gaps = F.split(text, jvm_regex(pattern), -1)
+        pairs = F.zip_with(hits, gaps, lambda h, g: F.struct(h.alias("hit"), g.alias("gap")))
+        placed = F.aggregate(F.slice(pairs, F.lit(1), F.size(hits)), start, step, lambda acc: acc["spans"])
+        return F.when(F.size(hits) > 0, placed).otherwise(empty)
+
+    return F.when(may_match(text, pattern), let(found, located)).otherwise(empty)

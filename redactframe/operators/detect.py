@@ -9,10 +9,19 @@ from pyspark.sql import functions as F
 
 from redactframe import rules
 from redactframe.functions.checksums import luhn_valid
-from redactframe.functions.text import any_match, digits, jvm_regex, match_spans, matches, trim
+from redactframe.functions.text import (
+    any_match,
+    count_matches,
+    digits,
+    jvm_regex,
+    match_spans,
+    matches,
+    may_match,
+    trim,
+)
 
-# Any rule needs an @, three digits in a row, or the PAN shape.
-_MAY_HOLD_PII = r"@|\d{3}|[A-Z]{5}\d{4}"
+# Every rule needs an @ or a digit.
+_MAY_HOLD_PII = r"[@\d]"
 
 
 def pii_spans(
@@ -45,7 +54,7 @@ def pii_counts(texts: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     t = F.col(text)
     per_type = F.array(*[
         F.struct(F.lit(e).alias("entity_type"),
-                 F.size(F.regexp_extract_all(t, F.lit(jvm_regex(p)), F.lit(0))).cast("long").alias("n"))
+                 count_matches(t, p).cast("long").alias("n"))
         for e, p in rules.SPAN_PATTERNS
     ])
     return (
@@ -76,7 +85,7 @@ def card_numbers(texts: DataFrame, key: str = "doc_id", text: str = "text") -> D
     t = F.col(text)
     runs = F.array_distinct(F.regexp_extract_all(t, F.lit(jvm_regex(rules.CARD_CANDIDATE)), F.lit(0)))
     return (
-        texts.filter(t.rlike(r"\d{4}"))
+        texts.filter(t.rlike(r"\d(?:[ -]?\d){12}"))
         .select(key, F.explode(runs).alias("candidate"))
         .select(key, "candidate", digits(F.col("candidate")).alias("digits"),
                 luhn_valid(F.col("candidate")).alias("luhn_ok"))
@@ -85,8 +94,8 @@ def card_numbers(texts: DataFrame, key: str = "doc_id", text: str = "text") -> D
 
 def is_never_store_value(text: Column) -> Column:
     """Any of the six identifier shapes; a cheap digit/@ test screens most texts out first."""
-    rule_hit = any_match(text, [p for _, p in rules.NEVER_STORE_VALUES])
-    return F.coalesce(F.when(text.rlike(r"\d{4}|@"), rule_hit).otherwise(F.lit(False)), F.lit(False))
+    rule_hit = reduce(lambda a, b: a | b, [may_match(text, p) & matches(text, p) for _, p in rules.NEVER_STORE_VALUES])
+    return F.coalesce(F.when(text.rlike(r"[@\d]"), rule_hit).otherwise(F.lit(False)), F.lit(False))
 
 
 def is_never_store_key(key: Column, pattern: str = rules.VAULT_NEVER_STORE_KEY) -> Column:
@@ -98,7 +107,7 @@ def visible_id_count(text: Column) -> Column:
     by_type = dict(rules.SPAN_PATTERNS)
     return reduce(
         lambda a, b: a + b,
-        [F.size(F.regexp_extract_all(text, F.lit(jvm_regex(by_type[e])), F.lit(0))) for e in ("AADHAAR", "PAN")],
+        [count_matches(text, by_type[e]) for e in ("AADHAAR", "PAN")],
     )
 
 

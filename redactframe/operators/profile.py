@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from redactframe import rules
 from redactframe.functions.checksums import luhn_valid, verhoeff_valid
-from redactframe.functions.text import collapse, digits, jvm_regex, lines, matches, materialize, trim
+from redactframe.functions.text import collapse, digits, jvm_regex, let, lines, matches, materialize, trim
 from redactframe.operators.detect import is_never_store_key, is_never_store_value
 from redactframe.operators.fields import clean_label, resolve_label_expr
 
@@ -64,16 +64,17 @@ def _entries(pairs: list[tuple[str, Column]]) -> Column:
 def cue_entries(text: Column) -> Column:
     """First match of every cue as ARRAY<STRUCT<key, value>>, identifiers included."""
     values = {k: _cue(text, p, ci) for k, ci, p in rules.CUE_PATTERNS}
+    values["email"] = F.when(F.contains(text, F.lit("@")), values["email"])
     never = dict(rules.NEVER_STORE_VALUES)
     nid = F.regexp_replace(F.regexp_extract(text, jvm_regex(never["AADHAAR"]), 0), r"\s", "")
     name = trim(F.regexp_replace(values["fullName"], "(?i)" + rules.CUE_NAME_NOISE, ""))
     values["phone"] = F.right(digits(values["phone"]), F.lit(10))
-    values["fullName"] = F.when(F.length(name) >= 3, name)
+    values["fullName"] = let(name, lambda n: F.when(F.length(n) >= 3, n))
     values["city"] = trim(F.regexp_replace(values["city"], "(?i)" + rules.CUE_CITY_NOISE, ""))
     for k in ("state", "college", "diagnosis"):
         values[k] = trim(values[k])
-    values["bankAccount"] = F.when(luhn_valid(values["bankAccount"]), values["bankAccount"])
-    pairs = [("aadhaar", F.when(verhoeff_valid(nid), nid)), ("pan", F.regexp_extract(text, jvm_regex(never["PAN"]), 0))]
+    values["bankAccount"] = let(values["bankAccount"], lambda a: F.when(luhn_valid(a), a))
+    pairs = [("aadhaar", let(nid, lambda n: F.when(verhoeff_valid(n), n))), ("pan", F.regexp_extract(text, jvm_regex(never["PAN"]), 0))]
     return _entries(pairs + list(values.items()))
 
 
@@ -88,11 +89,12 @@ def cue_fields(docs: DataFrame, kyc: bool = False, key: str = "doc_id") -> DataF
 def indic_entries(text: Column) -> Column:
     """Spoken Hindi and Hinglish cues for name, city and e-mail."""
     def either(a: str, b: str) -> Column:
-        return F.coalesce(F.nullif(trim(_cue(text, a, False)), F.lit("")), trim(_cue(text, b)))
+        first = trim(_cue(text, a, False))
+        return F.coalesce(let(first, lambda v: F.when(v != "", v)), trim(_cue(text, b)))
 
     name = trim(F.regexp_replace(either(rules.INDIC_NAME, rules.INDIC_NAME_LATIN), "(?i)" + rules.INDIC_NAME_NOISE, ""))
     city = trim(F.regexp_replace(either(rules.INDIC_CITY, rules.INDIC_CITY_LATIN), "(?i)" + rules.INDIC_CITY_NOISE, ""))
-    return _entries([("fullName", F.when(F.length(name) >= 2, name)), ("city", city),
+    return _entries([("fullName", let(name, lambda n: F.when(F.length(n) >= 2, n))), ("city", city),
                      ("email", _cue(text, rules.INDIC_EMAIL, False))])
 
 

@@ -6,23 +6,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from redactframe import rules
-from redactframe.functions.text import collapse, digits, jvm_regex, round_half_up, trim
+from redactframe.functions.text import collapse, digits, jvm_regex, let, may_match, round_half_up, trim
 
 
 def scrub_ids(text: Column) -> Column:
     """Replace the six identifier shapes one after the other; the order is part of the rule."""
     out = text
     for _, pattern in rules.NEVER_STORE_VALUES:
-        out = F.regexp_replace(out, jvm_regex(pattern), F.lit(rules.REDACTED))
-    return F.when(text.rlike(r"\d{4}|@"), out).otherwise(text)
+        out = _replace(out, pattern, rules.REDACTED)
+    return F.when(text.rlike(r"[@\d]"), out).otherwise(text)
 
 
 def redact_spans(text: Column, patterns=rules.SPAN_PATTERNS) -> Column:
     """Replace every detector match by its type in brackets."""
     out = text
     for entity, pattern in patterns:
-        out = F.regexp_replace(out, jvm_regex(pattern), F.lit(f"[{entity}]"))
-    return F.when(text.rlike(r"@|\d{3}|[A-Z]{5}\d{4}"), out).otherwise(text)
+        out = _replace(out, pattern, f"[{entity}]")
+    return F.when(text.rlike(r"[@\d]"), out).otherwise(text)
+
+
+def _replace(text: Column, pattern: str, by: str) -> Column:
+    """Replace all matches; bound once, because the next rule mentions this text twice."""
+    swap = lambda t: F.when(may_match(t, pattern), F.regexp_replace(t, jvm_regex(pattern), F.lit(by))).otherwise(t)
+    return let(text, swap)
 
 
 def mask_id(value: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from redactframe import rules
 from redactframe.functions.checksums import verhoeff_valid
+from redactframe.functions.text import count_matches, materialize
 from redactframe.operators import detect, redact
 from redactframe.plans import sqltext as q
 from redactframe.plans.registry import query
@@ -218,22 +219,16 @@ def flagship_release(spark, sf):
 
 
 def release_documents(docs):
+    """Stateless, so it also runs on a stream. Each text is scrubbed once and its counts read off the result."""
     t = F.col("text")
-    scrubbed = redact.scrub_ids(t)
-    n_spans = sum(
-        (F.size(F.regexp_extract_all(t, F.lit(detect.jvm_regex(p)), F.lit(0))) for _, p in rules.SPAN_PATTERNS), F.lit(0)
-    )
-    marker = F.lit(rules.REDACTED)
-    return (
-        docs.select("doc_id", "source", t, scrubbed.alias("scrubbed"))
-        .select(
-            "doc_id", "source", redact.redact_spans(F.col("scrubbed")).alias("released"),
-            F.when(t.rlike(r"@|\d{3}|[A-Z]{5}\d{4}"), n_spans).otherwise(0).cast("long").alias("n_spans"),
-            F.size(F.split("scrubbed", r"\[REDACTED\]", -1)).cast("long").alias("pieces"),
-            F.size(F.split("text", r"\[REDACTED\]", -1)).cast("long").alias("pieces_before"),
-        )
-        .select("doc_id", "source", "released", "n_spans", (F.col("pieces") - F.col("pieces_before")).alias("n_ids"))
-    )
+    n_spans = sum((count_matches(t, p) for _, p in rules.SPAN_PATTERNS), F.lit(0))
+    markers = lambda c: F.size(F.split(c, r"\[REDACTED\]", -1)).cast("long")
+    scrubbed = materialize(
+        docs, ["doc_id", "source", "text"], scrubbed=redact.scrub_ids(t),
+        n_spans=F.when(t.rlike(r"[@\d]"), n_spans).otherwise(0).cast("long"))
+    return scrubbed.select(
+        "doc_id", "source", redact.redact_spans(F.col("scrubbed")).alias("released"), "n_spans",
+        (markers(F.col("scrubbed")) - markers(t)).alias("n_ids"))
 
 
 def _spans_replaced(x: str) -> str:

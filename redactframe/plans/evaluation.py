@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from redactframe import rules
-from redactframe.operators import detect, evaluate
+from redactframe.functions.text import matches, may_match
+from redactframe.operators import evaluate
 from redactframe.plans import sqltext as q
 from redactframe.plans.registry import query
 from redactframe.sources.shapes import cte
@@ -67,5 +70,5 @@ _ANY = " OR ".join(q.has("text", p) for _, p in rules.SPAN_PATTERNS)
        f"c AS (SELECT count(*) FILTER (y AND f) AS tp, count(*) FILTER (NOT y AND f) AS fp, count(*) FILTER (y AND NOT f) AS fn, count(*) FILTER (NOT y AND NOT f) AS tn FROM j) {scores('c', '')}")
 def label_eval(spark, sf):
     flags = table(spark, sf, "documents").select(
-        "doc_id", detect.any_match(F.col("text"), [p for _, p in rules.SPAN_PATTERNS]).alias("flag"))
+        "doc_id", reduce(lambda a, b: a | b, [may_match(F.col("text"), p) & matches(F.col("text"), p) for _, p in rules.SPAN_PATTERNS]).alias("flag"))
     return evaluate.label_eval(flags, table(spark, sf, "labels"), "toxic")
