@@ -100,6 +100,8 @@ def nms(boxes: DataFrame, max_iou: float = rules.NMS_IOU, max_fold: int = MAX_FO
     side = rules.NMS_MIN_SIDE
     usable = boxes.filter((F.col("x2") > F.col("x1") + side) & (F.col("y2") > F.col("y1") + side)).select(
         "image_id", "box_id", "x1", "y1", "x2", "y2")
+    # Copies of one box stand or fall with the first of them, so they never meet as pairs.
+    usable = usable.groupBy("image_id", "x1", "y1", "x2", "y2").agg(F.min("box_id").alias("box_id"))
     sizes = usable.groupBy("image_id").agg(F.count("*").alias("n"))
     sized = usable.join(sizes, "image_id")
     small = sized.filter(F.col("n") <= max_fold)

@@ -126,6 +126,8 @@ def _scan_for(queries: list[tuple[int, list[str]]], k: int):
     """mapInPandas body: per task the k best sentences of every query."""
 
     def scan(batches: Iterator) -> Iterator:
+        import re
+
         import ahocorasick
         import numpy as np
         import pandas as pd
@@ -143,10 +145,23 @@ def _scan_for(queries: list[tuple[int, list[str]]], k: int):
         best: list[list[tuple]] = [[] for _ in queries]
         floor = np.zeros(len(queries), dtype=np.float32)
 
+        # A keyword has letters and digits only, so it lies inside one such run of the sentence.
+        # Runs repeat a lot: each is looked up once while the (bounded) memo lasts.
+        run = re.compile("[a-z0-9]+")
+        memo: dict[str, frozenset[int]] = {}
+
+        def inside(word: str) -> frozenset[int]:
+            ids = memo.get(word)
+            if ids is None:
+                if len(memo) >= 200_000:
+                    memo.clear()
+                ids = memo[word] = frozenset(i for _, i in machine.iter(word))
+            return ids
+
         def settle(block: list[tuple]) -> None:
             hits = np.zeros((len(block), len(vocabulary)), dtype=np.float32)
             for row, (_, _, s) in enumerate(block):
-                found = {i for _, i in machine.iter(s.lower())}
+                found = frozenset().union(*map(inside, set(run.findall(s.lower()))))
                 if found:
                     hits[row, list(found)] = 1.0
             scores = hits @ uses
@@ -162,7 +177,7 @@ def _scan_for(queries: list[tuple[int, list[str]]], k: int):
                     floor[col] = -best[col][-1][0]
 
         block: list[tuple] = []
-        size = max(64, min(2048, 8_000_000 // max(1, len(vocabulary) + len(queries))))
+        size = max(64, min(1024, 1_000_000 // max(1, len(vocabulary) + len(queries))))
         for batch in batches:
             if not vocabulary:
                 continue

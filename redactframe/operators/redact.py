@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -86,9 +88,13 @@ def redact_entities(fields: DataFrame, entities: DataFrame) -> DataFrame:
         .filter(F.contains(F.lower("label"), F.col("folded")))
         .select("page_id", "label", "seq", "needle")
     )
-    # Needles that overlap the marker text are few and apply to every touched label of a page.
+    # A needle that is not in the label can still hit text an earlier one produced: it then lies
+    # inside the marker, holds it whole, or starts or ends with a piece of it. Such needles are rare.
+    tails = "|".join(re.escape(marker[i:]) for i in range(len(marker)))
+    heads = "|".join(re.escape(marker[:i]) for i in range(1, len(marker) + 1))
     on_marker = needles.filter(
-        F.lit(marker).contains(F.col("folded")) | F.col("folded").contains("[") | F.col("folded").contains("]")
+        F.lit(marker).contains(F.col("folded")) | F.col("folded").contains(marker)
+        | F.col("folded").rlike(f"^(?:{tails})") | F.col("folded").rlike(f"(?:{heads})$")
     ).select("page_id", "seq", "needle")
     touched = candidates.select("page_id", "label").distinct()
     pairs = candidates.unionByName(touched.join(on_marker, "page_id")).distinct()

@@ -20,11 +20,19 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spread(df, _WIDE[name]) if name in _WIDE else df
 
 
+# A split holds at most 128 MB by default, so this bounds what spread() may move.
+MAX_SPLITS_TO_SPREAD = 64
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash-spread a small input over the cores; an input with many splits passes untouched.
+
+    Small files often hold a single row group, so even several splits may mean one busy task.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
+    if df.rdd.getNumPartitions() >= min(2 * cores, MAX_SPLITS_TO_SPREAD):
         return df
-    return df.repartition(cores, key)
+    return df.repartition(2 * cores, key)
 
 
 def events(spark: SparkSession, folder: str) -> DataFrame:
@@ -33,8 +41,13 @@ def events(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def derived(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A table that Spark derives row by row from a base table (see sources.shapes)."""
+    """A table that Spark derives row by row from a base table (see sources.shapes).
+
+    The columns come out of a one-row generator, so an operator sees them as finished columns, as
+    it would from a stored table, instead of pulling their expressions into its own.
+    """
     from redactframe.sources.shapes import SHAPES
 
     shape = SHAPES[name]
-    return table(spark, folder, shape.base).selectExpr(*shape.columns)
+    row = F.expr("inline(array(struct(" + ", ".join(shape.columns) + ")))")
+    return table(spark, folder, shape.base).select(row)

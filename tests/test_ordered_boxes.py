@@ -123,6 +123,7 @@ def test_overlap_pairs(spark):
 
 def test_nms_fold_and_rounds_agree(spark):
     data = make_boxes()
+    data += [(b[0], b[1] + 500, *b[2:]) for b in data[::3]]
     want = set()
     for image in {d[0] for d in data}:
         kept = []
