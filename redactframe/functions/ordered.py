@@ -64,15 +64,20 @@ def running_totals(
 def with_next_match(
     df: DataFrame, keys: list[str], order: list[str], value: Column, name: str, segment: Column
 ) -> DataFrame:
-    """Add ``name``: the first non-null ``value`` strictly after this row, per key."""
+    """Add ``name``: the first non-null ``value`` strictly after this row, per key.
+
+    The windows run backwards and take the last value seen: a frame that grows is updated row
+    by row, while a frame that reaches to the end of the partition is recomputed for each row.
+    """
     cut = df.withColumn(_SEG, segment).withColumn("__value", value)
-    ahead = Window.partitionBy(*keys, _SEG).orderBy(*order).rowsBetween(1, Window.unboundedFollowing)
-    local = cut.withColumn("__here", F.first("__value", ignorenulls=True).over(ahead))
+    seen = (Window.unboundedPreceding, -1)
+    backwards = Window.partitionBy(*keys, _SEG).orderBy(*[F.desc(c) for c in order]).rowsBetween(*seen)
+    local = cut.withColumn("__here", F.last("__value", ignorenulls=True).over(backwards))
     heads = cut.groupBy(*keys, _SEG).agg(
         F.min_by("__value", F.when(F.col("__value").isNotNull(), F.struct(*order))).alias("__head")
     )
-    later = Window.partitionBy(*keys).orderBy(_SEG).rowsBetween(1, Window.unboundedFollowing)
-    carried = heads.select(*keys, _SEG, F.first("__head", ignorenulls=True).over(later).alias("__carry"))
+    later = Window.partitionBy(*keys).orderBy(F.desc(_SEG)).rowsBetween(*seen)
+    carried = heads.select(*keys, _SEG, F.last("__head", ignorenulls=True).over(later).alias("__carry"))
     return local.join(carried, [*keys, _SEG], "left").select(
         *[F.col(c) for c in df.columns], F.coalesce("__here", "__carry").alias(name)
     )
