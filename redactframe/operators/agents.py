@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from redactframe import rules
 from redactframe.functions import urls
-from redactframe.functions.ordered import islands, running_totals, with_previous
+from redactframe.functions.ordered import running_totals, with_previous
 from redactframe.functions.text import matches, round_half_up, trim
 
 ACTION_SCHEMA = (

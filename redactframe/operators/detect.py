@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from redactframe import rules
 from redactframe.functions.checksums import luhn_valid
 from redactframe.functions.text import (
-    any_match,
     count_matches,
     digits,
     jvm_regex,

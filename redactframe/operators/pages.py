@@ -186,10 +186,10 @@ def form_targets(pages: DataFrame) -> DataFrame:
 
 
 def risky_hosts(rows: DataFrame, host: str, domains=rules.RISKY_DOMAINS) -> DataFrame:
-    """Rows whose host is, or is below, a listed domain: suffixes make it an equi semi-join.
+    """Rows whose host is, or is below, a listed domain: suffixes turn the subdomain test into equality.
 
-    The rule table has a fixed small size, so it is broadcast. A row is tested in place by
-    its own suffix array, so rows are never multiplied.
+    A short list (the rule table has 19 entries) is an array literal tested inside the row. A longer
+    one becomes a semi-join on the suffix, left to adaptive execution to broadcast or not.
     """
     spark = rows.sparkSession
     listed = F.array(*[F.lit(d) for d in domains])

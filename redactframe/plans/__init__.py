@@ -1,14 +1,15 @@
 """All registered queries."""
 
-from redactframe.plans.registry import ORACLES, QUERIES  # noqa: F401
+from importlib import import_module
+
+from redactframe.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "load"]
+
+_MODULES = ("detection", "forms", "profiles", "documents", "pages", "audit", "agents", "geometry", "evaluation", "streams")
 
 
 def load() -> None:
-    import importlib
-
-    for name in ("detection", "forms", "profiles", "documents", "pages", "audit", "agents", "geometry", "evaluation", "streams"):
-        try:
-            importlib.import_module(f"redactframe.plans.{name}")
-        except ModuleNotFoundError as e:
-            if e.name != f"redactframe.plans.{name}":
-                raise
+    """Import the query modules, which fill the catalogue."""
+    for name in _MODULES:
+        import_module(f"redactframe.plans.{name}")

@@ -9,7 +9,7 @@ from redactframe.functions.checksums import verhoeff_valid
 from redactframe.functions.text import count_matches, materialize
 from redactframe.operators import detect, redact
 from redactframe.plans import sqltext as q
-from redactframe.plans.registry import query
+from redactframe.plans.registry import ORACLES, query
 from redactframe.sources.shapes import cte
 from redactframe.sources.tables import derived, table
 
@@ -59,8 +59,6 @@ def pii_elements(spark, sf):
     return detect.pii_elements(nodes, ["doc_id", "line_no"]).withColumn("line_no", F.col("line_no").cast("long"))
 
 
-from redactframe.plans.registry import ORACLES  # noqa: E402
-
 ORACLES["pii_elements"] = (
     "WITH nodes AS (SELECT doc_id, i - 1 AS line_no, " + q.trim("l[i]") + " AS t FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i "
     "FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)) WHERE length(" + q.trim("l[i]") + ") >= 4) "
@@ -210,9 +208,7 @@ def scrub_config(spark, sf):
     return c.select("config_id", kept.alias("kept"))
 
 
-@query("flagship_release", oracle="SELECT doc_id, source, released, n_spans, n_ids FROM (SELECT d.doc_id, d.source, "
-       + q.scrub("d.text") + " AS scrubbed, " + " + ".join(f"len(regexp_extract_all(d.text, {q.lit(p)}))" for _, p in rules.SPAN_PATTERNS)
-       + " AS n_spans_raw, (length(" + q.scrub("d.text") + ") - length(replace(" + q.scrub("d.text") + f", '{rules.REDACTED}', ''))) / 10 AS n_ids_raw FROM documents d)")
+@query("flagship_release")
 def flagship_release(spark, sf):
     """Documents ready for release: identifiers scrubbed, remaining detector spans replaced, counts kept."""
     return release_documents(table(spark, sf, "documents"))

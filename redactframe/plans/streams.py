@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from redactframe.plans.agents import session_memory  # noqa: F401  (registered first: its oracle is reused)
-from redactframe.plans.audit import _DELTAS, EV, GREEDY_SQL, HOUR
+from redactframe.plans.audit import _DELTAS, EV, HOUR
 from redactframe.plans.detection import release_documents
 from redactframe.plans.registry import ORACLES, query
 from redactframe.streaming import stateful, streams

@@ -9,10 +9,9 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from redactframe import rules
 from redactframe.session import ensure_checkpoint_dir
 
 
@@ -37,12 +36,12 @@ def approvals(
     """
     p = pending.withWatermark("pending_ts", watermark).alias("p")
     d = decisions.withWatermark("decision_ts", watermark).alias("d")
-    in_time = (
+    timely = (
         (F.col(f"p.{key}") == F.col(f"d.{key}"))
         & (F.col("d.decision_ts") >= F.col("p.pending_ts"))
         & (F.col("d.decision_ts") <= F.col("p.pending_ts") + F.expr(f"INTERVAL {timeout}"))
     )
-    return p.join(d, in_time, "leftOuter").select(
+    return p.join(d, timely, "leftOuter").select(
         f"p.{key}", "pending_id", "pending_ts", "decision_id", "decision_ts", F.col("decision_id").isNotNull().alias("approved"))
 
 
@@ -136,6 +135,3 @@ def latest(updates: DataFrame, keys: list[str]) -> DataFrame:
     rest = [c for c in updates.columns if c not in (*keys, "batch")]
     return updates.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("u")).select(*keys, "u.*")
 
-
-def in_time(a: Column, b: Column, seconds: int = rules.APPROVAL_TIMEOUT_S) -> Column:
-    return b.cast("double") - a.cast("double") <= seconds
