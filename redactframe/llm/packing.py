@@ -17,10 +17,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from redactframe.llm.sharding import numbered
 from redactframe.llm.store import written
 
 _encoders: dict[str, object] = {}
@@ -206,21 +207,6 @@ def make_plan(counts: np.ndarray, limit: int) -> Plan:
     return Plan((length << 44) + number, first, offset, base)
 
 
-def numbered(rows: DataFrame, group: str, row: str, cell_rows: int) -> DataFrame:
-    """Adds ``number``: 0, 1, 2, ... within each value of ``group``, without a task per value.
-
-    Each group is cut by a hash of ``row`` (unique) into cells of about ``cell_rows``; cells are counted, their
-    starts are running sums of those counts, and only within a cell are rows sorted.
-    """
-    sizes = rows.groupBy(group).agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / F.lit(cell_rows))).cast("int").alias("cells"))
-    dealt = rows.join(sizes, group).withColumn("cell", F.pmod(F.xxhash64(row), "cells").cast("int"))
-    counts = dealt.groupBy(group, "cell").agg(F.count(F.lit(1)).alias("many"))
-    before = F.sum("many").over(Window.partitionBy(group).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1))
-    starts = counts.select(group, "cell", F.coalesce(before, F.lit(0)).alias("before"))
-    inner = F.row_number().over(Window.partitionBy(group, "cell").orderBy(row)) - 1
-    return dealt.withColumn("inner", inner).join(starts, [group, "cell"]).withColumn("number", F.col("before") + F.col("inner")).drop("cells", "cell", "inner", "before")
-
-
 def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", limit: int = 1024, end_id: int = 2, cell_rows: int = 2048) -> DataFrame:
     """One row per piece: ``id``, ``piece``, ``start``, ``length``, ``crc``, ``sequence``, ``offset``.
 
@@ -239,6 +225,6 @@ def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", li
             columns = [*batch.columns[:-1], pa.array(sequence, pa.int64()), pa.array(offset, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], "sequence", "offset"])
 
-    placed = numbered(rows, "length", "row", cell_rows).select("id", "piece", "start", "length", "crc", "number")
+    placed = numbered(rows, "length", counts.tolist(), ["row"], "number", cell_rows).select("id", "piece", "start", "length", "crc", "number")
     shape = T.StructType(placed.schema.fields[:-1]).add("sequence", "long").add("offset", "long")
     return placed.mapInArrow(run, shape)

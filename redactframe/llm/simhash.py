@@ -210,7 +210,9 @@ def links(distinct: DataFrame, budget: int = 4, segments: int = 7, bucket_rows:
     masks = _segments(segments)
     choices = [np.bitwise_or.reduce([masks[i] for i in pick]) for pick in combinations(range(segments), segments - budget)]
     signed = [int(np.uint64(c).view(np.int64)) for c in choices]
-    keyed = distinct.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(c)) for c in signed])).alias("pick", "bits"))
+    # few bytes, much work: a fixed number of tasks, where adaptive execution would go by the bytes
+    tasks = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = distinct.repartition(tasks, "fp").select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(c)) for c in signed])).alias("pick", "bits"))
     sizes = keyed.groupBy("pick", "bits").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     met = keyed.join(sizes, ["pick", "bits"])
     # a bucket of g blocks: each fingerprint goes to the g pairs of blocks that hold its own
@@ -240,7 +242,7 @@ def links(distinct: DataFrame, budget: int = 4, segments: int = 7, bucket_rows:
         if held:
             yield flush(held)
 
-    pairs = dealt.select(bucket, "fp").repartition("bucket").sortWithinPartitions("bucket")
+    pairs = dealt.select(bucket, "fp").repartition(tasks, "bucket").sortWithinPartitions("bucket")
     return pairs.mapInArrow(run, "src bigint, dst bigint").distinct()
 
 
