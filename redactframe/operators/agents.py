@@ -12,12 +12,6 @@ from redactframe.functions import urls
 from redactframe.functions.ordered import running_totals, with_previous
 from redactframe.functions.text import matches, round_half_up, trim
 
-ACTION_SCHEMA = (
-    "action string, selector string, field_selector string, text string, x double, y double, value string, code string, "
-    "direction string, url string, summary string, key string, ms double"
-)
-
-
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def json_candidates(replies: pd.Series) -> pd.Series:
     """Balanced {...} runs of each reply, the fenced block first, curly quotes also straightened.
@@ -90,6 +84,7 @@ def reject_reason(a: Column | None = None) -> Column:
         F.when(act.isNull(), "NO_ACTION")
         .when(act == "click", click)
         .when(act == "type", typed)
+        .when(act == "fill_many", F.when(~F.coalesce(f("n_fields") > 0, F.lit(False)), "NO_FIELDS"))
         .when(act == "write_code", code)
         .when(act == "scroll", F.when(~F.coalesce(f("direction").isin("up", "down"), F.lit(False)), "BAD_DIRECTION"))
         .when(act == "navigate", navigate)
@@ -107,6 +102,7 @@ def canonical_action(action: Column) -> Column:
 def validate_actions(actions: DataFrame) -> DataFrame:
     """Verdict and cleaned fields of every action; rejected rows keep their reason."""
     d = actions.withColumn("action", canonical_action(F.col("action")))
+    d = d if "n_fields" in d.columns else d.withColumn("n_fields", F.lit(0))
     long_value = (
         (F.col("action") == "type") & (F.length("value") > rules.LONG_VALUE_CHARS)
         & ~matches(F.coalesce("prompt", F.lit("")), rules.INJECTION_INTENT, True)
@@ -125,20 +121,83 @@ def validate_actions(actions: DataFrame) -> DataFrame:
     )
 
 
-def reply_actions(replies: DataFrame) -> DataFrame:
-    """The first valid action of each reply. Python only cuts out candidates; parsing and
-    checking stay in the engine."""
-    parsed = F.transform("candidates", lambda c: F.from_json(c, ACTION_SCHEMA))
-    shaped = F.transform(parsed, lambda a: F.struct(
-        canonical_action(a["action"]).alias("action"), F.coalesce(a["field_selector"], a["selector"]).alias("selector"),
-        *[a[n].alias(n) for n in ("text", "x", "y", "value", "code", "direction", "url", "summary", "key", "ms")]))
-    good = F.filter(shaped, lambda a: reject_reason(a).isNull())
-    return (
-        replies.withColumn("candidates", json_candidates("raw"))
-        .select("reply_id", F.get(good, F.lit(0)).alias("a"))
-        .select("reply_id", F.col("a.action").alias("action"), F.col("a.selector").alias("selector"),
-                F.col("a.value").alias("value"), F.col("a.url").alias("url"), F.col("a.direction").alias("direction"))
-    )
+def _text(v: Column, name: str) -> Column:
+    """A member of a JSON value if it is a string, else null: a number is no text."""
+    member = F.try_variant_get(v, f"$.{name}", "variant")
+    return F.when(F.schema_of_variant(member) == "STRING", F.try_variant_get(v, f"$.{name}", "string"))
+
+
+def _number(v: Column, name: str) -> Column:
+    kind = F.schema_of_variant(F.try_variant_get(v, f"$.{name}", "variant"))
+    return F.when((kind == "BIGINT") | (kind == "DOUBLE") | kind.startswith("DECIMAL"), F.try_variant_get(v, f"$.{name}", "double"))
+
+
+def _typed(v: Column) -> Column:
+    """One entry of a field list. An entry may name its action, which then has to be ``type``."""
+    named = F.schema_of_variant(F.try_variant_get(v, "$.action", "variant"))
+    falsy = named.isNull() | (named == "VOID") | F.coalesce(F.try_variant_get(v, "$.action", "string").isin("", "0", "false"), F.lit(False))
+    return F.struct(
+        F.when(falsy | (_text(v, "action") == "type"), trim(_text(v, "selector"))).alias("selector"), _text(v, "value").alias("value"),
+        _text(v, "profileKey").alias("profile_key"))
+
+
+def _first_fields(v: Column) -> Column:
+    """Usable entries of a ``fill_many`` list, first per selector, in order."""
+    listed = F.coalesce(F.try_variant_get(v, "$.fields", "array<variant>"), F.array().cast("array<variant>"))
+    usable = F.filter(F.transform(listed, _typed), lambda e: (
+        (e["selector"] != "") & (F.length(e["selector"]) <= rules.ACTION_SELECTOR_CHARS) & e["selector"].rlike(rules.SELECTOR_SAFE)
+        & (F.length(e["value"]) <= rules.ACTION_VALUE_CHARS)))
+    return F.aggregate(usable, F.filter(usable, lambda e: F.lit(False)), lambda kept, e: F.when(
+        F.exists(kept, lambda k: k["selector"] == e["selector"]), kept).otherwise(F.concat(kept, F.array(e))))
+
+
+def _shaped(v: Column) -> Column:
+    """A parsed candidate as typed columns; what has the wrong JSON type is null. A list of one field is a single fill."""
+    act = _text(v, "action")
+    fields = F.when(act == "fill_many", _first_fields(v))
+    single = F.when(F.size(fields) == 1, F.get(fields, F.lit(0)))
+    own = {n: _text(v, n) for n in ("selector", "text", "value", "code", "direction", "url", "summary", "key")}
+    is_field = act == "fill_field"
+    own["selector"] = F.when(single.isNotNull(), single["selector"]).when(is_field, F.coalesce(_text(v, "field_selector"), own["selector"])).otherwise(own["selector"])
+    own["value"] = F.when(single.isNotNull(), single["value"]).when(act == "select", F.coalesce(F.try_variant_get(v, "$.value", "string"), F.lit(""))).otherwise(own["value"])
+    return F.struct(
+        F.when(single.isNotNull() | is_field, "type").otherwise(act).alias("action"), *[c.alias(n) for n, c in own.items()],
+        *[_number(v, n).alias(n) for n in ("x", "y", "ms")], F.when(single.isNotNull(), single["profile_key"]).otherwise(_text(v, "profileKey")).alias("profile_key"),
+        fields.alias("fields"), F.coalesce(F.size(fields), F.lit(0)).alias("n_fields"))
+
+
+def _payload(a: Column) -> Column:
+    """What an accepted action carries: only the members its kind reads, trimmed and clipped."""
+    act, sel = a["action"], trim(a["selector"])
+    aimed = F.coalesce(sel, F.lit("")) != ""
+    worded = ~aimed & (F.coalesce(trim(a["text"]), F.lit("")) != "")
+    click, place = act == "click", (act == "click") & ~aimed & ~worded
+    short = F.substring(sel, 1, rules.ACTION_SELECTOR_CHARS)
+    selector = (
+        F.when(click, F.when(aimed, sel)).when(act == "write_code", F.coalesce(sel, F.lit("")))
+        .when(act.isin("type", "select"), sel).when(act.isin("hover", "extract_text", "clear", "focus"), short))
+    return F.struct(
+        act.alias("action"), selector.alias("selector"), F.when(click & worded, trim(a["text"])).alias("text"),
+        F.when(place, round_half_up(a["x"])).alias("x"), F.when(place, round_half_up(a["y"])).alias("y"),
+        F.when(act.isin("type", "select"), a["value"]).alias("value"), F.when(act == "write_code", F.coalesce(a["code"], a["value"])).alias("code"),
+        F.when(act == "scroll", a["direction"]).alias("direction"), F.when(act == "navigate", a["url"]).alias("url"),
+        F.when(act == "done", F.substring(F.coalesce(a["summary"], F.lit("")), 1, rules.ACTION_SUMMARY_CHARS)).alias("summary"),
+        F.when(act == "key_press", F.substring(F.coalesce(a["key"], F.lit("Enter")), 1, rules.ACTION_KEY_CHARS)).alias("key"),
+        F.when(act == "wait", F.coalesce(a["ms"], F.lit(1000.0))).alias("ms"), F.when(act == "type", a["profile_key"]).alias("profile_key"),
+        F.when(act == "fill_many", a["fields"]).alias("fields"))
+
+
+def reply_actions(replies: DataFrame, reply: str = "raw") -> DataFrame:
+    """The first valid action of each reply with all it carries (columns of ``_payload``; all null if there is none).
+
+    Python only cuts out candidates; parsing, type checks and the rules stay in the engine. ``fill`` is not an
+    action by itself: its labels are verified against page and profile by ``matching.rewrite_fill``.
+    """
+    parsed = replies.withColumn("candidates", json_candidates(reply)).withColumn(
+        "shaped", F.transform("candidates", lambda c: _shaped(F.try_parse_json(c))))
+    good = F.filter("shaped", lambda a: reject_reason(a).isNull())
+    return parsed.withColumn("a", F.transform(F.slice(good, 1, 1), _payload)).withColumn("a", F.get("a", F.lit(0))).drop("candidates", "shaped").select(
+        *[c for c in replies.columns if c != reply], "a.*")
 
 
 def fill_many(items: DataFrame) -> DataFrame:

@@ -24,22 +24,58 @@ REJECT = f"""CASE action
  WHEN 'navigate' THEN CASE WHEN url IS NULL OR length(url) > 2048 OR NOT coalesce({q.scheme('url')} IN ('http', 'https'), false) OR {q.host('url')} IS NULL THEN 'BAD_URL' END
  WHEN 'done' THEN NULL WHEN 'key_press' THEN NULL WHEN 'wait' THEN NULL
  WHEN 'hover' THEN CASE WHEN selector IS NULL THEN 'MISSING_FIELD' END WHEN 'clear' THEN CASE WHEN selector IS NULL THEN 'MISSING_FIELD' END
+ WHEN 'focus' THEN CASE WHEN selector IS NULL THEN 'MISSING_FIELD' END WHEN 'extract_text' THEN CASE WHEN selector IS NULL THEN 'MISSING_FIELD' END
+ WHEN 'fill_many' THEN CASE WHEN NOT coalesce(n_fields > 0, false) THEN 'NO_FIELDS' END
  WHEN 'select' THEN CASE WHEN selector IS NULL THEN 'MISSING_FIELD' END ELSE 'UNKNOWN_ACTION' END"""
 _PLACE = f"action = 'click' AND coalesce({_T}, '') = '' AND coalesce({q.trim('text')}, '') = '' AND reason IS NULL"
 
 
 @query("validate_actions", oracle=f"""{cte('actions')}, a AS (SELECT * REPLACE (CASE WHEN action = 'fill_field' THEN 'type' ELSE action END AS action) FROM actions),
  r AS (SELECT *, {REJECT} AS reason FROM a)
- SELECT action_id, action, reason, CASE WHEN action IN ('hover', 'clear') THEN substr({_T}, 1, 256) ELSE {_T} END AS selector,
+ SELECT action_id, action, reason, CASE WHEN action IN ('hover', 'clear', 'focus', 'extract_text') THEN substr({_T}, 1, 256) ELSE {_T} END AS selector,
   CASE WHEN {_PLACE} THEN cast(floor(x + 0.5) AS BIGINT) END AS x, CASE WHEN {_PLACE} THEN cast(floor(y + 0.5) AS BIGINT) END AS y,
   CASE WHEN action = 'done' THEN substr(coalesce(summary, ''), 1, 500) END AS summary, CASE WHEN action = 'wait' THEN coalesce(ms, 1000) END AS ms FROM r""")
 def validate_actions(spark, sf):
     return agents.validate_actions(derived(spark, sf, "actions"))
 
 
-@query("reply_actions")
+def _js(name: str, of: str = "j") -> str:
+    return f"CASE WHEN json_type({of}, '$.{name}') = 'VARCHAR' THEN {of} ->> '$.{name}' END"
+
+
+def _jn(name: str) -> str:
+    return f"CASE WHEN json_type(j, '$.{name}') IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN cast(j ->> '$.{name}' AS DOUBLE) END"
+
+
+_FS = q.trim(_js("selector", "e"))
+_REPLY_SQL = f"""{cte('replies')}, c AS (SELECT reply_id, 1 AS pos, cast(c1 AS JSON) AS j FROM replies UNION ALL SELECT reply_id, 2, cast(c2 AS JSON) FROM replies),
+ u AS (SELECT reply_id, pos, p, e, {_FS} AS s, {_js('value', 'e')} AS v, {_js('profileKey', 'e')} AS k FROM (
+   SELECT reply_id, pos, unnest(cast(json_extract(j, '$.fields') AS JSON[])) AS e, generate_subscripts(cast(json_extract(j, '$.fields') AS JSON[]), 1) AS p
+   FROM c WHERE j ->> '$.action' = 'fill_many' AND json_type(j, '$.fields') = 'ARRAY') WHERE coalesce(e ->> '$.action', 'type') = 'type'),
+ w AS (SELECT reply_id, pos, s, min_by(v, p) AS v, min_by(k, p) AS k, min(p) AS p FROM u WHERE s <> '' AND length(s) <= 256 AND {q.has('s', rules.SELECTOR_SAFE)} AND length(v) <= 2000 GROUP BY ALL),
+ n AS (SELECT reply_id, pos, count(*) AS n_fields, min_by(s, p) AS s, min_by(v, p) AS v, min_by(k, p) AS k, string_agg(concat(s, '=', v), '; ' ORDER BY p) AS fields FROM w GROUP BY ALL),
+ a AS (SELECT c.reply_id, c.pos, CASE WHEN n_fields = 1 OR j ->> '$.action' = 'fill_field' THEN 'type' ELSE {_js('action')} END AS action,
+   CASE WHEN n_fields = 1 THEN n.s WHEN j ->> '$.action' = 'fill_field' THEN coalesce({_js('field_selector')}, {_js('selector')}) ELSE {_js('selector')} END AS selector,
+   CASE WHEN n_fields = 1 THEN n.v WHEN j ->> '$.action' = 'select' THEN coalesce(j ->> '$.value', '') ELSE {_js('value')} END AS value,
+   {', '.join(f'{_js(x)} AS {x}' for x in ('text', 'code', 'direction', 'url', 'summary', 'key'))}, {', '.join(f'{_jn(x)} AS {x}' for x in ('x', 'y', 'ms'))},
+   CASE WHEN n_fields = 1 THEN n.k ELSE {_js('profileKey')} END AS profile_key, coalesce(n_fields, 0) AS n_fields, n.fields, 'type this in' AS prompt FROM c LEFT JOIN n USING (reply_id, pos)),
+ r AS (SELECT *, CASE WHEN action IS NULL THEN 'NO_ACTION' ELSE {REJECT} END AS reason, {_T} AS sel, {q.trim('text')} AS txt FROM a),
+ f AS (SELECT *, row_number() OVER (PARTITION BY reply_id ORDER BY pos) AS rn, action = 'click' AND coalesce(sel, '') = '' AND coalesce(txt, '') <> '' AS worded,
+   action = 'click' AND coalesce(sel, '') = '' AND coalesce(txt, '') = '' AS place FROM r WHERE reason IS NULL)
+ SELECT o.reply_id, action, CASE WHEN action = 'click' THEN nullif(sel, '') WHEN action = 'write_code' THEN coalesce(sel, '') WHEN action IN ('type', 'select') THEN sel
+   WHEN action IN ('hover', 'extract_text', 'clear', 'focus') THEN substr(sel, 1, 256) END AS selector, CASE WHEN worded THEN txt END AS text,
+   CASE WHEN place THEN cast(floor(x + 0.5) AS BIGINT) END AS x, CASE WHEN place THEN cast(floor(y + 0.5) AS BIGINT) END AS y,
+   CASE WHEN action IN ('type', 'select') THEN value END AS value, CASE WHEN action = 'write_code' THEN coalesce(code, value) END AS code,
+   CASE WHEN action = 'scroll' THEN direction END AS direction, CASE WHEN action = 'navigate' THEN url END AS url,
+   CASE WHEN action = 'done' THEN substr(coalesce(summary, ''), 1, 500) END AS summary, CASE WHEN action = 'key_press' THEN substr(coalesce(key, 'Enter'), 1, 50) END AS key,
+   CASE WHEN action = 'wait' THEN coalesce(ms, 1000) END AS ms, CASE WHEN action = 'type' THEN profile_key END AS profile_key,
+   CASE WHEN action = 'fill_many' THEN fields END AS fields FROM replies o LEFT JOIN f ON f.reply_id = o.reply_id AND rn = 1"""
+
+
+@query("reply_actions", oracle=_REPLY_SQL)
 def reply_actions(spark, sf):
-    return agents.reply_actions(derived(spark, sf, "replies"))
+    found = agents.reply_actions(derived(spark, sf, "replies").select("reply_id", "raw"))
+    return found.withColumn("fields", F.array_join(F.transform("fields", lambda e: F.concat(e["selector"], F.lit("="), e["value"])), "; "))
 
 
 @query("fill_many", oracle=f"""{cte('fill_items')}, t AS (SELECT action_id, pos, {_T} AS selector, value FROM fill_items WHERE value IS NOT NULL AND {_T} <> '' AND {_SAFE}),

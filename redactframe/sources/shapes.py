@@ -181,19 +181,25 @@ RAW_PROFILE_TEXT = (
     "WHEN 1 THEN 'no pair here' ELSE 'Name: Rao' END) ELSE base END"
 )
 
+#: Candidate objects of replies; the queries' SQL reads these, the operator has to find them in the prose.
+CANDIDATES = [
+    '{"action":"click","selector":" #go "}', '{"action":"type","selector":"#a","value":"x { y"}', '{"note":1}', '{"action":"scroll","direction":"down"}',
+    '{"action":"done","summary":"ok"}', '{"action":"unknown","selector":"#x"}', '{"action":"hover","selector":"#y"}', '{"action":"type","selector":"#a","value":5}',
+    '{"action":"click","text":" Go "}', '{"action":"click","x":10.5,"y":20}', '{"action":"click","x":"10","y":20}', '{"action":"click","selector":"","x":70000,"y":1}',
+    '{"action":"fill_many","fields":[{"selector":"#a","value":"1"},{"selector":" #a","value":"2"},{"selector":"#b","value":3},{"action":"type","selector":"#c","value":"4"},{"action":"click","selector":"#d","value":"5"}]}',
+    '{"action":"fill_many","fields":[{"selector":"#only","value":"v","profileKey":"k"}]}', '{"action":"fill_many","fields":[{"selector":"<x>","value":"v"}]}',
+    '{"action":"fill_many","fields":"none"}', '{"action":"navigate","url":"https://shop.example/a?b=1"}', '{"action":"navigate","url":7}', '{"action":"wait","ms":50}',
+    '{"action":"wait","ms":"50"}', '{"action":"key_press","key":"Tab"}', '{"action":"key_press","key":1}', '{"action":"write_code","value":"print(1)"}',
+    '{"action":"write_code","code":7}', '{"action":"extract_text","selector":"#t"}', '{"action":"focus","selector":9}', '{"action":"select","selector":" #s","value":3}',
+    '{"action":"fill_field","field_selector":"#f","value":"w"}', '{"action":3}', '{"action":"clear","selector":"#q"}',
+]
+
 REPLIES = Shape("orders", (
     f"{O} AS reply_id",
-    pick(O, [
-        'Sure. {"action":"click","selector":"#go"} Let me know if it works.',
-        '```json{"action":"type","selector":"#a","value":"x { y"}```',
-        'No action here, just prose.',
-        '{"note":1} then {"action":"scroll","direction":"down"}',
-        'I think “done” is right: {“action”:“done”,“summary”:“ok”}',
-        '{"action":"unknown","selector":"#x"} {"action":"hover","selector":"#y"}',
-        'broken {"action":"click", "selector":',
-        '{"action":"navigate","url":"https://shop.example/a?b=1"}',
-        '{"thought":"x","action":"wait","ms":50} trailing } brace',
-    ]) + " AS raw",
+    f"concat({pick(f'{O} * 3', ['Sure. ', '```json', '', 'I think }} it is: '])}, {pick(O, CANDIDATES)}, {pick(f'{O} * 5', [' or else ', ' ', ' then '])}, "
+    f"{pick(f'cast(floor({O} / 30) AS bigint)', CANDIDATES)}, {pick(f'{O} * 7', [' Let me know.', '', ' broken {', ' trailing } brace'])}) AS raw",
+    f"{pick(O, CANDIDATES)} AS c1",
+    f"{pick(f'cast(floor({O} / 30) AS bigint)', CANDIDATES)} AS c2",
 ))
 
 ACTIONS = Shape("orders", (
@@ -201,7 +207,7 @@ ACTIONS = Shape("orders", (
     f"{block(O, 12)} AS session_id",
     f"cast({O} % 12 AS bigint) AS step",
     pick(O, ['click', 'type', 'scroll', 'navigate', 'done', 'write_code', 'key_press', 'hover', 'wait', 'select',
-             'clear', 'explode', 'click', 'fill_field']) + " AS action",
+             'clear', 'explode', 'click', 'fill_field', 'fill_many', 'focus', 'extract_text']) + " AS action",
     pick(f"{O} * 3 + 1", ['#go', ' #name_input ', None, 'input[name="q"]', '<script>', '', '*', 'a:nth-of-type(2) > b']) + " AS selector",
     pick(O, [None, 'Submit', '  ']) + " AS text",
     f"CASE WHEN {O} % 5 = 0 THEN NULL ELSE cast(({O} * 977) % 90000 AS double) / 2 - 500 END AS x",
@@ -217,6 +223,7 @@ ACTIONS = Shape("orders", (
     f"CASE WHEN {O} % 10 = 0 THEN 'please type this into the editor' ELSE 'what is it' END AS prompt",
     pick(f"{O} * 5 + 2", ['success', 'error', 'skipped', 'success', 'error']) + " AS result",
     f"CASE WHEN {O} % 4 = 0 THEN false ELSE true END AS approved",
+    f"cast({O} % 3 AS int) AS n_fields",
 ))
 
 FORM_PAGES = Shape("customer", (
