@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
+from html.entities import name2codepoint
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,19 +18,37 @@ from redactframe.operators.detect import visible_id_count
 _DROPPED = [r"(?s)<!--.*?-->", r"(?is)<head\b.*?</head>", r"(?is)<script\b.*?</script>", r"(?is)<style\b.*?</style>"]
 _HIDING = r"""(?:\shidden[\s=>]|display\s*:\s*none|visibility\s*:\s*hidden|opacity\s*:\s*0[;"'])"""
 _DROPPED += [rf"(?is)<{t}\b[^>]*{_HIDING}[^>]*>.*?</{t}>" for t in ("div", "span", "p")]
-# character references worth resolving; the ampersand goes last
-ENTITIES = [
-    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "),
-    ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"),
-]
-CONTROL_TAG = r"(?is)<(?:input|select|textarea)\b[^>]*>"
+#: Named character references by name, as the standard library lists them, and the digit forms.
+NAMED = {f"&{name};": chr(point) for name, point in name2codepoint.items() if name != "amp"}
+NAMED["&nbsp;"] = " "  # layout shows it as a blank
+_REFERENCE = r"&(?:[A-Za-z][A-Za-z0-9]{1,30}|#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6});"
+_AMPERSAND = r"&(?:amp|#0*38|#[xX]0*26);"
+#: Native controls, and any element that is editable in place.
+CONTROL_TAG = r"""(?is)<(?:(?:input|select|textarea)\b[^>]*|[a-z][a-z0-9]*\s(?:[^>]*?[\s"'])?contenteditable(?:\s*=\s*(?:"(?:true|plaintext-only)?"|'(?:true|plaintext-only)?'|true\b)[^>]*|\s[^>=]*)?)>"""
+
+
+def _resolved(ref: Column) -> Column:
+    """The character that a reference stands for; unknown names and impossible numbers stay as they are."""
+    named = F.try_element_at(F.from_json(F.lit(json.dumps(NAMED)), "map<string,string>"), ref)
+    hexed = F.when(ref.rlike("^&#[xX]"), F.regexp_extract(ref, "^&#[xX]([0-9A-Fa-f]+);$", 1)).when(
+        ref.rlike("^&#[0-9]"), F.hex(F.regexp_extract(ref, "^&#([0-9]+);$", 1).cast("bigint")))
+    point = F.conv(hexed, 16, 10).cast("bigint")
+    fits = point.between(1, 0x10FFFF) & ~point.between(0xD800, 0xDFFF)
+    numbered = F.when(fits, F.decode(F.unhex(F.lpad(hexed, 8, "0")), "UTF-32"))
+    return F.coalesce(named, numbered, ref)
+
+
+def resolve_references(text: Column) -> Column:
+    """Each different reference is replaced once; the ampersand goes last, so nothing is resolved twice."""
+    refs = F.filter(F.array_distinct(F.regexp_extract_all(text, F.lit(_REFERENCE), F.lit(0))), lambda r: ~r.rlike(_AMPERSAND))
+    out = F.aggregate(refs, text, lambda t, r: F.replace(t, r, _resolved(r)))
+    return F.regexp_replace(F.when(F.contains(text, F.lit("&")), out).otherwise(text), _AMPERSAND, "&")
 
 
 def visible_text(html: Column) -> Column:
     """Page text with one line per text node (any tag ends a node)."""
     out = reduce(lambda t, p: F.regexp_replace(t, p, " "), _DROPPED, html)
-    out = F.regexp_replace(out, "<[^>]*>", "\n")
-    return reduce(lambda t, e: F.replace(t, F.lit(e[0]), F.lit(e[1])), ENTITIES, out)
+    return resolve_references(F.regexp_replace(out, "<[^>]*>", "\n"))
 
 
 def text_nodes(pages: DataFrame) -> DataFrame:
@@ -119,7 +139,9 @@ def risk_counts(pages: DataFrame) -> DataFrame:
     labels = F.regexp_extract_all(html, F.lit(r"(?is)<label\b[^>]*>.*?</label>"), F.lit(0))
 
     def label_of(tag):
-        mine = F.filter(labels, lambda el: (attribute(el, "for") != "") & (attribute(el, "for") == attribute(tag, "id")))
+        # a label names its control by id, or stands around it
+        mine = F.filter(labels, lambda el: (
+            (attribute(el, "for") != "") & (attribute(el, "for") == attribute(tag, "id")) | (attribute(el, "for") == "") & F.contains(el, tag)))
         shown = trim(F.regexp_replace(F.get(mine, F.lit(0)), "<[^>]*>", ""))
         return F.coalesce(F.nullif(shown, F.lit("")), attribute(tag, "aria-label"))
 
@@ -188,15 +210,11 @@ def form_targets(pages: DataFrame) -> DataFrame:
 def risky_hosts(rows: DataFrame, host: str, domains=rules.RISKY_DOMAINS) -> DataFrame:
     """Rows whose host is, or is below, a listed domain: suffixes turn the subdomain test into equality.
 
-    A short list (the rule table has 19 entries) is an array literal tested inside the row. A longer
-    one becomes a semi-join on the suffix, left to adaptive execution to broadcast or not.
+    ``domains`` is a list or a one-column table of any length. Only distinct hosts are expanded and matched; the rows
+    themselves take part in one semi-join on the host, so repeated rows stay and no column needs to be comparable.
     """
-    spark = rows.sparkSession
-    listed = F.array(*[F.lit(d) for d in domains])
-    if len(domains) <= 200:
-        return rows.filter(F.arrays_overlap(urls.host_suffixes(F.regexp_replace(host, r"^www\.", "")), listed))
-    table = spark.createDataFrame([(d,) for d in domains], "suffix string")
-    tagged = rows.withColumn("__row", F.struct(*rows.columns))
-    hit = tagged.withColumn("suffix", F.explode(urls.host_suffixes(F.regexp_replace(host, r"^www\.", "")))).join(
-        table, "suffix", "left_semi")
-    return hit.select("__row").distinct().select("__row.*")
+    listed = domains.toDF("suffix") if isinstance(domains, DataFrame) else rows.sparkSession.createDataFrame([(d,) for d in domains], "suffix string")
+    hosts = rows.select(F.col(host).alias("__host")).distinct()
+    parts = hosts.select("__host", F.explode(urls.host_suffixes(F.regexp_replace("__host", r"^www\.", ""))).alias("suffix"))
+    hit = parts.join(listed, "suffix", "left_semi").select("__host").distinct()
+    return rows.join(hit, rows[host] == hit["__host"], "left_semi")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from redactframe import rules
 from redactframe.functions import urls
+from redactframe.functions.text import collapse
 from redactframe.operators import pages
 from redactframe.plans import sqltext as q
 from redactframe.plans.registry import query
@@ -18,7 +19,14 @@ from redactframe.sources.tables import derived, table
 def visible_sql(html: str) -> str:
     out = reduce(lambda t, p: f"regexp_replace({t}, {q.lit(p)}, ' ', 'g')", pages._DROPPED, html)
     out = f"regexp_replace({out}, '<[^>]*>', chr(10), 'g')"
-    return reduce(lambda t, e: f"replace({t}, {q.lit(e[0])}, {q.lit(e[1])})", pages.ENTITIES, out)
+    return reduce(lambda t, e: f"replace({t}, {q.lit(e[0])}, {q.lit(e[1])})", REFERENCES, out)
+
+
+#: The references that occur in the tables and shapes, the ampersand last.
+REFERENCES = [
+    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&#8217;", "’"), ("&#x1F600;", "\U0001F600"),
+    ("&eacute;", "é"), ("&amp;", "&"),
+]
 
 
 def attr_sql(tag: str, name: str) -> str:
@@ -57,6 +65,12 @@ def form_controls(spark, sf):
     return pages.form_controls(derived(spark, sf, "form_pages")).withColumn("field_idx", F.col("field_idx").cast("long"))
 
 
+def label_sql(tag: str) -> str:
+    """Text of the first label that names the control or stands around it, else its aria-label."""
+    own = f"list_filter(lab, lambda e: ({attr_sql('e', 'for')} <> '' AND {attr_sql('e', 'for')} = {attr_sql(tag, 'id')}) OR ({attr_sql('e', 'for')} = '' AND contains(e, {tag})))[1]"
+    return f"coalesce(nullif({q.trim(f'regexp_replace({own}, {q.lit("<[^>]*>")}, {q.lit("")}, {q.lit("g")})')}, ''), {attr_sql(tag, 'aria-label')})"
+
+
 def risk_counts_sql(src: str) -> str:
     hay = "concat_ws(' ', " + ", ".join(f"nullif({attr_sql('t', a)}, '')" for a in ("name", "id", "placeholder", "aria-label", "data-testid")) + ")"
     tag = TAG_SQL.format(t="t")
@@ -70,10 +84,10 @@ def risk_counts_sql(src: str) -> str:
       {n('ctl', f"{tag} = 'input' AND {kind} = 'password'")} AS password_fields,
       {n('ctl', f"{tag} IN ('input', 'textarea') AND {q.has(hay, rules.RISK_SENSITIVE_INPUT, True)}")} AS sensitive_inputs,
       {n('scr', tracked)} AS trackers,
-      {n('ctl', f"{tag} = 'input' AND {kind} = 'checkbox' AND {flag_sql('t', 'checked')} AND {q.has(attr_sql('t', 'aria-label'), rules.RISK_CONSENT_LABEL, True)}")} AS dark_patterns,
+      {n('ctl', f"{tag} = 'input' AND {kind} = 'checkbox' AND {flag_sql('t', 'checked')} AND {q.has(label_sql('t'), rules.RISK_CONSENT_LABEL, True)}")} AS dark_patterns,
       cast({ids} AS BIGINT) AS pii_exposed
       FROM (SELECT page_id, url, {q.host('url')} AS host, regexp_extract_all(html, {q.lit(pages.CONTROL_TAG)}) AS ctl,
-        regexp_extract_all(html, '(?is)<script\\b[^>]*>') AS scr, {visible_sql('html')} AS vis FROM {src})"""
+        regexp_extract_all(html, '(?is)<label\\b[^>]*>.*?</label>') AS lab, regexp_extract_all(html, '(?is)<script\\b[^>]*>') AS scr, {visible_sql('html')} AS vis FROM {src})"""
 
 
 def risk_sql(src: str) -> str:
@@ -136,6 +150,23 @@ def risky_domains(spark, sf):
     return pages.risky_hosts(links, "host")
 
 
+#: A list beyond what a literal could hold, with most of the rule's domains in it.
+_LONG_LIST = [*rules.RISKY_DOMAINS, *(f"listed{i}.example" for i in range(280)), "shop.example", "bank.example.org"]
+
+
+@query("risky_domains_long", oracle=f"""{cte('form_pages')}, h AS (SELECT page_id, {q.host('url')} AS host FROM form_pages UNION ALL SELECT page_id, {q.host('url')} FROM form_pages),
+ l AS (SELECT unnest([{', '.join(q.lit(d) for d in _LONG_LIST)}]) AS d)
+ SELECT page_id, host FROM h WHERE EXISTS (SELECT 1 FROM l WHERE regexp_replace(host, '^www\\.', '') = d OR ends_with(regexp_replace(host, '^www\\.', ''), concat('.', d)))""")
+def risky_domains_long(spark, sf):
+    hosts = derived(spark, sf, "form_pages").select("page_id", urls.host(F.col("url")).alias("host"))
+    return pages.risky_hosts(hosts.unionAll(hosts), "host", _LONG_LIST)
+
+
+@query("form_page_text", oracle=f"""{cte('form_pages')} SELECT page_id, {q.collapse(visible_sql('html'))} AS text FROM form_pages""")
+def form_page_text(spark, sf):
+    return derived(spark, sf, "form_pages").select("page_id", collapse(pages.visible_text(F.col("html"))).alias("text"))
+
+
 @query("scannable_pages", oracle=f"SELECT page_id, url FROM pages WHERE {q.scheme('url')} IN ('http', 'https', 'file') AND NOT ends_with(lower(url), '.pdf')")
 def scannable_pages(spark, sf):
     return table(spark, sf, "pages").filter(pages.scannable(F.col("url"))).select("page_id", "url")
