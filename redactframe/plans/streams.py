@@ -49,8 +49,11 @@ def stream_budget(spark, sf):
     return streams.latest(updates, ["user_id"])
 
 
-@query("stream_approvals", oracle=f"""WITH {EV} SELECT p.user_id, p.event_id AS pending_id, d.event_id AS decision_id, d.event_id IS NOT NULL AS approved FROM e p LEFT JOIN e d
- ON d.user_id = p.user_id AND d.event_type = 'purchase' AND d.ts_ms >= p.ts_ms AND d.ts_ms <= p.ts_ms + {2 * HOUR} WHERE p.event_type = 'click'""")
+@query("stream_approvals", oracle=f"""WITH {EV}, j AS (SELECT p.user_id, p.event_id AS pending_id, d.event_id AS decision_id,
+   row_number() OVER (PARTITION BY p.user_id, p.event_id ORDER BY d.ts_ms, d.event_id) AS rn FROM e p LEFT JOIN e d
+   ON d.user_id = p.user_id AND d.event_type = 'purchase' AND (d.ts_ms > p.ts_ms OR d.ts_ms = p.ts_ms AND d.event_id > p.event_id) AND d.ts_ms <= p.ts_ms + {2 * HOUR}
+   WHERE p.event_type = 'click')
+ SELECT user_id, pending_id, decision_id, decision_id IS NOT NULL AS approved FROM j WHERE rn = 1""")
 def stream_approvals(spark, sf):
     far = _sentinel(spark, f"cast({NO_USER} AS bigint) AS user_id, cast(-1 AS bigint) AS event_id, 'click' AS event_type, timestamp '2100-01-01' AS ts "
                            f"UNION ALL SELECT {NO_USER - 1}, -2, 'purchase', timestamp '2100-01-01'")

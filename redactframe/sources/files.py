@@ -16,14 +16,28 @@ from redactframe.operators.documents import doc_format, needs_ocr
 TEXT_FORMATS = ["text", "json", "csv", "md"]
 
 
-def scan_files(spark: SparkSession, path: str) -> DataFrame:
-    """Listing of document files: path, name, format, n_bytes. Contents are not read (pruned column)."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+
+
+def _described(files: DataFrame) -> DataFrame:
     name = F.element_at(F.split("path", "/"), -1)
-    return files.select("path", name.alias("name"), F.col("length").alias("n_bytes"), "content").withColumn(
+    kept = [c for c in ("content",) if c in files.columns]
+    return files.select("path", name.alias("name"), F.col("length").alias("n_bytes"), *kept).withColumn(
         "format", doc_format(F.col("name"), F.lit(None).cast("string")))
 
 
+def scan_files(spark: SparkSession, path: str) -> DataFrame:
+    """Listing of document files: path, name, format, n_bytes. The scan does not name the contents, so none is opened."""
+    return _described(_files(spark, path).select("path", "length"))
+
+
+def file_contents(spark: SparkSession, path: str, most_bytes: int) -> DataFrame:
+    """Files of at most ``most_bytes`` with their content. The limit is a plain filter on the length and reaches the
+    scan, which then skips larger files before it opens them."""
+    return _described(_files(spark, path).where(F.col("length") <= most_bytes))
+
+
 def utf8_text(content: Column) -> Column:
     """Bytes as text: malformed sequences become the replacement character, a byte order mark goes.
 
@@ -32,24 +46,24 @@ def utf8_text(content: Column) -> Column:
     return F.regexp_replace(F.make_valid_utf8(content.cast("string")), "^\ufeff", "")
 
 
-def ingest(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def ingest(spark: SparkSession, path: str, most_bytes: int = rules.MAX_DOCUMENT_BYTES) -> tuple[DataFrame, DataFrame]:
     """Documents with their text, and rejected files with a code.
 
-    Size and type are decided from the listing, so oversized and unsupported files are never
-    opened. A file scan skips files without bytes, so EMPTY appears only for listings that come
-    as a table (documents.split_ingest). PDF text needs a parser library and comes in as a text table instead; a PDF file is reported as NO_PARSER.
+    Size and type are decided from a listing; a second scan opens only files within ``most_bytes``. A file scan skips
+    files without bytes, so EMPTY appears only for listings that come as a table (documents.split_ingest). PDF text
+    needs a parser library and comes in as a text table instead; a PDF file is reported as NO_PARSER.
     """
-    files = scan_files(spark, path)
     code = (
         F.when(F.col("format").isNull(), "UNSUPPORTED")
-        .when(F.col("n_bytes") > rules.MAX_DOCUMENT_BYTES, "TOO_LARGE")
+        .when(F.col("n_bytes") > most_bytes, "TOO_LARGE")
         .when(F.col("format") == "pdf", "NO_PARSER")
     )
-    coded = files.withColumn("reject_code", code)
-    plain = coded.filter(F.col("reject_code").isNull() & F.col("format").isin(TEXT_FORMATS)).select(
+    early = scan_files(spark, path).withColumn("reject_code", code).filter("reject_code IS NOT NULL").select(
+        "path", "name", "format", "n_bytes", "reject_code")
+    readable = file_contents(spark, path, most_bytes)
+    plain = readable.filter(F.col("format").isin(TEXT_FORMATS)).select(
         "path", "name", "format", "n_bytes", utf8_text(F.col("content")).alias("text"), F.lit(None).cast("string").alias("reject_code"))
-    word = docx_text(coded.filter(F.col("reject_code").isNull() & (F.col("format") == "docx")))
-    early = coded.filter(F.col("reject_code").isNotNull()).select("path", "name", "format", "n_bytes", "reject_code")
+    word = docx_text(readable.filter(F.col("format") == "docx"), most_bytes)
     read = plain.unionByName(word)
     rejected = early.unionByName(read.filter("reject_code IS NOT NULL").drop("text"))
     accepted = read.filter("reject_code IS NULL").drop("reject_code").withColumn("needs_ocr", needs_ocr(F.col("text")))
@@ -59,38 +73,45 @@ def ingest(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 _DOCX_SCHEMA = "path string, name string, format string, n_bytes long, text string, reject_code string"
 
 
-def docx_text(files: DataFrame) -> DataFrame:
-    """One text per DOCX file: a line per paragraph, its runs joined. Broken files become reject rows."""
-    out = files.select("path", "name", "format", "n_bytes", "content").mapInPandas(_read_docx, _DOCX_SCHEMA)
+def docx_text(files: DataFrame, most_bytes: int = rules.MAX_DOCUMENT_BYTES) -> DataFrame:
+    """One text per DOCX file: a line per paragraph, its runs joined. Broken files become reject rows, and so do
+    files whose document part unpacks to more than ten times ``most_bytes``: reading stops there."""
+    out = files.select("path", "name", "format", "n_bytes", "content").mapInPandas(_docx_reader(10 * most_bytes), _DOCX_SCHEMA)
     tidy = F.regexp_replace(F.regexp_replace("text", r"[ \t]+\n", "\n"), r"\n{3,}", "\n\n")
     return out.withColumn("text", trim(tidy))
 
 
-def _read_docx(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    import io
-    import zipfile
-    from xml.etree import ElementTree
-
+def _docx_reader(most: int):
     def local(tag: str) -> str:
         return tag.rsplit("}", 1)[-1]
 
     def read(content: bytes) -> tuple[str | None, str | None]:
+        import io
+        import zipfile
+        import zlib
+        from xml.etree import ElementTree
+
         try:
-            with zipfile.ZipFile(io.BytesIO(content)) as z:
-                xml = z.read("word/document.xml")
+            with zipfile.ZipFile(io.BytesIO(content)) as z, z.open("word/document.xml") as part:
+                xml = part.read(most + 1)
+            if len(xml) > most:
+                return None, "TOO_LARGE"
             root = ElementTree.fromstring(xml)
         except KeyError:
             return None, "DOCX_NO_DOCUMENT"
-        except (zipfile.BadZipFile, ElementTree.ParseError, OSError, ValueError):
+        except (zipfile.BadZipFile, zlib.error, ElementTree.ParseError, OSError, ValueError, NotImplementedError):
             return None, "DOCX_UNREADABLE"
         paragraphs = [p for p in root.iter() if local(p.tag) == "p"]
         texts = ["".join(t.text or "" for t in p.iter() if local(t.tag) == "t") for p in paragraphs]
         return "\n".join(texts), None
 
-    for batch in batches:
-        results = [read(bytes(c)) for c in batch["content"]]
-        yield batch.drop(columns="content").assign(
-            text=[r[0] for r in results], reject_code=[r[1] for r in results])
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            results = [read(bytes(c)) for c in batch["content"]]
+            yield batch.drop(columns="content").assign(
+                text=[r[0] for r in results], reject_code=[r[1] for r in results])
+
+    return run
 
 
 # --- images ------------------------------------------------------------------------
@@ -161,6 +182,6 @@ def profile_documents(entries: DataFrame) -> DataFrame:
     return packed.select("profile_name", F.to_json(F.struct(F.col("profile_name").alias("profileName"), "data")).alias("document"))
 
 
-def write_profiles(entries: DataFrame, path: str) -> None:
-    """Profile export, one folder per profile name, rows streamed as JSON lines."""
-    entries.write.mode("overwrite").partitionBy("profile_name").json(path)
+def write_profiles(entries: DataFrame, path: str, buckets: int = 64) -> None:
+    """Profile export: entries as JSON lines, all of a profile in one of ``buckets`` folders (a hash of its name)."""
+    entries.withColumn("bucket", F.pmod(F.xxhash64("profile_name"), F.lit(buckets)).cast("int")).write.mode("overwrite").partitionBy("bucket").json(path)

@@ -140,3 +140,21 @@ def test_memory_over_several_batches(spark, tmp_path):
     newest = out.groupBy("key").agg(F.max("batch").alias("batch"))
     got = {(r["key"], r["turn"], len(r["text"])) for r in out.join(newest, ["key", "batch"]).collect()}
     assert got == {(k, t, 500 if t % 2 else 600) for k in range(2) for t in range(4, 10)}
+
+
+def test_ingest_never_opens_large_files(spark, tmp_path):
+    """Even a reader limit below the file's size does not fail the job, and a small archive cannot unpack without end."""
+    (tmp_path / "big.txt").write_text("x" * 5000)
+    (tmp_path / "small.txt").write_text("a small note of some length")
+    with zipfile.ZipFile(tmp_path / "bomb.docx", "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("word/document.xml", "<w>" + " " * 100_000 + "</w>")
+    before = spark.conf.get("spark.sql.sources.binaryFile.maxLength")
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "2000")
+    try:
+        accepted, rejected = files.ingest(spark, str(tmp_path), most_bytes=1000)
+        assert [r["name"] for r in accepted.collect()] == ["small.txt"]
+        assert {r["name"]: r["reject_code"] for r in rejected.collect()} == {"big.txt": "TOO_LARGE", "bomb.docx": "TOO_LARGE"}
+        plan = files.file_contents(spark, str(tmp_path), 1000)._jdf.queryExecution().toString()
+        assert "LessThanOrEqual(length,1000)" in plan
+    finally:
+        spark.conf.set("spark.sql.sources.binaryFile.maxLength", before)
