@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from redactframe import rules
 from redactframe.functions.checksums import luhn_valid, verhoeff_valid
-from redactframe.functions.text import collapse, digits, jvm_regex, let, lines, matches, materialize, trim
+from redactframe.functions.text import collapse, digits, jvm_regex, let, lines, matches, trim
 from redactframe.operators.detect import is_never_store_key, is_never_store_value
 from redactframe.operators.fields import clean_label, resolve_label_expr
 
@@ -22,34 +22,46 @@ def clip_value(value: Column) -> Column:
     return F.when(F.length(value) > cap, F.concat(F.substring(value, 1, cap - 3), F.lit("..."))).otherwise(value)
 
 
+def _first_per_key(entries: Column) -> Column:
+    """Entries (key, rank, value) in key order, only the lowest rank of each key; n log n in a row's entries."""
+    return let(F.array_sort(entries), lambda s: F.filter(s, lambda e, i: (i == 0) | (F.get(s, i - 1)["key"] != e["key"])))
+
+
+def label_entries(text: Column, kyc: bool = False) -> Column:
+    """``Label: value`` lines of a text as ARRAY<STRUCT<key, rank, value>>, the first line per key.
+
+    Every step maps one array to the next, so each line is looked at once and nothing leaves the row. Lines and values
+    beyond the rules' lengths are no profile entries.
+    """
+    cut = F.filter(F.transform(lines(text), trim), lambda x: (
+        (x != "") & (F.length(x) <= rules.MAX_PROFILE_LINE_CHARS) & ~x.rlike(r"^\||^#{1,6}\s|^---+$")))
+    plain = F.filter(F.transform(cut, lambda x: trim(F.regexp_replace(x, r"[*_]", ""))), lambda x: x.rlike(rules.LABEL_VALUE_LINE))
+    pairs = F.transform(plain, lambda x, i: F.struct(
+        clean_label(F.regexp_extract(x, rules.LABEL_VALUE_LINE, 1)).alias("label"), i.alias("rank"),
+        collapse(F.regexp_extract(x, rules.LABEL_VALUE_LINE, 2)).alias("value")))
+
+    def usable(e: Column) -> Column:
+        fits = (e["label"] != "") & (e["value"] != "") & (F.length(e["value"]) <= rules.MAX_PROFILE_VALUE_CHARS)
+        allowed = F.lit(True) if kyc else ~matches(e["label"], rules.SKIP_LABELS, True) & ~_forbidden(e["label"], e["value"])
+        return fits & allowed & ~matches(e["label"], rules.NOISE_LABELS, True)
+
+    named = F.transform(F.filter(pairs, usable), lambda e: F.struct(
+        F.coalesce(resolve_label_expr(e["label"]), e["label"]).alias("key"), e["rank"].alias("rank"), clip_value(e["value"]).alias("value")))
+    return _first_per_key(named)
+
+
+def _exploded(docs: DataFrame, key: str, entries: Column, kyc: bool) -> DataFrame:
+    out = docs.select(key, F.explode(entries).alias("e")).select(key, "e.key", "e.value")
+    return out if kyc else out.filter(~_forbidden(F.col("key"), F.col("value")))
+
+
 def label_values(docs: DataFrame, kyc: bool = False, key: str = "doc_id") -> DataFrame:
-    """``Label: value`` lines of a text as (key, profile key, value); the first line per key wins.
+    """``Label: value`` lines as (key, profile key, value); the first line per key wins, no shuffle.
 
     Labels that resolve to no profile key are kept under their own text. ``kyc=True`` lets
     identifiers through.
     """
-    cut = docs.select(key, F.posexplode(lines(F.col("text"))).alias("line_idx", "raw_line"))
-    trimmed = materialize(cut, [key, "line_idx"], line=trim(F.col("raw_line"))).filter(
-        (F.col("line") != "") & (F.length("line") <= rules.MAX_PROFILE_LINE_CHARS)
-        & ~F.col("line").rlike(r"^\||^#{1,6}\s|^---+$")
-    )
-    plain = materialize(trimmed, [key, "line_idx"], plain=trim(F.regexp_replace("line", r"[*_]", "")))
-    shaped = materialize(
-        plain.filter(F.col("plain").rlike(rules.LABEL_VALUE_LINE)), [key, "line_idx"],
-        label=clean_label(F.regexp_extract("plain", rules.LABEL_VALUE_LINE, 1)),
-        value=collapse(F.regexp_extract("plain", rules.LABEL_VALUE_LINE, 2)),
-    ).filter((F.col("label") != "") & (F.col("value") != "") & (F.length("value") <= rules.MAX_PROFILE_VALUE_CHARS))
-    if not kyc:
-        shaped = shaped.filter(
-            ~matches(F.col("label"), rules.SKIP_LABELS, True) & ~_forbidden(F.col("label"), F.col("value"))
-        )
-    named = materialize(
-        shaped.filter(~matches(F.col("label"), rules.NOISE_LABELS, True)), [key, "line_idx", "value"],
-        key=F.coalesce(resolve_label_expr(F.col("label")), F.col("label")),
-    )
-    first = named.groupBy(key, "key").agg(F.min_by("value", "line_idx").alias("value"))
-    out = first.withColumn("value", clip_value(F.col("value")))
-    return out if kyc else out.filter(~_forbidden(F.col("key"), F.col("value")))
+    return _exploded(docs, key, label_entries(F.col("text"), kyc), kyc)
 
 
 def _cue(text: Column, pattern: str, ignore_case: bool = True) -> Column:
@@ -102,16 +114,36 @@ def indic_cues(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     return docs.select(key, F.explode(indic_entries(F.col("text"))).alias("e")).select(key, "e.key", "e.value")
 
 
+def json_entries(text: Column, kyc: bool = False) -> Column:
+    """Entries of a JSON-object text as ARRAY<STRUCT<key, rank, value>>; empty for any other text."""
+    raw = F.filter(F.transform(F.map_entries(_as_map(text)), lambda e, i: F.struct(
+        e["key"].alias("raw"), i.alias("rank"), trim(e["value"]).alias("value"))), lambda e: F.coalesce(e["value"], F.lit("")) != "")
+    kept = raw if kyc else F.filter(raw, lambda e: ~_forbidden(e["raw"], e["value"]))
+    own = lambda e: F.coalesce(F.nullif(clean_label(e["raw"]), F.lit("")), e["raw"])
+    named = F.transform(kept, lambda e: F.struct(F.coalesce(resolve_label_expr(e["raw"]), own(e)).alias("key"), e["rank"].alias("rank"), e["value"].alias("value")))
+    return F.coalesce(_first_per_key(named), F.array().cast("array<struct<key:string,rank:int,value:string>>"))
+
+
 def extract_profile(docs: DataFrame, kyc: bool = False, key: str = "doc_id") -> DataFrame:
-    """Cues, then spoken cues, then label lines; the earlier stage wins per key."""
-    cues = docs.select(key, F.explode(cue_entries(F.col("text"))).alias("e")).select(
-        key, "e.key", "e.value", F.lit(0).alias("stage"))
-    spoken = indic_cues(docs, key).withColumn("stage", F.lit(1))
-    labelled = label_values(docs, kyc, key).withColumn("stage", F.lit(2))
-    best = cues.unionByName(spoken).unionByName(labelled).groupBy(key, "key").agg(
-        F.min_by("value", "stage").alias("value"))
-    out = best.withColumn("value", clip_value(F.col("value")))
-    return out if kyc else out.filter(~_forbidden(F.col("key"), F.col("value")))
+    """Entries of a JSON object; of any other text cues, then spoken cues, then label lines, the earlier stage wins per key.
+
+    Everything of a document comes out of its own row: one scan, no shuffle.
+    """
+    text = F.col("text")
+    ranked = lambda entries, rank: F.transform(entries, lambda e: F.struct(
+        e["key"].alias("key"), F.lit(rank).alias("rank"), clip_value(e["value"]).alias("value")))
+    labelled = label_entries(text, kyc)
+    labelled = labelled if kyc else F.filter(labelled, lambda e: ~_forbidden(e["key"], e["value"]))
+    staged = _first_per_key(F.concat(ranked(cue_entries(text), 0), ranked(indic_entries(text), 1), ranked(labelled, 2)))
+    entries = let(F.when(F.startswith(trim(text), F.lit("{")), json_entries(text, kyc)), lambda j: F.when(F.size(j) > 0, j).otherwise(staged))
+    return _exploded(docs, key, entries, kyc)
+
+
+def display_fields(entries: DataFrame) -> DataFrame:
+    """Entries under the labels that people read; forbidden and blank ones go. Other columns pass."""
+    labels = F.create_map(*[F.lit(x) for pair in rules.PROFILE_LABELS.items() for x in pair])
+    kept = entries.filter(~_forbidden(F.col("key"), F.col("value"))).withColumn("value", trim(F.col("value"))).filter("value <> ''")
+    return kept.withColumn("key", F.coalesce(F.try_element_at(labels, F.col("key")), F.col("key")))
 
 
 _MAP = T.MapType(T.StringType(), T.StringType())

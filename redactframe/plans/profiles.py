@@ -91,15 +91,26 @@ def indic_cues(spark, sf):
     return profile.indic_cues(derived(spark, sf, "indic_texts"))
 
 
-@query("extract_profile", oracle=f"""{cte('profile_texts')}, {LINES_SQL}, u AS (SELECT doc_id, key, value, 0 AS stage FROM ({cues_sql('profile_texts')}) WHERE coalesce(value, '') <> ''
+_PROFILE_SQL = f"""{cte('profile_texts')}, {LINES_SQL}, u AS (SELECT doc_id, key, value, 0 AS stage FROM ({cues_sql('profile_texts')}) WHERE coalesce(value, '') <> ''
   UNION ALL SELECT doc_id, key, value, 1 FROM ({indic_sql('profile_texts')}) WHERE coalesce(value, '') <> ''
   UNION ALL SELECT doc_id, key, value, 2 FROM labelled WHERE NOT {forbidden('key', 'value')}),
- b AS (SELECT doc_id, key, min_by(value, stage) AS value FROM u GROUP BY doc_id, key)
- SELECT doc_id, key, {clip('value')} AS value FROM b WHERE NOT {forbidden('key', 'value')}""")
+ b AS (SELECT doc_id, key, min_by(value, stage) AS value FROM u GROUP BY doc_id, key),
+ profile AS (SELECT doc_id, key, {clip('value')} AS value FROM b WHERE NOT {forbidden('key', 'value')})"""
+
+
+@query("extract_profile", oracle=f"{_PROFILE_SQL} SELECT * FROM profile")
 def extract_profile(spark, sf):
     return profile.extract_profile(derived(spark, sf, "profile_texts"))
 
 
+_LABELS = "CASE key " + " ".join(f"WHEN {q.lit(k)} THEN {q.lit(v)}" for k, v in rules.PROFILE_LABELS.items()) + " ELSE key END"
+
+
+@query("profile_display", oracle=f"{_PROFILE_SQL} SELECT doc_id, {_LABELS} AS key, {q.trim('value')} AS value FROM profile WHERE NOT {forbidden('key', 'value')} AND {q.trim('value')} <> ''")
+def profile_display(spark, sf):
+    return profile.display_fields(profile.extract_profile(derived(spark, sf, "profile_texts")))
+
+
 RAW = f"raw AS (SELECT user_id, {RAW_PROFILE_TEXT} AS raw FROM raw_profiles)"
 
 
@@ -121,6 +132,17 @@ def json_profiles(spark, sf):
     return profile.json_profiles(_raw(spark, sf), "raw")
 
 
+@query("extract_json_profile", oracle=f"""{cte('raw_profiles')}, {RAW.replace("FROM raw_profiles", f"FROM raw_profiles WHERE starts_with({RAW_PROFILE_TEXT}, '{{') AND json_valid({RAW_PROFILE_TEXT})")}, {JSON_ENTRIES},
+ c AS (SELECT user_id, pos, raw_key, {q.trim('value')} AS value FROM je WHERE {q.trim('value')} <> '' AND NOT {forbidden('raw_key', q.trim('value'))}),
+ r AS ({resolve_sql('raw_key', 'c', 'user_id, pos, raw_key, value')}),
+ f AS (SELECT user_id, coalesce(key, nullif({_CLEAN('raw_key')}, ''), raw_key) AS key, min_by(value, pos) AS value FROM r GROUP BY 1, 2)
+ SELECT user_id, key, value FROM f WHERE NOT {forbidden('key', 'value')}""")
+def extract_json_profile(spark, sf):
+    """The JSON branch of extraction, on the rows that are JSON objects."""
+    objects = _raw(spark, sf).where("startswith(raw, '{') AND try_parse_json(raw) IS NOT NULL").withColumnRenamed("raw", "text")
+    return profile.extract_profile(objects, key="user_id")
+
+
 _PAIR = q.lit(profile._PAIR)
 NORM_SQL = f"""{cte('raw_profiles')}, {RAW}, {JSON_ENTRIES},
  t AS (SELECT user_id, {q.trim('raw')} AS t FROM raw WHERE {q.trim('raw')} <> ''),
