@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,35 +88,33 @@ def clip(sentence: Column, cap: int = rules.MAX_SNIPPET_CHARS) -> Column:
     return F.when(F.length(s) <= cap, s).otherwise(F.concat(short, F.lit("…")))
 
 
-# The query side of one scan. Beyond this many keyword uses the queries are split over several scans.
-MAX_KEYWORDS_PER_SCAN = 50_000
+#: Keyword uses (query and keyword) that one scan carries: a few bytes each in every Python worker.
+KEYWORD_USES_PER_SCAN = 2_000_000
 
 
-def top_snippets(docs: DataFrame, queries: DataFrame, k: int = rules.DEFAULT_TOP_K) -> DataFrame:
+def top_snippets(docs: DataFrame, queries: DataFrame, k: int = rules.DEFAULT_TOP_K, uses_per_scan: int = KEYWORD_USES_PER_SCAN) -> DataFrame:
     """The k best sentences per query over all documents.
 
     ``docs``: doc_id, text. ``queries``: query_id, text. Score = how many of the query's
     keywords the lower-cased sentence contains; ties keep document order (doc_id, sent_idx).
 
-    Queries x sentences is never formed as rows. Each task reads its documents once,
-    finds all keywords with one automaton, scores a block of sentences against all
-    queries with a matrix product and keeps k rows per query. Only those leave the task, so
-    the single shuffle moves at most k rows per query and task. The query side shipped to
-    the tasks is bounded: its size is counted first, and a larger set is cut into hash
-    groups, each with its own scan.
+    Queries x sentences is never formed as rows. Each task reads its documents once, looks every distinct word up in
+    one automaton of all keywords, and follows each keyword's list of queries; only k rows per query leave the task,
+    so the single shuffle moves at most k rows per query and task. What the tasks are sent is proportional to the
+    keyword uses and counted first; a larger query set is cut into hash groups with a scan each.
     """
     k = max(1, min(rules.MAX_TOP_K, k))
     asked = queries.select("query_id", keywords(F.col("text")).alias("kw")).filter(F.size("kw") > 0)
     load = asked.agg(F.sum(F.size("kw"))).first()[0] or 0
-    groups = max(1, -(-int(load) // MAX_KEYWORDS_PER_SCAN))
+    groups = max(1, -(-int(load) // uses_per_scan))
     bodies = docs.select("doc_id", sentence_array(F.col("text")).alias("sents")).filter(F.size("sents") > 0)
     schema = "query_id long, doc_id long, sent_idx int, score int, sentence string"
     found = None
     for g in range(groups):
         part = asked if groups == 1 else asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(groups)) == g)
-        # bounded by MAX_KEYWORDS_PER_SCAN on average
-        rows = part.collect()
-        best = bodies.mapInPandas(_scan_for([(r[0], list(r[1])) for r in rows], k), schema)
+        uses = part.select("query_id", F.explode("kw").alias("word")).toArrow()
+        sent = docs.sparkSession.sparkContext.broadcast(KeywordIndex.of(uses.column("word").to_pylist(), uses.column("query_id").to_numpy()))
+        best = bodies.mapInPandas(_scan_for(sent, k), schema)
         found = best if found is None else found.unionByName(best)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id", "sent_idx")
     return (
@@ -122,28 +124,39 @@ def top_snippets(docs: DataFrame, queries: DataFrame, k: int = rules.DEFAULT_TOP
     )
 
 
-def _scan_for(queries: list[tuple[int, list[str]]], k: int):
+@dataclass
+class KeywordIndex:
+    """Keywords in order, and for each the numbers of the queries that use it."""
+
+    words: list[str]
+    starts: np.ndarray
+    queries: np.ndarray
+    ids: np.ndarray  # query number to query_id
+
+    @classmethod
+    def of(cls, words: list[str], query_ids: np.ndarray) -> KeywordIndex:
+        vocabulary = sorted(set(words))
+        number = {w: i for i, w in enumerate(vocabulary)}
+        keyword = np.array([number[w] for w in words], np.int64)
+        ids, query = np.unique(query_ids, return_inverse=True)
+        order = np.argsort(keyword, kind="stable")
+        return cls(vocabulary, np.searchsorted(keyword[order], np.arange(len(vocabulary) + 1)), query[order].astype(np.int32), ids)
+
+
+def _scan_for(sent, k: int):
     """mapInPandas body: per task the k best sentences of every query."""
 
     def scan(batches: Iterator) -> Iterator:
         import re
 
         import ahocorasick
-        import numpy as np
-        import pandas as pd
 
-        vocabulary = sorted({w for _, kw in queries for w in kw})
-        number = {w: i for i, w in enumerate(vocabulary)}
+        index: KeywordIndex = sent.value
         machine = ahocorasick.Automaton()
-        for w, i in number.items():
+        for i, w in enumerate(index.words):
             machine.add_word(w, i)
-        if vocabulary:
+        if index.words:
             machine.make_automaton()
-        uses = np.zeros((len(vocabulary), len(queries)), dtype=np.float32)
-        for col, (_, kw) in enumerate(queries):
-            uses[[number[w] for w in kw], col] = 1.0
-        best: list[list[tuple]] = [[] for _ in queries]
-        floor = np.zeros(len(queries), dtype=np.float32)
 
         # A keyword has letters and digits only, so it lies inside one such run of the sentence.
         # Runs repeat a lot: each is looked up once while the (bounded) memo lasts.
@@ -158,41 +171,49 @@ def _scan_for(queries: list[tuple[int, list[str]]], k: int):
                 ids = memo[word] = frozenset(i for _, i in machine.iter(word))
             return ids
 
-        def settle(block: list[tuple]) -> None:
-            hits = np.zeros((len(block), len(vocabulary)), dtype=np.float32)
-            for row, (_, _, s) in enumerate(block):
-                found = frozenset().union(*map(inside, set(run.findall(s.lower()))))
-                if found:
-                    hits[row, list(found)] = 1.0
-            scores = hits @ uses
-            for col in np.nonzero(scores.max(axis=0) >= np.maximum(floor, 1))[0]:
-                column = scores[:, col]
-                rows = np.nonzero(column >= max(1.0, floor[col]))[0]
-                if len(rows) > k:
-                    cut = np.sort(column[rows])[-k]
-                    rows = rows[column[rows] >= cut]
-                fresh = [(-int(column[r]), block[r][0], block[r][1], block[r][2]) for r in rows]
-                best[col] = sorted(best[col] + fresh, key=lambda t: t[:3])[:k]
-                if len(best[col]) == k:
-                    floor[col] = -best[col][-1][0]
-
-        block: list[tuple] = []
-        size = max(64, min(1024, 1_000_000 // max(1, len(vocabulary) + len(queries))))
+        # the best rows so far: query number, score, document, sentence number, sentence
+        best = [np.zeros(0, np.int64) for _ in range(4)] + [np.zeros(0, object)]
+        floor = np.ones(len(index.ids), np.int64)
+
+        def settle(keywords_: list[int], rows: list[int], block: list[tuple]) -> None:
+            """Scores the block's sentences for all queries that share a keyword with them, and keeps k a query."""
+            nonlocal best
+            word, row = np.array(keywords_), np.array(rows)
+            many = index.starts[word + 1] - index.starts[word]
+            at = np.repeat(index.starts[word] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+            key, score = np.unique(np.repeat(row, many) * np.int64(len(index.ids)) + index.queries[at], return_counts=True)
+            query, row = key % len(index.ids), key // len(index.ids)
+            good = score >= floor[query]
+            query, row, score = query[good], row[good], score[good]
+            fresh = [query, score, np.array([b[0] for b in block], np.int64)[row], np.array([b[1] for b in block], np.int64)[row],
+                     np.array([b[2] for b in block] + [None], object)[:-1][row]]
+            merged = [np.concatenate(pair) for pair in zip(best, fresh, strict=True)]
+            order = np.lexsort((merged[3], merged[2], -merged[1], merged[0]))
+            first = np.searchsorted(merged[0][order], merged[0][order])
+            order = order[np.arange(len(order)) - first < k]
+            best = [m[order] for m in merged]
+            full, many = np.unique(best[0], return_counts=True)
+            last = np.cumsum(many) - 1
+            floor[full[many == k]] = best[1][last[many == k]]
+
+        block, keywords_, rows, load = [], [], [], 0
         for batch in batches:
-            if not vocabulary:
-                continue
             for doc_id, sents in zip(batch["doc_id"], batch["sents"]):
                 for i, s in enumerate(sents):
+                    found = frozenset().union(*map(inside, set(run.findall(s.lower()))))
+                    if not found:
+                        continue
+                    rows.extend([len(block)] * len(found))
+                    keywords_.extend(found)
                     block.append((int(doc_id), i, s))
-                    if len(block) >= size:
-                        settle(block)
-                        block = []
+                    load += sum(int(index.starts[w + 1] - index.starts[w]) for w in found)
+                    if load >= 500_000:  # entries of one numpy step
+                        settle(keywords_, rows, block)
+                        block, keywords_, rows, load = [], [], [], 0
         if block:
-            settle(block)
-        out = [
-            (queries[col][0], d, i, -neg, s) for col, rows in enumerate(best) for neg, d, i, s in rows
-        ]
-        yield pd.DataFrame(out, columns=["query_id", "doc_id", "sent_idx", "score", "sentence"])
+            settle(keywords_, rows, block)
+        yield pd.DataFrame({
+            "query_id": index.ids[best[0]] if len(index.ids) else best[0], "doc_id": best[2], "sent_idx": best[3], "score": best[1], "sentence": best[4]})
 
     return scan
 
@@ -235,9 +256,10 @@ def vault_retention(
 
 def shrink_to(text: Column, max_bytes: int) -> Column:
     """Drop the last tenth again and again until the UTF-8 size fits."""
-    # 0.9^n shrinks any 2 GB text below one byte well within 220 steps; a step that fits does nothing.
+    # as many tenths as it can take down to the limit at four bytes a character, and some for rounding
+    steps = F.ceil(F.log(F.greatest(4 * F.length(text), F.lit(2)) / F.lit(max(1, max_bytes))) / F.lit(math.log(1 / 0.9))).cast("int") + F.lit(8)
     fold = F.aggregate(
-        F.sequence(F.lit(1), F.lit(220)),
+        F.sequence(F.lit(1), F.greatest(steps, F.lit(1))),
         text,
         lambda t, _: F.when(F.octet_length(t) <= max_bytes, t).otherwise(
             F.substring(t, F.lit(1), F.floor(F.length(t) * 0.9).cast("int"))

@@ -85,16 +85,27 @@ def stream_memory(spark, sf):
     return out.join(newest, ["key", "batch"]).select(F.col("key").alias("conv_id"), "turn", "role", "text")
 
 
-@query("stream_risk_badge")
+_TTL, _VISIT, _LOAD = HOUR // 2, HOUR // 3, HOUR // 2
+_KIND = "CASE event_type WHEN 'signup' THEN 'close' WHEN 'purchase' THEN 'load' ELSE 'visit' END"
+
+
+@query("stream_risk_badge", oracle=f"""WITH RECURSIVE {EV}, o AS (SELECT user_id, ts_ms, {_KIND} AS kind, row_number() OVER (PARTITION BY user_id ORDER BY ts_ms, event_id) AS n FROM e),
+ r AS (SELECT user_id, cast(0 AS BIGINT) AS n, cast(NULL AS BIGINT) AS report, cast(NULL AS BIGINT) AS due, cast(NULL AS BIGINT) AS refreshed, cast(NULL AS BIGINT) AS cached FROM o WHERE n = 1
+  UNION ALL SELECT user_id, n, CASE WHEN kind <> 'close' THEN report END, CASE WHEN kind = 'load' THEN ts_ms + {_LOAD} WHEN kind = 'close' THEN NULL WHEN fresh THEN due ELSE ts_ms + {_VISIT} END,
+   refreshed, CASE WHEN kind = 'visit' AND fresh THEN ts_ms END
+  FROM (SELECT *, coalesce(ts_ms - report < {_TTL}, false) AS fresh FROM (
+   SELECT o.user_id, o.n, o.ts_ms, o.kind, CASE WHEN r.due <= o.ts_ms THEN r.due ELSE r.report END AS report, CASE WHEN r.due <= o.ts_ms THEN NULL ELSE r.due END AS due,
+    CASE WHEN r.due <= o.ts_ms THEN r.due END AS refreshed FROM r JOIN o ON o.user_id = r.user_id AND o.n = r.n + 1)))
+ SELECT user_id, refreshed AS ts_ms, 'refresh' AS kind FROM r WHERE refreshed IS NOT NULL UNION ALL SELECT user_id, cached, 'cached' FROM r WHERE cached IS NOT NULL
+ UNION ALL SELECT user_id, max_by(due, n), 'refresh' FROM (SELECT user_id, n, coalesce(due, -1) AS due FROM r) GROUP BY user_id HAVING max_by(due, n) >= 0""")
 def stream_risk_badge(spark, sf):
-    """Visits answered from a report younger than 30 minutes, or refreshed after 20 quiet minutes; a signup closes the tab."""
+    """Visits answered from a report younger than 30 minutes, or refreshed after 20 quiet minutes, loads after 30; a signup closes the tab."""
     far = _sentinel(spark, f"cast({NO_USER} AS bigint) AS user_id, cast(-1 AS bigint) AS event_id, 'view' AS event_type, timestamp '2100-01-01' AS ts")
 
     def build(with_flush):
         visits = with_flush(_event_stream(spark, sf)).select(
-            "user_id", "event_id", "ts", F.unix_millis("ts").alias("ts_ms"),
-            F.when(F.col("event_type") == "signup", "close").otherwise("visit").alias("kind"))
-        return stateful.risk_badge_stream(visits, "user_id", "ts", "10 minutes", HOUR // 2, HOUR // 3)
+            "user_id", "event_id", "ts", F.unix_millis("ts").alias("ts_ms"), F.expr(_KIND).alias("kind"))
+        return stateful.risk_badge_stream(visits, "user_id", "ts", "10 minutes", _TTL, _VISIT, _LOAD)
 
     with streams.state_provider(spark):
         done = streams.drive_to_close(spark, build, far, streams.work_folder(spark))

@@ -413,7 +413,6 @@ RISK_LABELS = {
 }
 RISK_GRADES = [(85, "A", "#16a34a"), (70, "B", "#65a30d"), (55, "C", "#d97706"), (35, "D", "#ea580c")]
 RISK_LOWEST = ("F", "#dc2626")
-RISK_TTL_SECONDS = 30
 LOCAL_HOSTS = ["localhost", "127.0.0.1"]
 LOCAL_ENDPOINT_HOSTS = ["localhost", "127.0.0.1", "[::1]", "::1"]
 
@@ -465,7 +464,6 @@ REPLY_ACTIONS = (
 )
 MAX_AGENT_STEPS = 10
 MAX_LOOP_STEPS = 15
-STUCK_REPEATS = 3
 MAX_FAILURES = 2
 LONG_VALUE_CHARS = 100
 INJECTION_INTENT = (
@@ -485,10 +483,5 @@ EVAL_TARGETS = [
     ("f1", 0.875, "ge"),
     ("over_redaction", 0.10, "le"),
 ]
-LATENCY_TARGETS_MS = {"capture": 100, "local_inference": 500, "vlm_round_trip": 2000, "total": 3000}
-PEAK_MEMORY_MB = 500
 EVAL_IOU = 0.5
-DETECTION_SLA_MS = 500
-RESCAN_DEBOUNCE_MS = 200
 RATE_LIMIT_MS = 1000
-APPROVAL_TIMEOUT_S = 60

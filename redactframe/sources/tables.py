@@ -10,29 +10,19 @@ from pyspark.sql import functions as F
 _WIDE = {"documents": "doc_id", "pages": "page_id", "orders": "o_orderkey", "customer": "c_custkey"}
 
 
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A base table. Input that arrives as fewer partitions than there are cores is spread out.
-
-    One row group is one task, however many cores wait. The check looks at the scan's own
-    partitions, so at scale, where a scan has far more splits than cores, nothing is moved.
-    """
-    df = spark.read.parquet(f"{folder}/{name}.parquet")
-    return spread(df, _WIDE[name]) if name in _WIDE else df
+#: Session setting that a user of small, single-row-group files may set; unset, a scan keeps its own partitions.
+INPUT_PARTITIONS = "redactframe.input.partitions"
 
 
-# A split holds at most 128 MB by default, so this bounds what spread() may move.
-MAX_SPLITS_TO_SPREAD = 64
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash-spread a small input over the cores; an input with many splits passes untouched.
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A base table, partitioned as its scan is.
 
-    Small files often hold a single row group, so even several splits may mean one busy task.
+    One row group is one task, however many cores wait. Where that hurts, ``redactframe.input.partitions`` deals the
+    rows of wide tables out by key; nothing about the data or the machine decides it.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= min(2 * cores, MAX_SPLITS_TO_SPREAD):
-        return df
-    return df.repartition(2 * cores, key)
+    df = spark.read.parquet(f"{folder}/{name}.parquet")
+    parts = spark.conf.get(INPUT_PARTITIONS, None)
+    return df.repartition(int(parts), _WIDE[name]) if parts and name in _WIDE else df
 
 
 def events(spark: SparkSession, folder: str) -> DataFrame:

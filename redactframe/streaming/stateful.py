@@ -46,13 +46,15 @@ class RateLimiter(StatefulProcessor):
 
 
 class RiskBadge(StatefulProcessor):
-    """Debounced refresh with a cache: a fresh report answers at once, else a refresh follows a short quiet time.
+    """Debounced refresh with a cache.
 
-    Input rows: event_id, ts_ms, kind ('visit' or 'close'). A close forgets the key.
+    Input rows: event_id, ts_ms, kind. A ``load`` always asks for a refresh after its quiet time and never reads the
+    cache; a ``visit`` is answered from a fresh report, else it asks for one after its own, shorter quiet time; a
+    later request replaces a waiting one. A ``close`` forgets the key.
     """
 
-    def __init__(self, ttl_ms: int, quiet_ms: int):
-        self.ttl, self.quiet = ttl_ms, quiet_ms
+    def __init__(self, ttl_ms: int, visit_quiet_ms: int, load_quiet_ms: int):
+        self.ttl, self.visit_quiet, self.load_quiet = ttl_ms, visit_quiet_ms, load_quiet_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -70,10 +72,12 @@ class RiskBadge(StatefulProcessor):
                 report, due = due, None
             if kind == "close":
                 report, due = None, None
+            elif kind == "load":
+                due = ts + self.load_quiet
             elif report is not None and ts - report < self.ttl:
                 out.append((key[0], ts, "cached"))
             else:
-                due = ts + self.quiet
+                due = ts + self.visit_quiet
         if before is not None and before != due:
             self.handle.deleteTimer(before)
         if due is not None and due != before:
@@ -123,10 +127,10 @@ def rate_limit_stream(calls: DataFrame, key: str, interval_ms: int = rules.RATE_
         RateLimiter(interval_ms), "key long, event_id long, ts_ms long, accepted boolean, retry_after_ms long", "Append", "None")
 
 
-def risk_badge_stream(visits: DataFrame, key: str, ts: str, watermark: str, ttl_ms: int, quiet_ms: int) -> DataFrame:
+def risk_badge_stream(visits: DataFrame, key: str, ts: str, watermark: str, ttl_ms: int, visit_quiet_ms: int, load_quiet_ms: int) -> DataFrame:
     """``visits``: key, event_id, ts_ms, kind and the event-time column ``ts``."""
     return visits.withWatermark(ts, watermark).groupBy(key).transformWithStateInPandas(
-        RiskBadge(ttl_ms, quiet_ms), "key long, ts_ms long, kind string", "Append", "EventTime")
+        RiskBadge(ttl_ms, visit_quiet_ms, load_quiet_ms), "key long, ts_ms long, kind string", "Append", "EventTime")
 
 
 def memory_stream(turns: DataFrame, key: str) -> DataFrame:

@@ -123,7 +123,7 @@ def test_risk_badge_over_several_batches(spark, tmp_path):
     spark.createDataFrame([(-1, -1, 10**12, "visit")], schema).coalesce(1).write.mode("append").parquet(src)
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src).withColumn("ts", F.timestamp_millis("ts_ms"))
     with streams.state_provider(spark):
-        out = streams.drive(stateful.risk_badge_stream(stream, "key", "ts", "1 second", 600_000, 120_000), str(tmp_path / "work"))
+        out = streams.drive(stateful.risk_badge_stream(stream, "key", "ts", "1 second", 600_000, 120_000, 180_000), str(tmp_path / "work"))
     got = sorted((r["key"], r["ts_ms"], r["kind"]) for r in out.collect() if r["key"] >= 0)
     want = sorted((k, *row) for k in range(3) for row in badge_brute([(e[2], e[3]) for e in events if e[0] == k], 600_000, 120_000))
     assert got == want

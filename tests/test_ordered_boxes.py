@@ -157,8 +157,7 @@ def test_snippets_split_over_scans(spark, monkeypatch):
     asked = [(i, " ".join(rng.choice(vocab) for _ in range(3))) for i in range(12)]
     dd, qq = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(asked, "query_id long, text string")
     whole = sorted(map(tuple, documents.top_snippets(dd, qq, 4).collect()))
-    monkeypatch.setattr(documents, "MAX_KEYWORDS_PER_SCAN", 5)
-    assert sorted(map(tuple, documents.top_snippets(dd.repartition(5), qq, 4).collect())) == whole
+    assert sorted(map(tuple, documents.top_snippets(dd.repartition(5), qq, 4, uses_per_scan=5).collect())) == whole
     sents = [(d, i, s) for d, t in docs for i, s in enumerate(x.strip() for x in t.split("\n") if x.strip())]
     stop = {"the", "of"}
     for q, text in asked:
