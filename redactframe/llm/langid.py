@@ -24,8 +24,8 @@ from redactframe.llm import grams as G
 UNKNOWN = "und"
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 15
-#: Shares of a text are small numbers; this brings features near 1.
-SCALE = 100.0
+#: Shares of a text are small numbers; this brings frequent features to some tens, so that few passes suffice.
+SCALE = 1000.0
 
 
 @dataclass
@@ -100,7 +100,7 @@ def sparse_shares(texts: DataFrame) -> DataFrame:
 
 
 def fit_ftrl(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, classes: int, alpha: float = 0.5, beta: float = 1.0,
-             l1: float = 0.02, l2: float = 0.02, epochs: int = 3, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+             l1: float = 0.2, l2: float = 0.02, epochs: int = 4, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
     """Follow-the-regularised-leader (proximal) for multinomial logistic regression; weights and an unpenalised bias."""
     z, n = np.zeros((BUCKETS, classes)), np.zeros((BUCKETS, classes))
     bias, bias_n = np.zeros(classes), np.zeros(classes)
@@ -125,7 +125,7 @@ def fit_ftrl(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, clas
     return leader(z, n), bias
 
 
-def fit_temperature(logits: np.ndarray, labels: np.ndarray, low: float = 0.25, high: float = 8.0) -> float:
+def fit_temperature(logits: np.ndarray, labels: np.ndarray, low: float = 0.25, high: float = 256.0) -> float:
     """Temperature of least negative log-likelihood, by golden-section search (1 without rows)."""
     if not len(labels):
         return 1.0

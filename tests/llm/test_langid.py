@@ -30,7 +30,7 @@ def test_held_out_accuracy(docs, model):
 
 def test_weights_are_sparse(model):
     assert 0 < np.count_nonzero(model.weights) < 0.6 * model.weights.size
-    assert 0.25 <= model.temperature <= 8
+    assert 0.25 <= model.temperature <= 256
 
 
 def test_split(docs):
