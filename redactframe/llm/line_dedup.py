@@ -133,7 +133,9 @@ class Shard:
         at = self.index.lookup(place)
         known = at >= 0
         known[known] = self.prints[at[known]] == prints[known]
-        return known, np.where(known, self.keepers[np.maximum(at, 0)], NO_KEEPER)
+        keeper = np.full(len(place), NO_KEEPER)
+        keeper[known] = self.keepers[at[known]]
+        return known, keeper
 
     def to_row(self) -> dict:
         i = self.index

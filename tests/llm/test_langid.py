@@ -1,6 +1,7 @@
 import brute
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from redactframe.llm import blocks as B
 from redactframe.llm import grams, langid
@@ -20,7 +21,7 @@ def model(docs):
 
 
 def test_held_out_accuracy(docs, model):
-    got = langid.identify(docs.select("doc_id", "text", "lang"), model).where(langid.held_out(docs["doc_id"])).collect()
+    got = langid.identify(docs.select("doc_id", "text", "lang"), model).where(langid.held_out(F.col("doc_id"))).collect()
     right = [r["__lang"] == r["lang"] for r in got]
     assert len(right) > 200 and sum(right) / len(right) > 0.97
     assert all(0 <= r["__score"] <= 1 for r in got)
