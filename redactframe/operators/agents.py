@@ -85,6 +85,7 @@ def reject_reason(a: Column | None = None) -> Column:
         .when(act == "click", click)
         .when(act == "type", typed)
         .when(act == "fill_many", F.when(~F.coalesce(f("n_fields") > 0, F.lit(False)), "NO_FIELDS"))
+        .when(act == "fill", F.when(~F.coalesce(f("n_attempts") > 0, F.lit(False)), "NO_FIELDS"))
         .when(act == "write_code", code)
         .when(act == "scroll", F.when(~F.coalesce(f("direction").isin("up", "down"), F.lit(False)), "BAD_DIRECTION"))
         .when(act == "navigate", navigate)
@@ -102,7 +103,8 @@ def canonical_action(action: Column) -> Column:
 def validate_actions(actions: DataFrame) -> DataFrame:
     """Verdict and cleaned fields of every action; rejected rows keep their reason."""
     d = actions.withColumn("action", canonical_action(F.col("action")))
-    d = d if "n_fields" in d.columns else d.withColumn("n_fields", F.lit(0))
+    for count in ("n_fields", "n_attempts"):
+        d = d if count in d.columns else d.withColumn(count, F.lit(0))
     long_value = (
         (F.col("action") == "type") & (F.length("value") > rules.LONG_VALUE_CHARS)
         & ~matches(F.coalesce("prompt", F.lit("")), rules.INJECTION_INTENT, True)
@@ -151,6 +153,18 @@ def _first_fields(v: Column) -> Column:
         F.exists(kept, lambda k: k["selector"] == e["selector"]), kept).otherwise(F.concat(kept, F.array(e))))
 
 
+def _attempts(v: Column) -> Column:
+    """What a ``fill`` proposes, as (label, value, selector): from a list of objects, or a map of labels to values."""
+    listed = F.transform(
+        F.filter(F.try_variant_get(v, "$.fields", "array<variant>"), lambda e: F.schema_of_variant(e).startswith("OBJECT")),
+        lambda e: F.struct(
+            F.coalesce(*[F.nullif(_text(e, n), F.lit("")) for n in ("profileKey", "label", "selector")]).alias("label"),
+            _text(e, "value").alias("value"), _text(e, "selector").alias("selector")))
+    mapped = F.transform(F.map_entries(F.try_variant_get(v, "$.fields", "map<string,variant>")), lambda e: F.struct(
+        e["key"].alias("label"), F.when(F.schema_of_variant(e["value"]) == "STRING", e["value"].cast("string")).alias("value"), F.lit(None).cast("string").alias("selector")))
+    return F.coalesce(listed, mapped)
+
+
 def _shaped(v: Column) -> Column:
     """A parsed candidate as typed columns; what has the wrong JSON type is null. A list of one field is a single fill."""
     act = _text(v, "action")
@@ -163,7 +177,9 @@ def _shaped(v: Column) -> Column:
     return F.struct(
         F.when(single.isNotNull() | is_field, "type").otherwise(act).alias("action"), *[c.alias(n) for n, c in own.items()],
         *[_number(v, n).alias(n) for n in ("x", "y", "ms")], F.when(single.isNotNull(), single["profile_key"]).otherwise(_text(v, "profileKey")).alias("profile_key"),
-        fields.alias("fields"), F.coalesce(F.size(fields), F.lit(0)).alias("n_fields"))
+        fields.alias("fields"), F.coalesce(F.size(fields), F.lit(0)).alias("n_fields"), F.when(act == "fill", _attempts(v)).alias("attempts"),
+        F.when(act == "fill", F.coalesce(  # a map counts even when it is empty
+            F.size(F.try_variant_get(v, "$.fields", "array<variant>")), F.size(F.try_variant_get(v, "$.fields", "map<string,variant>")) + 1)).alias("n_attempts"))
 
 
 def _payload(a: Column) -> Column:
@@ -184,14 +200,14 @@ def _payload(a: Column) -> Column:
         F.when(act == "done", F.substring(F.coalesce(a["summary"], F.lit("")), 1, rules.ACTION_SUMMARY_CHARS)).alias("summary"),
         F.when(act == "key_press", F.substring(F.coalesce(a["key"], F.lit("Enter")), 1, rules.ACTION_KEY_CHARS)).alias("key"),
         F.when(act == "wait", F.coalesce(a["ms"], F.lit(1000.0))).alias("ms"), F.when(act == "type", a["profile_key"]).alias("profile_key"),
-        F.when(act == "fill_many", a["fields"]).alias("fields"))
+        F.when(act == "fill_many", a["fields"]).alias("fields"), F.when(act == "fill", a["attempts"]).alias("attempts"))
 
 
 def reply_actions(replies: DataFrame, reply: str = "raw") -> DataFrame:
     """The first valid action of each reply with all it carries (columns of ``_payload``; all null if there is none).
 
-    Python only cuts out candidates; parsing, type checks and the rules stay in the engine. ``fill`` is not an
-    action by itself: its labels are verified against page and profile by ``matching.rewrite_fill``.
+    Python only cuts out candidates; parsing, type checks and the rules stay in the engine. A ``fill`` ends the search
+    too; what it comes to is up to page and profile (``matching.reply_fills`` on its ``attempts``).
     """
     parsed = replies.withColumn("candidates", json_candidates(reply)).withColumn(
         "shaped", F.transform("candidates", lambda c: _shaped(F.try_parse_json(c))))

@@ -25,12 +25,12 @@ REJECT = f"""CASE action
  WHEN 'done' THEN NULL WHEN 'key_press' THEN NULL WHEN 'wait' THEN NULL
  WHEN 'hover' THEN CASE WHEN selector IS NULL THEN 'MISSING_FIELD' END WHEN 'clear' THEN CASE WHEN selector IS NULL THEN 'MISSING_FIELD' END
  WHEN 'focus' THEN CASE WHEN selector IS NULL THEN 'MISSING_FIELD' END WHEN 'extract_text' THEN CASE WHEN selector IS NULL THEN 'MISSING_FIELD' END
- WHEN 'fill_many' THEN CASE WHEN NOT coalesce(n_fields > 0, false) THEN 'NO_FIELDS' END
+ WHEN 'fill_many' THEN CASE WHEN NOT coalesce(n_fields > 0, false) THEN 'NO_FIELDS' END WHEN 'fill' THEN CASE WHEN NOT coalesce(n_attempts > 0, false) THEN 'NO_FIELDS' END
  WHEN 'select' THEN CASE WHEN selector IS NULL THEN 'MISSING_FIELD' END ELSE 'UNKNOWN_ACTION' END"""
 _PLACE = f"action = 'click' AND coalesce({_T}, '') = '' AND coalesce({q.trim('text')}, '') = '' AND reason IS NULL"
 
 
-@query("validate_actions", oracle=f"""{cte('actions')}, a AS (SELECT * REPLACE (CASE WHEN action = 'fill_field' THEN 'type' ELSE action END AS action) FROM actions),
+@query("validate_actions", oracle=f"""{cte('actions')}, a AS (SELECT * REPLACE (CASE WHEN action = 'fill_field' THEN 'type' ELSE action END AS action), 0 AS n_attempts FROM actions),
  r AS (SELECT *, {REJECT} AS reason FROM a)
  SELECT action_id, action, reason, CASE WHEN action IN ('hover', 'clear', 'focus', 'extract_text') THEN substr({_T}, 1, 256) ELSE {_T} END AS selector,
   CASE WHEN {_PLACE} THEN cast(floor(x + 0.5) AS BIGINT) END AS x, CASE WHEN {_PLACE} THEN cast(floor(y + 0.5) AS BIGINT) END AS y,
@@ -58,7 +58,8 @@ _REPLY_SQL = f"""{cte('replies')}, c AS (SELECT reply_id, 1 AS pos, cast(c1 AS J
    CASE WHEN n_fields = 1 THEN n.s WHEN j ->> '$.action' = 'fill_field' THEN coalesce({_js('field_selector')}, {_js('selector')}) ELSE {_js('selector')} END AS selector,
    CASE WHEN n_fields = 1 THEN n.v WHEN j ->> '$.action' = 'select' THEN coalesce(j ->> '$.value', '') ELSE {_js('value')} END AS value,
    {', '.join(f'{_js(x)} AS {x}' for x in ('text', 'code', 'direction', 'url', 'summary', 'key'))}, {', '.join(f'{_jn(x)} AS {x}' for x in ('x', 'y', 'ms'))},
-   CASE WHEN n_fields = 1 THEN n.k ELSE {_js('profileKey')} END AS profile_key, coalesce(n_fields, 0) AS n_fields, n.fields, 'type this in' AS prompt FROM c LEFT JOIN n USING (reply_id, pos)),
+   CASE WHEN n_fields = 1 THEN n.k ELSE {_js('profileKey')} END AS profile_key, coalesce(n_fields, 0) AS n_fields, n.fields, 'type this in' AS prompt,
+   CASE WHEN j ->> '$.action' = 'fill' THEN CASE json_type(j, '$.fields') WHEN 'ARRAY' THEN json_array_length(j, '$.fields') WHEN 'OBJECT' THEN 1 END END AS n_attempts FROM c LEFT JOIN n USING (reply_id, pos)),
  r AS (SELECT *, CASE WHEN action IS NULL THEN 'NO_ACTION' ELSE {REJECT} END AS reason, {_T} AS sel, {q.trim('text')} AS txt FROM a),
  f AS (SELECT *, row_number() OVER (PARTITION BY reply_id ORDER BY pos) AS rn, action = 'click' AND coalesce(sel, '') = '' AND coalesce(txt, '') <> '' AS worded,
    action = 'click' AND coalesce(sel, '') = '' AND coalesce(txt, '') = '' AS place FROM r WHERE reason IS NULL)
@@ -69,12 +70,12 @@ _REPLY_SQL = f"""{cte('replies')}, c AS (SELECT reply_id, 1 AS pos, cast(c1 AS J
    CASE WHEN action = 'scroll' THEN direction END AS direction, CASE WHEN action = 'navigate' THEN url END AS url,
    CASE WHEN action = 'done' THEN substr(coalesce(summary, ''), 1, 500) END AS summary, CASE WHEN action = 'key_press' THEN substr(coalesce(key, 'Enter'), 1, 50) END AS key,
    CASE WHEN action = 'wait' THEN coalesce(ms, 1000) END AS ms, CASE WHEN action = 'type' THEN profile_key END AS profile_key,
-   CASE WHEN action = 'fill_many' THEN fields END AS fields FROM replies o LEFT JOIN f ON f.reply_id = o.reply_id AND rn = 1"""
+   CASE WHEN action = 'fill_many' THEN fields END AS fields, f.pos FROM replies o LEFT JOIN f ON f.reply_id = o.reply_id AND rn = 1"""
 
 
-@query("reply_actions", oracle=_REPLY_SQL)
+@query("reply_actions", oracle=f"SELECT * EXCLUDE (pos) FROM ({_REPLY_SQL})")
 def reply_actions(spark, sf):
-    found = agents.reply_actions(derived(spark, sf, "replies").select("reply_id", "raw"))
+    found = agents.reply_actions(derived(spark, sf, "replies").select("reply_id", "raw")).drop("attempts")
     return found.withColumn("fields", F.array_join(F.transform("fields", lambda e: F.concat(e["selector"], F.lit("="), e["value"])), "; "))
 
 

@@ -353,3 +353,43 @@ def fill_rewrite(spark, sf):
     docs = table(spark, sf, "documents").selectExpr("cast(substr(source, 4) AS bigint) AS owner_id", "doc_id", "doc_id AS extracted_at", "text")
     return matching.rewrite_fill(
         derived(spark, sf, "claims"), derived(spark, sf, "user_fields"), _profile(spark, sf), documents.vault_retention(docs))
+
+
+def _reply_sql() -> str:
+    from redactframe.plans.agents import _REPLY_SQL
+
+    with_, body = cte("replies"), _REPLY_SQL
+    return body[len(with_):]
+
+
+_REPLY_ATTEMPTS = f"""fr AS (SELECT a.reply_id, o.user_id, cast(CASE a.pos WHEN 1 THEN o.c1 ELSE o.c2 END AS JSON) AS j FROM (SELECT * FROM acts WHERE action = 'fill') a JOIN replies o USING (reply_id)),
+ tries AS (SELECT reply_id, user_id, p AS claim_id, coalesce(nullif(e ->> '$.profileKey', ''), nullif(e ->> '$.label', ''), e ->> '$.selector') AS label,
+   CASE WHEN json_type(e, '$.value') = 'VARCHAR' THEN e ->> '$.value' END AS value, e ->> '$.selector' AS selector FROM (
+    SELECT reply_id, user_id, unnest(cast(json_extract(j, '$.fields') AS JSON[])) AS e, generate_subscripts(cast(json_extract(j, '$.fields') AS JSON[]), 1) AS p FROM fr WHERE json_type(j, '$.fields') = 'ARRAY')
+    WHERE json_type(e) = 'OBJECT'
+  UNION ALL SELECT reply_id, user_id, i, ks[i], json_extract_string(j, concat('$.fields."', ks[i], '"')), NULL FROM (SELECT *, unnest(range(1, len(ks) + 1)) AS i FROM (
+    SELECT reply_id, user_id, j, json_keys(j, '$.fields') AS ks FROM fr WHERE json_type(j, '$.fields') = 'OBJECT')))"""
+
+
+@query("reply_fill_fields", oracle=f"""{cte('replies', 'profile_entries', 'user_fields')}, {VAULT_TEXTS}, acts AS ({cte('replies')}{_reply_sql()}), {_REPLY_ATTEMPTS},
+ ff AS (SELECT user_id, label AS key, min_by(selector, field_idx) AS value, min(field_idx) AS ko FROM user_fields WHERE type <> 'password_input' AND label <> '' GROUP BY ALL),
+ ps AS (SELECT user_id, selector, min_by(label, field_idx) AS label, min_by(type, field_idx) AS type FROM user_fields GROUP BY ALL),
+ un AS (SELECT tries.* FROM tries LEFT JOIN ps ON ps.user_id = tries.user_id AND ps.selector = tries.selector WHERE ps.selector IS NULL),
+ tg AS ({_best('un', 'label', 'ff', 'ko')}),
+ pl AS (SELECT u.reply_id, u.claim_id, u.user_id, u.label, {q.trim('u.value')} AS proposed, tg.key AS field_label, tg.value AS selector FROM un u JOIN tg ON tg.user_id = u.user_id AND tg.wanted = u.label WHERE u.label <> ''
+   UNION ALL SELECT tries.reply_id, tries.claim_id, tries.user_id, tries.label, {q.trim('tries.value')}, ps.label, tries.selector FROM tries JOIN ps ON ps.user_id = tries.user_id AND ps.selector = tries.selector WHERE ps.type <> 'password_input'),
+ m1 AS ({match_sql('pl', 'label', True)}), m2 AS ({match_sql('pl', 'field_label', True)}),
+ k AS (SELECT pl.*, coalesce(m1.key, m2.key) AS pk, {q.trim('CASE WHEN m1.key IS NOT NULL THEN m1.value ELSE m2.value END')} AS own FROM pl
+   LEFT JOIN m1 ON m1.user_id = pl.user_id AND m1.wanted = pl.label LEFT JOIN m2 ON m2.user_id = pl.user_id AND m2.wanted = pl.field_label),
+ v AS (SELECT *, CASE WHEN coalesce(own, '') <> '' THEN own WHEN length(proposed) >= 2 AND (EXISTS (SELECT 1 FROM vault t WHERE t.owner_id = k.user_id AND contains(lower(t.text), lower(proposed)))
+   OR EXISTS (SELECT 1 FROM profile_entries p WHERE p.user_id = k.user_id AND contains(lower(p.value), lower(proposed)))) THEN proposed END AS value FROM k), {PLAN_SQL},
+ z AS (SELECT reply_id, selector, value, coalesce(pk, label) AS profile_key, 0 AS stage, claim_id AS place FROM v WHERE coalesce(value, '') <> ''
+   UNION ALL SELECT fr.reply_id, plan.selector, plan.value, plan.profile_key, 1, plan.field_idx FROM fr JOIN plan ON plan.user_id = fr.user_id)
+ SELECT reply_id, selector, value, profile_key FROM (SELECT *, row_number() OVER (PARTITION BY reply_id, selector ORDER BY stage, place) AS rn FROM z) WHERE rn = 1""")
+def reply_fill_fields(spark, sf):
+    """Replies to verified typed values: candidates, first valid action, proposals, page fields."""
+    from redactframe.operators import agents
+
+    docs = table(spark, sf, "documents").selectExpr("cast(substr(source, 4) AS bigint) AS owner_id", "doc_id", "doc_id AS extracted_at", "text")
+    actions = agents.reply_actions(derived(spark, sf, "replies").select("reply_id", "user_id", "raw"))
+    return matching.reply_fills(actions, derived(spark, sf, "user_fields"), _profile(spark, sf), documents.vault_retention(docs))

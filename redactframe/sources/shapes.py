@@ -192,14 +192,17 @@ CANDIDATES = [
     '{"action":"wait","ms":"50"}', '{"action":"key_press","key":"Tab"}', '{"action":"key_press","key":1}', '{"action":"write_code","value":"print(1)"}',
     '{"action":"write_code","code":7}', '{"action":"extract_text","selector":"#t"}', '{"action":"focus","selector":9}', '{"action":"select","selector":" #s","value":3}',
     '{"action":"fill_field","field_selector":"#f","value":"w"}', '{"action":3}', '{"action":"clear","selector":"#q"}',
+    '{"action":"fill","fields":{"Full name":"John Doe","City":" and ","Favourite":"blue"}}', '{"action":"fill","fields":[]}', '{"action":"fill","fields":"x"}',
+    '{"action":"fill","fields":[{"selector":"#f1","label":"E-mail","value":"a@b.c"},{"label":"Notes","value":"and"},{"profileKey":"City","selector":"#none","value":5},7]}',
 ]
 
 REPLIES = Shape("orders", (
     f"{O} AS reply_id",
+    f"{block(O, 80)} AS user_id",
     f"concat({pick(f'{O} * 3', ['Sure. ', '```json', '', 'I think }} it is: '])}, {pick(O, CANDIDATES)}, {pick(f'{O} * 5', [' or else ', ' ', ' then '])}, "
-    f"{pick(f'cast(floor({O} / 30) AS bigint)', CANDIDATES)}, {pick(f'{O} * 7', [' Let me know.', '', ' broken {', ' trailing } brace'])}) AS raw",
+    f"{pick(f'cast(floor({O} / 34) AS bigint)', CANDIDATES)}, {pick(f'{O} * 7', [' Let me know.', '', ' broken {', ' trailing } brace'])}) AS raw",
     f"{pick(O, CANDIDATES)} AS c1",
-    f"{pick(f'cast(floor({O} / 30) AS bigint)', CANDIDATES)} AS c2",
+    f"{pick(f'cast(floor({O} / 34) AS bigint)', CANDIDATES)} AS c2",
 ))
 
 ACTIONS = Shape("orders", (
