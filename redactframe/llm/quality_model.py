@@ -24,15 +24,20 @@ BUCKETS = 1 << 17
 ORDERS = (3, 4)
 #: A word counts as several n-grams, which are many more than words.
 WORD_WEIGHT = 3.0
+#: Bucket of the token for a word that repeats the one before it.
+REPEATED = 1
 
 
 def block_features(block: B.Block) -> list[tuple[np.ndarray, np.ndarray, float]]:
-    """Bucket of each word and n-gram in text order, each text's first one, and a weight."""
+    """Bucket of each word, word repetition and n-gram in text order, each text's first one, and a weight."""
     starts, ends, bounds = B.runs(B.NOT_SPACE[block.data], block.offsets)
     words = (B.span_hashes(block.data, starts, ends) >> np.uint64(64 - 17)).astype(np.intp)
+    # a word said twice running is one token of its own, whatever the word
+    again = np.flatnonzero((words[1:] == words[:-1]) & (B.owner(bounds)[1:] == B.owner(bounds)[:-1])) + 1
+    repeated = np.full(len(again), REPEATED, np.intp), np.searchsorted(again, bounds)
     points, offsets = G.decode(block.data, block.offsets)
     points, offsets = G.pad(points, offsets, (points == 0x20) | ((points >= 9) & (points <= 13)))
-    return [(words, bounds, WORD_WEIGHT), *((h, first, 1.0) for h, first in G.hashed(points, offsets, ORDERS, BUCKETS))]
+    return [(words, bounds, WORD_WEIGHT), (*repeated, WORD_WEIGHT), *((h, first, 1.0) for h, first in G.hashed(points, offsets, ORDERS, BUCKETS))]
 
 
 @dataclass
