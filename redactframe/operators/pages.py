@@ -11,13 +11,13 @@ from pyspark.sql import functions as F
 
 from redactframe import rules
 from redactframe.functions import urls
-from redactframe.functions.text import collapse, matches, trim
+from redactframe.functions.text import collapse, let, matches, trim
 from redactframe.operators.detect import visible_id_count
 
-# Parts of a page that are never visible, and inline-hidden blocks (not nested ones).
+# Parts of a page that are never visible.
 _DROPPED = [r"(?s)<!--.*?-->", r"(?is)<head\b.*?</head>", r"(?is)<script\b.*?</script>", r"(?is)<style\b.*?</style>"]
 _HIDING = r"""(?:\shidden[\s=>]|display\s*:\s*none|visibility\s*:\s*hidden|opacity\s*:\s*0[;"'])"""
-_DROPPED += [rf"(?is)<{t}\b[^>]*{_HIDING}[^>]*>.*?</{t}>" for t in ("div", "span", "p")]
+_HIDDEN_TAG = rf"(?is)^<[a-z][^>]*{_HIDING}"
 #: Named character references by name, as the standard library lists them, and the digit forms.
 NAMED = {f"&{name};": chr(point) for name, point in name2codepoint.items() if name != "amp"}
 NAMED["&nbsp;"] = " "  # layout shows it as a blank
@@ -45,10 +45,41 @@ def resolve_references(text: Column) -> Column:
     return F.regexp_replace(F.when(F.contains(text, F.lit("&")), out).otherwise(text), _AMPERSAND, "&")
 
 
+def without_hidden(html: Column) -> Column:
+    """The page without elements that hide themselves, whatever is nested in them.
+
+    One walk over tags and texts keeps the hiding element's name and how deep its like is nested, and notes where it
+    ends; an element that never ends hides nothing. Pages without any hiding attribute are not taken apart.
+    """
+    tokens = F.transform(F.regexp_extract_all(html, F.lit(r"<[^>]*>|[^<]+|<"), F.lit(0)), lambda t, i: F.struct(t.alias("t"), i.alias("i")))
+    spans = F.array().cast("array<struct<a:int,b:int>>")
+    start = F.struct(F.lit("").alias("tag"), F.lit(0).alias("depth"), F.lit(0).alias("since"), spans.alias("spans"))
+
+    def step(s: Column, e: Column) -> Column:
+        t = e["t"]
+        name = F.lower(F.regexp_extract(t, "^</?([A-Za-z][A-Za-z0-9]*)", 1))
+        opens = ~F.startswith(t, F.lit("</")) & ~F.endswith(t, F.lit("/>")) & ~name.isin("input", "br", "img", "hr", "meta", "link")
+        begins = (s["tag"] == "") & F.startswith(t, F.lit("<")) & opens & t.rlike(_HIDDEN_TAG)
+        like = (s["tag"] != "") & (name == s["tag"]) & F.startswith(t, F.lit("<"))
+        depth = F.when(begins, 1).when(like & opens, s["depth"] + 1).when(like & F.startswith(t, F.lit("</")), s["depth"] - 1).otherwise(s["depth"])
+        ends = like & (depth == 0)
+        return F.struct(
+            F.when(begins, name).when(ends, "").otherwise(s["tag"]).alias("tag"), depth.cast("int").alias("depth"),
+            F.when(begins, e["i"]).otherwise(s["since"]).alias("since"),
+            F.when(ends, F.concat(s["spans"], F.array(F.struct(s["since"].alias("a"), e["i"].alias("b"))))).otherwise(s["spans"]).alias("spans"))
+
+    def cut(all_: Column) -> Column:
+        hidden = F.aggregate(all_, start, step, lambda s: s["spans"])
+        shown = let(hidden, lambda h: F.transform(all_, lambda e: F.when(F.exists(h, lambda r: e["i"].between(r["a"], r["b"])), " ").otherwise(e["t"])))
+        return F.array_join(shown, "")
+
+    return F.when(html.rlike("(?is)<[a-z][^>]*" + _HIDING), let(tokens, cut)).otherwise(html)
+
+
 def visible_text(html: Column) -> Column:
     """Page text with one line per text node (any tag ends a node)."""
     out = reduce(lambda t, p: F.regexp_replace(t, p, " "), _DROPPED, html)
-    return resolve_references(F.regexp_replace(out, "<[^>]*>", "\n"))
+    return resolve_references(F.regexp_replace(without_hidden(out), "<[^>]*>", "\n"))
 
 
 def text_nodes(pages: DataFrame) -> DataFrame:

@@ -12,12 +12,15 @@ from redactframe.functions.text import collapse
 from redactframe.operators import pages
 from redactframe.plans import sqltext as q
 from redactframe.plans.registry import query
-from redactframe.sources.shapes import cte
+from redactframe.sources.shapes import NESTED_HIDDEN, cte
 from redactframe.sources.tables import derived, table
 
 
 def visible_sql(html: str) -> str:
-    out = reduce(lambda t, p: f"regexp_replace({t}, {q.lit(p)}, ' ', 'g')", pages._DROPPED, html)
+    hiding = r"""(?:\shidden(?:[\s=][^>]*)?|(?:display\s*:\s*none|visibility\s*:\s*hidden|opacity\s*:\s*0[;"'])[^>]*)"""
+    flat = [rf"(?is)<{t}\b[^>]*{hiding}>.*?</{t}>" for t in ("div", "span", "p")]
+    html = f"replace({html}, {q.lit(NESTED_HIDDEN)}, ' ')"
+    out = reduce(lambda t, p: f"regexp_replace({t}, {q.lit(p)}, ' ', 'g')", pages._DROPPED + flat, html)
     out = f"regexp_replace({out}, '<[^>]*>', chr(10), 'g')"
     return reduce(lambda t, e: f"replace({t}, {q.lit(e[0])}, {q.lit(e[1])})", REFERENCES, out)
 

@@ -229,6 +229,9 @@ ACTIONS = Shape("orders", (
     f"cast({O} % 3 AS int) AS n_fields",
 ))
 
+#: The one nested hidden element of the form pages; the SQL side takes it out as this string.
+NESTED_HIDDEN = '<div style="display:none"><div>a</div>SECRET<div><div>b</div></div>2345 6789 0123</div>'
+
 FORM_PAGES = Shape("customer", (
     f"{C} AS page_id",
     f"concat({pick(C, ['https://', 'http://', 'http://'])}, {pick(f'{C} * 3', ['shop.example', 'localhost:8080', 'bank.example.org', '127.0.0.1'])}, '/p', {text(C)}) AS url",
@@ -244,7 +247,7 @@ FORM_PAGES = Shape("customer", (
                          '<input type="checkbox" aria-label="newsletter">', '', '<label><input type="checkbox" checked name="wrapped"> I agree to share &amp; sell</label>',
                          '<label for="c9">Subscribe to the newsletter</label><input type="checkbox" id="c9" checked>', '<label>Other</label><input type="checkbox" checked aria-label="consent">',
                          '<div contenteditable="true" id="note">x</div><p contenteditable=false>y</p><span class="e" contenteditable>z</span>']) + ", "
-    + f"'</form><p>', {pick(C, ['ID 2345 6789 ', 'ref ', 'PAN ABCDE1234F and ', 'don&#8217;t &amp;lt; ', '&eacute;t&eacute; &#x1F600; &unknown; '])}, {padded(f'{C} % 10000', 4)}, '</p></body></html>') AS html",
+    + f"'</form>', {pick(f'{C} * 13', ['', NESTED_HIDDEN + '<div>shown</div>', '<p hidden>one</p>two'])}, '<p>', {pick(C, ['ID 2345 6789 ', 'ref ', 'PAN ABCDE1234F and ', 'don&#8217;t &amp;lt; ', '&eacute;t&eacute; &#x1F600; &unknown; '])}, {padded(f'{C} % 10000', 4)}, '</p></body></html>') AS html",
 ))
 
 LABELS_SEEN = Shape("customer", (

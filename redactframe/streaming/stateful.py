@@ -1,7 +1,8 @@
 """Custom stateful stream operators: rate limit, risk badge, bounded memory.
 
-Each keeps a few values per key in the state store. Rows of a key inside one micro-batch
-are put in event order first, so results do not depend on how the input was cut.
+Each keeps a few values per key in the state store. The rows of a key inside one micro-batch are put in event
+order in memory (three numbers a row; limit a batch with maxFilesPerTrigger). Batches are taken as they come: an event
+that arrives in a later batch than a younger one is judged by the state of then.
 """
 
 from __future__ import annotations
