@@ -103,7 +103,7 @@ def held_out(key: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label_key: str = "doc_id", label: str = "quality",
-          per_class: int = 4000) -> QualityModel | None:
+          per_class: int = 2000) -> QualityModel | None:
     """Fit on about ``per_class`` labelled documents of each class, drawn by a hash of the id; None without any.
 
     Labels that are null, or belong to a null or held-out id, are left out. An id with several labels takes the
