@@ -54,7 +54,8 @@ def propose(members: DataFrame, state: DataFrame, capacity: int) -> DataFrame:
     # equal counts are ranked by a hash, so that ties spread over all shards
     vote = F.struct((-F.col("n")).alias("n"), F.xxhash64("link", "shard").alias("tie"), "shard")
     tops = votes.groupBy("link").agg(F.sort_array(F.collect_list(vote)).alias("tops"), F.sum("n").alias("total"))
-    tops = tops.withColumn("goals", F.slice("tops", F.lit(1), F.ceil(F.col("total") / capacity).cast("int")))
+    # as a table of its own, so that adaptive execution can split a link with very many members in the join below
+    tops = written(tops.withColumn("goals", F.slice("tops", F.lit(1), F.ceil(F.col("total") / capacity).cast("int"))), "votes")
     own = F.coalesce(-F.get(F.filter("tops", lambda t: t["shard"] == F.col("shard")), F.lit(0))["n"], F.lit(0)) - 1
     at_home = F.exists("goals", lambda t: t["shard"] == F.col("shard"))
     goal = F.when(at_home, F.get(F.filter("goals", lambda t: t["shard"] == F.col("shard")), F.lit(0))).otherwise(
@@ -114,7 +115,7 @@ def assign(rows: DataFrame, members: DataFrame, shards: int = 40, rounds: int =
     """
     total = rows.count()
     capacity = max(1, -(-total // shards))
-    sizes = members.groupBy("link").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    sizes = written(members.groupBy("link").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "links")
     members = written(members.join(sizes, "link"), "members")
     start = F.pmod(F.xxhash64(F.lit("start"), "row"), F.lit(shards)).cast("int")
     linked = members.select("row").distinct().withColumn("shard", start)
