@@ -207,7 +207,7 @@ def make_plan(counts: np.ndarray, limit: int) -> Plan:
     return Plan((length << 44) + number, first, offset, base)
 
 
-def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", limit: int = 1024, end_id: int = 2, cell_rows: int = 2048) -> DataFrame:
+def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", limit: int = 1024, end_id: int = 2, cell_rows: int = 512) -> DataFrame:
     """One row per piece: ``id``, ``piece``, ``start``, ``length``, ``crc``, ``sequence``, ``offset``.
 
     A document is its token ids and ``end_id``; one longer than ``limit`` is cut so that all but its first piece are
