@@ -220,7 +220,7 @@ def _groups(index: DataFrame, limit: int) -> list[list[int]]:
 
 def drop_lines(batch_ids: pa.Array, column: pa.Array, group: ShardGroup, min_chars: int):
     """New texts of a batch, and lines before and dropped."""
-    ids = np.asarray(pc.fill_null(batch_ids, NO_KEEPER), np.int64)
+    ids = np.asarray(pc.fill_null(pc.cast(batch_ids, pa.int64()), NO_KEEPER), np.int64)
     texts, n_lines, n_dropped = [], [], []
     for block in B.blocks(column):
         starts, ends, bounds = B.lines(block.data, block.offsets)
