@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from redactframe.llm import blocks as B
-from redactframe.llm.store import written
+from redactframe.llm.store import small_batches, written
 
 
 @dataclass
@@ -192,6 +192,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
     words and hit nothing; items without words have no window; rows that repeat an item id are one item, and an item
     without an id goes by the empty string. Repeated documents stay repeated. An empty benchmark hits nothing.
     """
+    small_batches(docs.sparkSession)
     state = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
     state = state.withColumn("hit", F.lit(None).cast("binary")).withColumn("items", F.lit(None).cast("array<string>"))
     result = T.StructType([state.schema["id"]]).add("n_words", "long").add("n_hit", "long").add("n_items", "long").add("items_sha256", "string")
@@ -267,6 +268,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: st
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text",
           width: int = 10, block_bytes: int = 8 << 20) -> DataFrame:
     """The rows of ``docs``, all columns as they are, in which no benchmark window occurs."""
+    small_batches(docs.sparkSession)
     at = docs.columns.index(text)
     parts, queries = query_blocks(benchmark, item_key, item_text, width, block_bytes)
     for number, query in enumerate(queries):

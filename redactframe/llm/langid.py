@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from redactframe.llm import blocks as B
 from redactframe.llm import grams as G
+from redactframe.llm.store import small_batches
 
 UNKNOWN = "und"
 ORDERS = (1, 2, 3)
@@ -153,6 +154,7 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     Document frequencies come from all of them. The regression sees a sample of about ``per_language`` documents a
     language (by a hash of the id; a repeated id counts once), a fifth of it held back for the temperature.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
     rows = rows.where(F.col("id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("id")))
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -184,6 +186,7 @@ def identify(docs: DataFrame, model: LanguageModel | None, text: str = "text") -
 
     A text that is null or has no letter, and every text if there is no model, is ``und`` with score 0.
     """
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text)
     rows = docs.withColumn("__letter", F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))

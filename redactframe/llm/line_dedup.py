@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from redactframe.llm import blocks as B
-from redactframe.llm.store import written
+from redactframe.llm.store import small_batches, written
 
 #: Second base of the line hashes: one 64-bit hash places a line, the other is its fingerprint.
 _SECOND = 0xA0761D6478BD642F
@@ -267,6 +267,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_ch
     every row that carries it, if rows repeat). A null text is one empty line and comes out empty; rows with a null
     key count as documents and keep a line only where no row with a key has it. Other columns pass as they are.
     """
+    small_batches(docs.sparkSession)
     counts = line_counts(docs.select(F.col(key).cast("bigint"), text), min_chars, min_docs)
     index, total = build_index(counts, shard_lines)
     names = docs.columns

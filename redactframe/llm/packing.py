@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from redactframe.llm.sharding import numbered
-from redactframe.llm.store import written
+from redactframe.llm.store import small_batches, written
 
 _encoders: dict[str, object] = {}
 
@@ -213,6 +213,7 @@ def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", li
     A document is its token ids and ``end_id``; one longer than ``limit`` is cut so that all but its first piece are
     full. Null and empty texts are the end token alone. Repeated rows are packed each; an empty table has no pieces.
     """
+    small_batches(docs.sparkSession)
     rows = written(pieces(docs, path, key, text, limit, end_id).withColumn("row", F.monotonically_increasing_id()), "pieces")
     counts = np.zeros(limit + 1, np.int64)
     for r in rows.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect():  # at most ``limit`` rows

@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from redactframe.llm import blocks as B
 from redactframe.llm import grams as G
+from redactframe.llm.store import small_batches
 
 BUCKETS = 1 << 17
 ORDERS = (3, 4)
@@ -131,6 +132,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
 def score(docs: DataFrame, model: QualityModel | None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``id`` and ``score`` (0 to 1) of every document; null and empty texts get the bias alone, 0.5 without a model."""
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     shape = T.StructType([T.StructField("id", docs.schema[key].dataType)]).add("score", "double")
 

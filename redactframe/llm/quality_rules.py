@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from redactframe.llm import blocks as B
-from redactframe.llm.store import written
+from redactframe.llm.store import small_batches, written
 
 _SYMBOLS = B.byte_set(b"#*$%&|<>")
 _UPPER = B.byte_set(bytes(range(0x41, 0x5B)))
@@ -82,6 +82,7 @@ def block_statistics(block: B.Block) -> dict[str, np.ndarray]:
 
 def statistics(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``id`` and the statistics of every whole text; a null or empty text has no words and no symbols."""
+    small_batches(docs.sparkSession)
     names = (*BASE, *FURTHER)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from redactframe.llm import blocks as B
 from redactframe.llm.components import connected
-from redactframe.llm.store import written
+from redactframe.llm.store import small_batches, written
 
 SEED = 42
 _P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (
@@ -212,7 +212,7 @@ def links(distinct: DataFrame, budget: int = 4, segments: int = 7, bucket_rows:
     signed = [int(np.uint64(c).view(np.int64)) for c in choices]
     # few bytes, much work: a fixed number of tasks, where adaptive execution would go by the bytes
     tasks = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keyed = distinct.repartition(tasks, "fp").select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(c)) for c in signed])).alias("pick", "bits"))
+    keyed = distinct.repartition(tasks, F.xxhash64("fp")).select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(c)) for c in signed])).alias("pick", "bits"))
     sizes = keyed.groupBy("pick", "bits").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     met = keyed.join(sizes, ["pick", "bits"])
     # a bucket of g blocks: each fingerprint goes to the g pairs of blocks that hold its own
@@ -253,6 +253,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     Repeated rows stay repeated. Rows with a null key take part; a component's smallest id skips nulls and is null
     only where all its ids are. An empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     prints = written(fingerprints(docs, key, text, width), "simhash")
     by_print = prints.groupBy("fp").agg(F.min("id").alias("smallest"))
     roots = connected(links(by_print.select("fp"), budget, segments, bucket_rows))

@@ -23,7 +23,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from redactframe.llm.store import shared_folder, written
+from redactframe.llm.store import shared_folder, small_batches, written
 
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1  # fixed values of the seekable format
 FRAME_BYTES, BUNDLE_BYTES = 256 << 10, 32 << 20
@@ -158,6 +158,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, least_revisit: i
     are equal (by SHA-256) have one response: every row of the smallest id (nulls last); the others are revisits.
     Extra columns are ignored; an empty table writes no bundle. The index is itself a written table.
     """
+    small_batches(pages.sparkSession)
     folder = folder or shared_folder(pages.sparkSession, "warc")
     files, root = fs.FileSystem.from_uri(folder)
     files.create_dir(root, recursive=True)
