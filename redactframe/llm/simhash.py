@@ -116,7 +116,8 @@ def _majority(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
-def block_fingerprints(data: np.ndarray, offsets: np.ndarray, width: int) -> np.ndarray:
+def block_shingles(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all word shingles, text after text, and each text's first."""
     data = B.LOWER[data]
     starts, ends, bounds = B.runs(B.NOT_SPACE[data], offsets)
     lengths = ends - starts
@@ -132,7 +133,11 @@ def block_fingerprints(data: np.ndarray, offsets: np.ndarray, width: int) -> np.
     first = np.arange(out_bounds[-1]) - np.repeat(out_bounds[:-1] - bounds[:-1], shingles)
     last = first + np.repeat(np.minimum(words, width), shingles) - 1
     begin = joined_at[first]
-    return _majority(xxh64_spans(joined, begin, joined_at[last + 1] - 1 - begin), out_bounds)
+    return xxh64_spans(joined, begin, joined_at[last + 1] - 1 - begin), out_bounds
+
+
+def block_fingerprints(data: np.ndarray, offsets: np.ndarray, width: int) -> np.ndarray:
+    return _majority(*block_shingles(data, offsets, width))
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4) -> DataFrame:
