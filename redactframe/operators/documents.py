@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from redactframe import rules
+from redactframe.functions.contains import found_in_long
 from redactframe.functions.text import collapse, lines, trim, words
 from redactframe.operators.redact import scrub_ids
 
@@ -296,3 +297,11 @@ def vault_contains(claims: DataFrame, vault: DataFrame) -> DataFrame:
         folded, (distinct["owner_id"] == folded["owner_id"]) & F.contains(F.col("__text"), F.col("__needle")), "left_semi"
     )
     return asked.join(found, ["owner_id", "__needle"], "left_semi").drop("__needle")
+
+
+def vault_contains_all(claims: DataFrame, vault: DataFrame) -> DataFrame:
+    """As ``vault_contains``, over a vault of any number and length of texts per owner (no retention)."""
+    asked = claims.withColumn("__needle", F.lower(trim(F.col("value")))).filter(F.length("__needle") >= 2)
+    folded = vault.select("owner_id", F.lower("text").alias("__text"))
+    found = found_in_long(folded, asked, ["owner_id"], "__text", "__needle")
+    return asked.join(found, ["owner_id", "__needle"], "left_semi").drop("__needle")

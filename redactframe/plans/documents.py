@@ -140,11 +140,21 @@ def vault_purge(spark, sf):
  c AS (SELECT doc_id AS claim_id, source AS owner_id, CASE WHEN doc_id % 3 = 0 THEN ' x ' ELSE upper(substr(text, 1 + doc_id % 20, 4 + doc_id % 5)) END AS value FROM documents)
  SELECT claim_id, owner_id, value FROM c WHERE length({q.trim('value')}) >= 2 AND EXISTS (SELECT 1 FROM w WHERE w.owner_id = c.owner_id AND contains(lower(w.text), lower({q.trim('c.value')})))""")
 def vault_contains(spark, sf):
-    claims = table(spark, sf, "documents").selectExpr(
+    return D.vault_contains(_claims(spark, sf), D.vault_retention(_vault_input(spark, sf))).select("claim_id", "owner_id", "value")
+
+
+def _claims(spark, sf):
+    return table(spark, sf, "documents").selectExpr(
         "doc_id AS claim_id", "source AS owner_id",
         "CASE WHEN doc_id % 3 = 0 THEN ' x ' ELSE upper(substr(text, cast(1 + doc_id % 20 AS int), cast(4 + doc_id % 5 AS int))) END AS value",
     )
-    return D.vault_contains(claims, D.vault_retention(_vault_input(spark, sf))).select("claim_id", "owner_id", "value")
+
+
+@query("vault_contains_all", oracle=f"""WITH c AS (SELECT doc_id AS claim_id, source AS owner_id, CASE WHEN doc_id % 3 = 0 THEN ' x ' ELSE upper(substr(text, 1 + doc_id % 20, 4 + doc_id % 5)) END AS value FROM documents)
+ SELECT claim_id, owner_id, value FROM c WHERE length({q.trim('value')}) >= 2 AND EXISTS (SELECT 1 FROM documents w WHERE w.source = c.owner_id AND contains(lower(w.text), lower({q.trim('c.value')})))""")
+def vault_contains_all(spark, sf):
+    """Claims against every document of their owner."""
+    return D.vault_contains_all(_claims(spark, sf), _vault_input(spark, sf)).select("claim_id", "owner_id", "value")
 
 
 @query("small_images", oracle=f"{cte('image_headers')} SELECT image_id, true_width AS width, true_height AS height FROM image_headers WHERE kind <> 'gif' AND (true_width < 28 OR true_height < 28)")

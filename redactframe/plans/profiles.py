@@ -331,6 +331,25 @@ def provenance_check(spark, sf):
     return matching.provenance(derived(spark, sf, "claims"), _profile(spark, sf), vault)
 
 
+ALL_TEXTS = "vault AS (SELECT cast(substr(source, 4) AS BIGINT) AS owner_id, text FROM documents)"
+
+
+@query("provenance_all", oracle=f"""{cte('claims', 'profile_entries')}, {ALL_TEXTS}, m AS ({match_sql('claims', "coalesce(profile_key, '')", False)}),
+ j AS (SELECT c.claim_id, c.user_id, c.label, lower({q.trim('c.value')}) AS needle, m.key AS rkey, coalesce({q.trim('m.value')} <> '' AND lower({q.trim('m.value')}) = lower({q.trim('c.value')}), false) AS pm
+   FROM claims c LEFT JOIN m ON m.user_id = c.user_id AND m.wanted = coalesce(c.profile_key, '')),
+ k AS (SELECT *, length(needle) >= 2 AND EXISTS (SELECT 1 FROM vault v WHERE v.owner_id = j.user_id AND contains(lower(v.text), needle)) AS vm,
+   length(needle) >= 2 AND EXISTS (SELECT 1 FROM profile_entries p WHERE p.user_id = j.user_id AND contains(lower(p.value), needle)) AS tm,
+   EXISTS (SELECT 1 FROM profile_entries p WHERE p.user_id = j.user_id AND p.key NOT IN ('raw', 'notes', 'Notes') AND needle <> '' AND lower({q.trim('p.value')}) = needle
+      AND NOT ({corr('p.key', 'j.label')} OR ({namelike('p.key')} AND {namelike('j.label')}))) AS conflict FROM j),
+ d AS (SELECT claim_id, CASE WHEN pm THEN 'profile' WHEN vm THEN 'vault' WHEN tm THEN 'profile_text' END AS found,
+   label <> '' AND ((rkey IS NOT NULL AND NOT {corr('rkey', 'label')}) OR (NOT pm AND conflict)) AS bad FROM k)
+ SELECT claim_id, CASE WHEN NOT bad THEN found END AS source, found IS NOT NULL AND NOT bad AS accepted FROM d""")
+def provenance_all(spark, sf):
+    """Claims against every document of their user."""
+    vault = table(spark, sf, "documents").selectExpr("cast(substr(source, 4) AS bigint) AS owner_id", "text")
+    return matching.provenance(derived(spark, sf, "claims"), _profile(spark, sf), vault, retained=False)
+
+
 def _best(src: str, want: str, keys: str, order: str) -> str:
     """First key that correlates, then first name-like one, for the distinct wanted texts."""
     return f"""SELECT user_id, wanted, min_by(key, o) AS key, min_by(value, o) AS value FROM (
