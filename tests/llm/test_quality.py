@@ -81,3 +81,9 @@ def test_classifier_awkward_rows(tables, rows):
     one_class = quality_model.train(docs, labels.where("quality = 1"), per_class=20)
     assert min(r["score"] for r in quality_model.score(odd, one_class).collect()) > 0.5
     assert quality_model.score(docs.limit(0), model).count() == 0
+
+
+def test_labelled_sample_is_not_cut_for_the_driver():
+    import inspect
+
+    assert inspect.signature(quality_model.train).parameters["per_class"].default == 4000
