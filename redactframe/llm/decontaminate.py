@@ -2,9 +2,9 @@
 
 The benchmark is the query set: its items become numbered words, and its suffixes are the queries. Each block of
 training texts (a shard) becomes an array of the same word numbers; words that no item has, and text ends, break it.
-The suffixes of a shard are sorted by prefix doubling up to the longest item, and every benchmark suffix is
-found in that order by binary search, which also gives its longest verbatim match. An item window occurs where its
-suffix matches for at least the window's length; the run of equal suffixes in the array holds all places.
+The suffixes of a shard are sorted by prefix doubling up to the longest item. ``scan`` and ``clean`` find the suffixes
+that start an item window in that order by binary search, over the window's length; the run of equal suffixes in the
+array holds all places. ``matches`` finds every benchmark suffix with its longest verbatim match and the place of it.
 
 The training table is scanned once for each block of benchmark items, and nothing is shuffled. A block of items has a
 bounded number of bytes, so what is sent to the tasks does not grow with either table.
