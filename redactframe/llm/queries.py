@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from redactframe.llm import chat, decontaminate, langid, line_dedup, packing, quality_model, quality_rules, sharding, simhash, warc
+from redactframe.llm import chat, decontaminate, divergence, langid, line_dedup, packing, quality_model, quality_rules, sharding, simhash, warc
 from redactframe.llm.store import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -177,3 +177,36 @@ def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
 def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, folder, "documents"))
     return found.select(F.col("id").alias("doc_id"), simhash.hex_print("fp").alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+@query
+def op11_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, folder, "documents"))
+
+
+ORACLES["op11_source_divergence"] = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}') AS t FROM documents),
+w AS (SELECT r, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+c AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT r) AS docs FROM w GROUP BY ALL),
+kept AS (SELECT lang, term, sum(n) AS m FROM c GROUP BY ALL HAVING sum(docs) >= 3),
+l AS (SELECT lang, count(term) AS v, coalesce(sum(m), 0) AS total FROM (SELECT DISTINCT lang FROM d) LEFT JOIN kept USING (lang) GROUP BY lang),
+g AS (
+  SELECT x.lang, x.source, l.v, l.total AS lang_total, coalesce(sum(c.n) FILTER (k.term IS NOT NULL), 0) AS total
+  FROM (SELECT DISTINCT lang, source FROM d) x JOIN l USING (lang) LEFT JOIN c ON c.lang = x.lang AND c.source = x.source
+  LEFT JOIN kept k ON k.lang = x.lang AND k.term = c.term GROUP BY ALL),
+s AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 1)::HUGEINT) // (g.total + g.v)::HUGEINT AS p,
+         1 + (1000000000::HUGEINT * (k.m + 1)::HUGEINT) // (g.lang_total + g.v)::HUGEINT AS q
+  FROM g JOIN kept k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM s a JOIN s b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+  UNION ALL SELECT a.lang, a.source, b.source, 0 FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source WHERE a.v = 0),
+both_parts AS (
+  SELECT lang, source, 'pair' AS part, item, value FROM pairs
+  UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM s WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM both_parts)
+WHERE part = 'pair' OR rank <= 200
+"""
