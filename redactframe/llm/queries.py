@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from redactframe.llm import chat, decontaminate, divergence, langid, line_dedup, packing, quality_model, quality_rules, sharding, simhash, warc
-from redactframe.llm.store import table
+from redactframe.llm import chat, decontaminate, divergence, langid, line_dedup, packing, quality_model, quality_rules, sharding, simhash, vector_codes, warc
+from redactframe.llm.store import table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -210,3 +211,45 @@ SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS IN
 FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM both_parts)
 WHERE part = 'pair' OR rank <= 200
 """
+
+
+@query
+def op13_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    rows, codebooks = vector_codes.compress(table(spark, folder, "embeddings"))
+    rows = written(rows, "vector-indexes")
+    digest = hashlib.sha256(",".join(map(str, codebooks.ravel().tolist())).encode()).hexdigest()
+    labels = rows.groupBy("label").agg(F.sum("error").alias("label_error")).withColumnRenamed("label", "own")
+    code = F.array_join(F.transform("index", lambda i: F.lpad(F.lower(F.hex(i)), 2, "0")), "")
+    return rows.join(labels, F.col("label").eqNullSafe(F.col("own"))).select(
+        F.col("id").alias("vec_id"), code.alias("code"), "error", "label_error", F.lit(digest).alias("codebooks_sha256"))
+
+
+def _codes_sql() -> str:
+    nearest = """SELECT vec_id, part, min({{'d': d, 'e': entry}}) AS best
+  FROM (SELECT c.vec_id, c.part, b.entry, sum((c.v - b.v) * (c.v - b.v)) AS d FROM c JOIN b{0} b ON b.part = c.part AND b.pos = c.pos GROUP BY ALL) GROUP BY ALL"""
+    steps = "".join(f"""
+a{i} AS MATERIALIZED ({nearest.format(i)}),
+b{i + 1} AS MATERIALIZED (
+  SELECT b.part, b.entry, b.pos, coalesce((m.s - ((m.s % m.n) + m.n) % m.n) // m.n, b.v) AS v
+  FROM b{i} b LEFT JOIN (
+    SELECT c.part, a.best.e AS entry, c.pos, CAST(sum(c.v) AS BIGINT) AS s, count(*) AS n FROM c JOIN a{i} a ON a.vec_id = c.vec_id AND a.part = c.part GROUP BY ALL) m
+  ON m.part = b.part AND m.entry = b.entry AND m.pos = b.pos),""" for i in range(vector_codes.ROUNDS))
+    last = vector_codes.ROUNDS
+    return f"""
+WITH k AS (
+  SELECT vec_id, label, embedding AS x FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0),
+c AS MATERIALIZED (
+  SELECT vec_id, i // w AS part, i % w AS pos, CAST(floor({vector_codes.SCALE} * CAST(v AS DOUBLE)) AS BIGINT) AS v
+  FROM (SELECT vec_id, unnest(x) AS v, unnest(range(len(x))) AS i, len(x) // {vector_codes.PARTS} AS w FROM k)),
+b0 AS MATERIALIZED (
+  SELECT part, entry, pos, v FROM (SELECT *, row_number() OVER (PARTITION BY part, pos ORDER BY vec_id) - 1 AS entry FROM c) WHERE entry < {vector_codes.ENTRIES}),{steps}
+z AS MATERIALIZED ({nearest.format(last)}),
+r AS (
+  SELECT vec_id, label, string_agg(lpad(lower(hex(best.e)), 2, '0'), '' ORDER BY part) AS code, CAST(sum(best.d) AS BIGINT) AS error FROM z JOIN k USING (vec_id) GROUP BY ALL)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(CAST(v AS VARCHAR), ',' ORDER BY part, entry, pos)) FROM b{last}) AS codebooks_sha256
+FROM r
+"""
+
+
+ORACLES["op13_vector_codes"] = _codes_sql()
