@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from redactframe.llm import chat, decontaminate, divergence, langid, line_dedup, packing, quality_model, quality_rules, sharding, simhash, vector_codes, warc
+from redactframe.llm import bpe, chat, decontaminate, divergence, langid, line_dedup, packing, quality_model, quality_rules, sharding, simhash, vector_codes, warc
 from redactframe.llm.store import table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -213,6 +213,14 @@ WHERE part = 'pair' OR rank <= 200
 """
 
 
+@query
+def op12_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    ids = bpe.encode(table(spark, folder, "documents"), tokenizer_path())
+    listed = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return bpe.decode(ids, tokenizer_path()).select(
+        F.col("id").alias("doc_id"), F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
 @query
 def op13_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
     rows, codebooks = vector_codes.compress(table(spark, folder, "embeddings"))
