@@ -34,8 +34,9 @@ from redactframe.llm.store import shared_folder, small_batches, written
 
 #: Words in the lexicon at most, and bytes of a word in it at most. They decide cost, not results.
 LEXICON_WORDS, LEXICON_BYTES = 1 << 16, 32
-#: Distinct words that a counting task holds together, and merged words that an encoding worker remembers.
-HELD_WORDS, REMEMBERED = 1 << 20, 1 << 17
+#: Distinct words that a counting task holds together, bytes of text that are encoded together, and bytes of a word that
+#: is merged together with others.
+HELD_WORDS, ENCODED_BYTES, TOGETHER_BYTES = 1 << 20, 2 << 20, 64
 #: Counts are compared by their class, eight to a doubling.
 _CLASSES = 8
 
@@ -86,9 +87,14 @@ class Vocabulary:
         self.byte_ids = [ids[c] for _, c in sorted((b, c) for c, b in stand_in.items())]
         #: (left id, right id) -> (rank, merged id)
         self.merges: dict[tuple[int, int], tuple[int, int]] = {}
-        for rank, pair in enumerate(model["merges"]):
+        for pair in model["merges"]:
             left, right = pair if isinstance(pair, list) else pair.split(" ")
-            self.merges.setdefault((ids[left], ids[right]), (rank, ids[left + right]))
+            self.merges.setdefault((ids[left], ids[right]), (len(self.merges), ids[left + right]))
+        pairs = np.array([left << 32 | right for left, right in self.merges], np.int64)
+        self._order = np.argsort(pairs)
+        self._pairs = pairs[self._order]
+        self._results = np.array([merged for _, merged in self.merges.values()], np.int64)
+        self._by_byte = np.array(self.byte_ids, np.int64)
         self.added_pattern = re.compile("|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True)).encode()) if self.added else None
 
     def merge(self, word: bytes) -> list[int]:
@@ -115,6 +121,34 @@ class Vocabulary:
         return [x for x in ids if x >= 0]
 
 
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left << 32 | right
+        at = np.minimum(np.searchsorted(self._pairs, key), len(self._pairs) - 1)
+        return np.where(self._pairs[at] == key, self._order[at], len(self._order))
+
+    def merge_all(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of many short words and n + 1 bounds: all words take their next merge together."""
+        ids, none = self._by_byte[B.gather(data, starts, lengths)], len(self._order)
+        word = np.repeat(np.arange(len(starts)), lengths)
+        rank = np.full(len(ids), none, np.int64)
+        inner = np.flatnonzero(word[:-1] == word[1:])
+        rank[inner] = self._ranks(ids[inner], ids[inner + 1])
+        while len(ids) and rank.min() < none:
+            heads = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
+            best = np.minimum.reduceat(rank * len(ids) + np.arange(len(ids)), heads)  # least rank, then leftmost
+            chosen, at = best // len(ids), best % len(ids)
+            at, chosen = at[chosen < none], chosen[chosen < none]
+            ids[at] = self._results[chosen]
+            keep = np.ones(len(ids), bool)
+            keep[at + 1] = False
+            ids, word, rank = ids[keep], word[keep], rank[keep]
+            at -= np.arange(len(at))  # each word before has lost one
+            for left in (at, at[at > 0] - 1):
+                right = np.minimum(left + 1, len(ids) - 1)
+                rank[left] = np.where((right > left) & (word[left] == word[right]), self._ranks(ids[left], ids[right]), none)
+        return ids.astype(np.uint32), np.searchsorted(word, np.arange(len(starts) + 1))
+
+
 @lru_cache(4)
 def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
@@ -344,16 +378,19 @@ def mapped(name: str) -> Lexicon:
 
 class Encoder:
     def __init__(self, voc: Vocabulary, lexicon: Lexicon):
-        self.voc, self.lexicon, self.merged = voc, lexicon, {}
-
-    def unseen(self, word: bytes) -> np.ndarray:
-        if (ids := self.merged.get(word)) is None:
-            ids = np.array(self.voc.merge(word), np.uint32)
-            if len(word) <= LEXICON_BYTES:
-                if len(self.merged) >= REMEMBERED:
-                    self.merged.clear()
-                self.merged[word] = ids
-        return ids
+        self.voc, self.lexicon = voc, lexicon
+
+    def unseen(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words that the lexicon lacks, those of short words first, and their bounds in the order given."""
+        short = lengths <= TOGETHER_BYTES
+        ids, bounds = self.voc.merge_all(data, starts[short], lengths[short])
+        own = [self.voc.merge(data[a:a + n].tobytes()) for a, n in zip(starts[~short], lengths[~short], strict=True)]
+        sizes = np.zeros(len(starts), np.int64)
+        first = np.zeros(len(starts), np.int64)
+        sizes[short], first[short] = np.diff(bounds), bounds[:-1]
+        sizes[~short] = [len(x) for x in own]
+        first[~short] = len(ids) + np.cumsum(sizes[~short]) - sizes[~short]
+        return np.concatenate((ids, *(np.array(x, np.uint32) for x in own))), np.stack((first, sizes))
 
     def block(self, block: B.Block) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of a block's texts, one after the other, and n + 1 bounds."""
@@ -363,14 +400,12 @@ class Encoder:
         place = self.lexicon.places(data, offsets[:-1], np.diff(offsets))
         # ids of each distinct word: from the lexicon, then those merged here, then the added tokens
         lacking = np.flatnonzero(place < 0)
-        own = [self.unseen(data[offsets[i]:offsets[i + 1]].tobytes()) for i in lacking]
+        new_ids, (new_first, new_many) = self.unseen(data, offsets[lacking], np.diff(offsets)[lacking])
         bounds = self.lexicon.bounds
         first = bounds[np.maximum(place, 0)]
         many = bounds[np.minimum(np.maximum(place, 0) + 1, len(bounds) - 1)] - first
-        sizes = np.array([len(x) for x in own], np.int64)
-        base = len(self.lexicon.ids)
-        first[lacking], many[lacking] = base + np.cumsum(sizes) - sizes, sizes
-        pool = np.concatenate((self.lexicon.ids, *own, added_ids.astype(np.uint32)))
+        first[lacking], many[lacking] = len(self.lexicon.ids) + new_first, new_many
+        pool = np.concatenate((self.lexicon.ids, new_ids, added_ids.astype(np.uint32)))
         index = coded.indices.to_numpy(zero_copy_only=False)
         first, many = first[index], many[index]
         if len(added_at):
@@ -400,7 +435,7 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(vocabulary(path), mapped(name))
         for batch in batches:
-            for block in B.blocks(batch.column(1)):
+            for block in B.blocks(batch.column(1), ENCODED_BYTES):
                 ids, bounds = encoder.block(block)
                 lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids.view(np.int32)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.row0, block.rows), lists], names=["id", "ids"])

@@ -74,6 +74,15 @@ def test_long_words(tokenizer):
     assert encoded(texts) == wanted(tokenizer, texts)
 
 
+@given(st.lists(st.one_of(st.binary(min_size=1, max_size=40), st.text("aeinorst ", min_size=1, max_size=60).map(str.encode)), max_size=20))
+@settings(max_examples=300, deadline=None)
+def test_words_merged_together_are_as_merged_alone(some):
+    voc = bpe.vocabulary(PATH)
+    sizes = np.array([len(w) for w in some], np.int64)
+    ids, bounds = voc.merge_all(np.frombuffer(b"".join(some), np.uint8), np.cumsum(sizes) - sizes, sizes)
+    assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == [voc.merge(w) for w in some]
+
+
 @given(st.sets(st.binary(min_size=1, max_size=6), max_size=60))
 @settings(max_examples=200, deadline=None)
 def test_automaton_numbers_its_words(entries):
