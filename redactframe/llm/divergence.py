@@ -26,7 +26,7 @@ SCALE = 1_000_000_000
 #: Terms of a term block and sources of a group block, about.
 TERM_BLOCK, GROUP_BLOCK = 2048, 8
 #: Rows that a task counts together before it hands them on.
-HELD_ROWS = 1 << 20
+HELD_ROWS = 1 << 18
 
 #: ASCII letters and every byte of a code point beyond ASCII.
 TERM = B.byte_set(bytes([*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]))
