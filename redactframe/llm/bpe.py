@@ -36,7 +36,9 @@ from redactframe.llm.store import shared_folder, small_batches, written
 LEXICON_WORDS, LEXICON_BYTES = 1 << 16, 32
 #: Distinct words that a counting task holds together, bytes of text that are encoded together, and bytes of a word that
 #: is merged together with others.
-HELD_WORDS, ENCODED_BYTES, TOGETHER_BYTES = 1 << 20, 2 << 20, 64
+HELD_WORDS, ENCODED_BYTES, TOGETHER_BYTES = 1 << 18, 1 << 20, 64
+#: Token ids that are decoded in one step; a longer single list is a step of its own.
+DECODED_IDS = 1 << 18
 #: Counts are compared by their class, eight to a doubling.
 _CLASSES = 8
 
@@ -461,16 +463,18 @@ def decode(rows: DataFrame, path: str, ids: str = "ids", into: str = "text") ->
         for batch in batches:
             column = batch.column(place)
             lists = pc.fill_null(column, []) if column.null_count else column
-            flat = lists.flatten()
-            found = pc.fill_null(flat, -1).to_numpy(zero_copy_only=False).astype(np.int64)
-            known = (found >= 0) & (found < len(size))
-            found = np.where(known, found, 0)
-            many = np.where(known, size[found], 0)
-            total = np.concatenate(([0], np.cumsum(many)))
-            count = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))))
-            data = B.gather(pool, first[found], many).tobytes()
-            bounds = total[count]
-            texts = pa.array([data[a:b].decode("utf-8", "replace") for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns, texts], names=[*batch.schema.names, into])
+            count = np.concatenate(([0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))))
+            row = 0
+            while row < batch.num_rows:  # some rows at a time, at least one
+                end = max(row + 1, int(np.searchsorted(count, count[row] + DECODED_IDS, "right")) - 1)
+                found = pc.fill_null(lists.slice(row, end - row).flatten(), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+                known = (found >= 0) & (found < len(size))
+                found = np.where(known, found, 0)
+                many = np.where(known, size[found], 0)
+                data = B.gather(pool, first[found], many).tobytes()
+                bounds = np.concatenate(([0], np.cumsum(many)))[count[row:end + 1] - count[row]].tolist()
+                texts = pa.array([data[a:b].decode("utf-8", "replace") for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.string())
+                yield pa.RecordBatch.from_arrays([*batch.slice(row, end - row).columns, texts], names=[*batch.schema.names, into])
+                row = end
 
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(into, T.StringType())]))
