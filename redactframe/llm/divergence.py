@@ -25,8 +25,8 @@ from redactframe.llm.store import small_batches, written
 SCALE = 1_000_000_000
 #: Terms of a term block and sources of a group block, about.
 TERM_BLOCK, GROUP_BLOCK = 2048, 8
-#: Rows that a task counts together before it hands them on.
-HELD_ROWS = 1 << 18
+#: Bytes of text that are counted in one step, and rows of counts that a task sums up before it hands them on.
+COUNTED_BYTES, HELD_ROWS = 2 << 20, 1 << 18
 
 #: ASCII letters and every byte of a code point beyond ASCII.
 TERM = B.byte_set(bytes([*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]))
@@ -40,22 +40,18 @@ def block_terms(block: B.Block) -> tuple[pa.Array, np.ndarray]:
     return pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))), np.diff(bounds)
 
 
-def batch_counts(lang: pa.Array, source: pa.Array, text: pa.Array) -> pa.Table:
-    """``lang``, ``source``, ``term``, ``n`` occurrences, ``docs`` texts that hold it; each group has a row without a term."""
+def block_counts(lang: pa.Array, source: pa.Array, block: B.Block) -> pa.Table:
+    """``lang``, ``source``, ``term``, ``n`` occurrences, ``docs`` texts that hold it, of the rows of a block; each group has a row without a term."""
     langs, sources = lang.dictionary_encode(), source.dictionary_encode()
     wide = max(1, len(sources.dictionary))
     group = langs.indices.to_numpy(zero_copy_only=False).astype(np.int64) * wide + sources.indices.to_numpy(zero_copy_only=False)
-    chunks, many = [], []
-    for block in B.blocks(text):
-        terms, count = block_terms(block)
-        chunks.append(terms)
-        many.append(count)
-    coded = pa.chunked_array(chunks, pa.string()).combine_chunks().dictionary_encode()
+    terms, many = block_terms(block)
+    coded = terms.dictionary_encode()
     size = max(1, len(coded.dictionary))
-    doc = np.repeat(np.arange(len(text)), np.concatenate(many))
+    doc = np.repeat(np.arange(block.rows), many)
     # one sort: by group, term and text
-    key = np.sort((group[doc] * size + coded.indices.to_numpy(zero_copy_only=False)) * len(text) + doc)
-    pair = key // len(text)
+    key = np.sort((group[doc] * size + coded.indices.to_numpy(zero_copy_only=False)) * block.rows + doc)
+    pair = key // block.rows
     first = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1]))) if len(key) else np.zeros(0, np.int64)
     new_doc = np.concatenate(([True], key[1:] != key[:-1])).astype(np.int64) if len(key) else np.zeros(0, np.int64)
     found, own = pair[first] // size, np.unique(group)
@@ -78,12 +74,12 @@ def term_counts(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
         for batch in batches:
-            if batch.num_rows:
-                held.append(batch_counts(batch.column(0), batch.column(1), batch.column(2)))
-            if sum(t.num_rows for t in held) > HELD_ROWS:
-                held = [_summed(held)]
-                if held[0].num_rows > HELD_ROWS // 2:
-                    yield from held.pop().to_batches(1 << 16)
+            for block in B.blocks(batch.column(2), COUNTED_BYTES):
+                held.append(block_counts(*(batch.column(c).slice(block.row0, block.rows) for c in (0, 1)), block))
+                if sum(t.num_rows for t in held) > HELD_ROWS:
+                    held = [_summed(held)]
+                    if held[0].num_rows > HELD_ROWS // 2:
+                        yield from held.pop().to_batches(1 << 16)
         if held:
             yield from _summed(held).to_batches(1 << 16)
 

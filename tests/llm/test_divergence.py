@@ -6,7 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from redactframe.llm import divergence
+from redactframe.llm import blocks, divergence
 
 TERM = re.compile("[^\x00-\x40\x5b-\x60\x7b-\x7f]+")
 LOWER = {c: c + 32 for c in range(0x41, 0x5B)}
@@ -57,6 +57,7 @@ def test_many_blocks(rows, monkeypatch):
     monkeypatch.setattr(divergence, "TERM_BLOCK", 4)
     monkeypatch.setattr(divergence, "GROUP_BLOCK", 3)
     monkeypatch.setattr(divergence, "HELD_ROWS", 50)
+    monkeypatch.setattr(divergence, "COUNTED_BYTES", 300)
     want = brute(docs, 5)
     assert ours(made(rows, docs), top_terms=5) == want and len(want) > 300
 
@@ -83,11 +84,11 @@ def test_shares_of_huge_counts(counts, more):
 
 
 @pytest.mark.parametrize("texts", [["a b a", "", "Ünï c"], [""], ["1 2 3"]])
-def test_counts_of_a_batch(texts):
+def test_counts_of_a_block(texts):
     import pyarrow as pa
 
     n = len(texts)
-    got = divergence.batch_counts(pa.array(["l"] * n), pa.array(["s"] * n), pa.array(texts)).to_pylist()
+    got = divergence.block_counts(pa.array(["l"] * n), pa.array(["s"] * n), next(blocks.blocks(pa.array(texts)))).to_pylist()
     want = Counter(t for x in texts for t in TERM.findall(x.translate(LOWER)))
     assert {r["term"]: r["n"] for r in got if r["term"] is not None} == dict(want)
     assert [r for r in got if r["term"] is None] == [{"lang": "l", "source": "s", "term": None, "n": 0, "docs": 0}]
