@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from redactframe.llm.store import written
+from redactframe.llm.store import discard, written
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -37,6 +37,7 @@ def connected(links: DataFrame, most_rounds: int = 64) -> DataFrame:
     for _ in range(most_rounds):
         nodes = written(_small(_large(edges)), "stars")
         now = nodes.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        discard(edges)
         edges = nodes
         if now == state:
             return nodes.select(F.col("a").alias("node"), F.col("b").alias("root"))

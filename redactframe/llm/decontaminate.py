@@ -2,9 +2,10 @@
 
 The benchmark is the query set: its items become numbered words, and its suffixes are the queries. Each block of
 training texts (a shard) becomes an array of the same word numbers; words that no item has, and text ends, break it.
-The suffixes of a shard are sorted by prefix doubling up to the longest item. ``scan`` and ``clean`` find the suffixes
-that start an item window in that order by binary search, over the window's length; the run of equal suffixes in the
-array holds all places. ``matches`` finds every benchmark suffix with its longest verbatim match and the place of it.
+The suffixes of a shard are sorted by prefix doubling up to the longest item. Every benchmark suffix is found in that
+order by binary search, which gives its longest verbatim match in the shard. Where that is as long as the item window
+that begins the suffix, the run of suffixes that agree over the window holds all places of it: ``scan`` and ``clean``
+work on those. ``matches`` returns every benchmark suffix with its longest match over all shards and the place of it.
 
 The training table is scanned once for each block of benchmark items, and nothing is shuffled. A block of items has a
 bounded number of bytes, so what is sent to the tasks does not grow with either table.
@@ -154,20 +155,48 @@ class Shard:
             best = np.maximum(best, agree)
         return at, best, where
 
-    def hits(self, queries: Queries) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Which words lie in an occurrence of a window; and pairs of text and item with an occurrence."""
-        low = search(self.words, self.order, queries.words, queries.starts, queries.windows)
-        high = search(self.words, self.order, queries.words, queries.starts, queries.windows, past=True)
-        count = high - low
-        which = np.repeat(np.arange(len(count)), count)
+    def hits(self, queries: Queries) -> Hits:
+        """The occurrences of item windows: of the suffixes whose longest match here is as long as their window."""
+        at, best, _ = self.longest_matches(queries)
+        longest = np.zeros(len(queries.words), np.int64)
+        longest[at] = best
+        met = np.flatnonzero(longest[queries.starts] >= queries.windows)
+        begin, window = queries.starts[met], queries.windows[met]
+        low = search(self.words, self.order, queries.words, begin, window)
+        count = search(self.words, self.order, queries.words, begin, window, past=True) - low
+        which = np.repeat(np.arange(len(met)), count)
         places = B.gather(self.order, low, count)
-        ends = places + queries.windows[which]
         n = len(self.words) + 1
-        inside = np.cumsum(np.bincount(places, minlength=n) - np.bincount(ends, minlength=n)) > 0
-        n_words = self.bounds[-1]
-        hit = inside[np.arange(n_words) + B.owner(self.bounds)]
-        pairs = np.unique(self.text_of(places) * np.int64(len(queries.items) + 1) + queries.item[queries.starts[which]])
-        return hit, pairs // (len(queries.items) + 1), pairs % (len(queries.items) + 1)
+        inside = np.cumsum(np.bincount(places, minlength=n) - np.bincount(places + window[which], minlength=n)) > 0
+        hit = inside[np.arange(self.bounds[-1]) + B.owner(self.bounds)]
+        texts, begin = self.text_of(places), begin[which]
+        _, length = _compare(self.words, places, queries.words, begin, np.full(len(places), max(queries.longest, 1)))
+        first = np.concatenate(([0], np.flatnonzero(queries.words == 0) + 1))
+        return Hits(hit, texts, queries.item[begin], begin - first[queries.item[begin]], length, places - self.bounds[texts] - texts)
+
+
+@dataclass
+class Hits:
+    """Words inside an occurrence of a window; and of each occurrence its text, item, first word in the item, length of the match from there on, and first word in the text."""
+
+    hit: np.ndarray
+    text: np.ndarray
+    item: np.ndarray
+    start: np.ndarray
+    length: np.ndarray
+    place: np.ndarray
+
+    def longest(self) -> Iterator[tuple[int, ...]]:
+        """For each text, its occurrences of greatest length, one an item: text, item, start, length, place (least start and place first)."""
+        order = np.lexsort((self.place, self.start, self.item, -self.length, self.text))
+        text, item, length = self.text[order], self.item[order], self.length[order]
+        top = np.zeros(len(order), np.int64)
+        new = np.flatnonzero(np.concatenate(([True], text[1:] != text[:-1]))) if len(order) else order
+        top[new] = new
+        head = np.maximum.accumulate(top)
+        use = length == length[head]
+        use[1:] &= (item[1:] != item[:-1]) | (text[1:] != text[:-1]) | (length[1:] != length[:-1])
+        yield from zip(*(c[order][use].tolist() for c in (self.text, self.item, self.start, self.length, self.place)), strict=True)
 
 
 def query_blocks(benchmark: DataFrame, key: str, text: str, width: int, block_bytes: int) -> tuple[int, Iterator[Queries]]:
@@ -186,7 +215,9 @@ def query_blocks(benchmark: DataFrame, key: str, text: str, width: int, block_by
 
 def scan(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id",
          item_text: str = "text", width: int = 10, block_bytes: int = 8 << 20) -> DataFrame:
-    """One row per document: ``id``, ``n_words``, ``n_hit``, ``n_items``, ``items_sha256``.
+    """One row per document: ``id``, ``n_words``, ``n_hit``, ``n_items``, ``items_sha256``, and its longest match that fills a
+    window: ``match_words`` (its length), ``match_item``, ``match_start`` (first word in the item) and ``match_place`` (first
+    word in the document), 0 and nulls without one; of equal lengths the smallest item (as a string), start and place.
 
     A window is ``width`` consecutive words of an item, or all words of a shorter item. Null and empty texts have no
     words and hit nothing; items without words have no window; rows that repeat an item id are one item, and an item
@@ -195,7 +226,9 @@ def scan(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
     small_batches(docs.sparkSession)
     state = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
     state = state.withColumn("hit", F.lit(None).cast("binary")).withColumn("items", F.lit(None).cast("array<string>"))
+    state = state.withColumn("match", F.lit(None).cast("struct<words: bigint, item: string, start: bigint, place: bigint>"))
     result = T.StructType([state.schema["id"]]).add("n_words", "long").add("n_hit", "long").add("n_items", "long").add("items_sha256", "string")
+    result = result.add("match_words", "long").add("match_item", "string").add("match_start", "long").add("match_place", "long")
     parts, queries = query_blocks(benchmark, item_key, item_text, width, block_bytes)
     for number, query in enumerate(queries):
         last = number == parts - 1
@@ -203,29 +236,36 @@ def scan(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
         def run(batches: Iterator[pa.RecordBatch], sent=docs.sparkSession.sparkContext.broadcast(query), last=last) -> Iterator[pa.RecordBatch]:
             nothing = hashlib.sha256(b"").hexdigest()
             for batch in batches:
-                hits, items, n_words = batch.column(2).to_pylist(), batch.column(3).to_pylist(), [np.zeros(0, np.int64)]
+                hits, items, best, n_words = *(batch.column(c).to_pylist() for c in (2, 3, 4)), [np.zeros(0, np.int64)]
                 for block in B.blocks(batch.column(1)):
                     shard = Shard.of(block, sent.value)
-                    hit, texts, found = shard.hits(sent.value)
+                    found = shard.hits(sent.value)
                     n_words.append(np.diff(shard.bounds))
-                    for t in np.unique(texts):
-                        own, row = hit[shard.bounds[t]:shard.bounds[t + 1]], block.row0 + t
+                    for t in np.unique(found.text):
+                        own, row = found.hit[shard.bounds[t]:shard.bounds[t + 1]], block.row0 + t
                         if hits[row] is not None:  # what earlier blocks of items hit
                             own = own | np.unpackbits(np.frombuffer(hits[row], np.uint8), count=len(own)).astype(bool)
                         hits[row] = np.packbits(own).tobytes()
-                    for t, i in zip(texts, found, strict=True):
+                    pairs = np.unique(found.text * np.int64(len(sent.value.items) + 1) + found.item)
+                    for t, i in zip(*np.divmod(pairs, len(sent.value.items) + 1), strict=True):
                         row = block.row0 + t
                         items[row] = sorted({*(items[row] or ()), sent.value.items[i]})
+                    for t, i, start, length, place in found.longest():
+                        own, row = {"words": length, "item": sent.value.items[i], "start": start, "place": place}, block.row0 + t
+                        order = lambda m: (-m["words"], m["item"].encode(), m["start"], m["place"])
+                        best[row] = min((m for m in (best[row], own) if m), key=order)
                 if last:
                     columns = [
                         batch.column(0), pa.array(np.concatenate(n_words), pa.int64()),
                         pa.array([int(np.bitwise_count(np.frombuffer(h, np.uint8)).sum()) if h else 0 for h in hits], pa.int64()),
                         pa.array([len(i or ()) for i in items], pa.int64()),
                         pa.array([hashlib.sha256(",".join(i).encode()).hexdigest() if i else nothing for i in items], pa.string()),
+                        pa.array([m["words"] if m else 0 for m in best], pa.int64()), pa.array([m and m["item"] for m in best], pa.string()),
+                        pa.array([m and m["start"] for m in best], pa.int64()), pa.array([m and m["place"] for m in best], pa.int64()),
                     ]
                     yield pa.RecordBatch.from_arrays(columns, names=result.names)
                 else:
-                    columns = [batch.column(0), batch.column(1), pa.array(hits, pa.binary()), pa.array(items, pa.list_(pa.string()))]
+                    columns = [batch.column(0), batch.column(1), pa.array(hits, pa.binary()), pa.array(items, pa.list_(pa.string())), pa.array(best, batch.schema.field(4).type)]
                     yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
         state = state.mapInArrow(run, result if last else state.schema)
@@ -239,7 +279,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: st
     """Longest verbatim match of every benchmark suffix over all documents, and where it is.
 
     ``item`` (as a string), ``start`` (word of the item), ``length`` in words, ``id`` and ``place`` (word of that
-    document). Each shard gives one candidate a suffix; the longest wins, then the smallest id and place.
+    document). Each shard gives one candidate a suffix; the longest wins, then the smallest id and place. Suffixes of
+    which no word occurs, null and empty texts and items without words have no row. Ids are of any orderable type.
     """
     state = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
     shape = T.StructType().add("item", "string").add("start", "long").add("length", "long").add(T.StructField("id", state.schema["id"].dataType)).add("place", "long")
@@ -261,8 +302,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: st
 
         part = state.mapInArrow(run, shape)
         found = part if found is None else found.unionByName(part)
-    best = F.max_by(F.struct("length", "id", "place"), F.struct("length", -F.col("id").cast("double"), -F.col("place"))).alias("b")
-    return found.groupBy("item", "start").agg(best).select("item", "start", "b.length", "b.id", "b.place")
+    best = F.min(F.struct((-F.col("length")).alias("less"), "id", "place")).alias("b")
+    return found.groupBy("item", "start").agg(best).select("item", "start", (-F.col("b.less")).alias("length"), "b.id", "b.place")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text",
@@ -277,7 +318,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_key: s
             for batch in batches:
                 keep = np.ones(batch.num_rows, bool)
                 for block in B.blocks(batch.column(at)):
-                    keep[block.row0 + Shard.of(block, sent.value).hits(sent.value)[1]] = False
+                    keep[block.row0 + Shard.of(block, sent.value).hits(sent.value).text] = False
                 yield batch.filter(pa.array(keep))
 
         docs = docs.mapInArrow(run, docs.schema)

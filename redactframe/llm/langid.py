@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from redactframe.llm import blocks as B
 from redactframe.llm import grams as G
-from redactframe.llm.store import small_batches
+from redactframe.llm.store import free_name, small_batches
 
 UNKNOWN = "und"
 ORDERS = (1, 2, 3)
@@ -35,19 +35,25 @@ class LanguageModel:
     weights: np.ndarray  # buckets x languages, idf and scale folded in
     bias: np.ndarray
     temperature: float
+    idf: np.ndarray
+    rarest: float  # mean idf of a text's n-grams up to which it may be of a learned language
 
-    def logits(self, block: B.Block) -> np.ndarray:
-        total, count = np.zeros((block.rows, len(self.languages))), np.zeros(block.rows)
+    def scores(self, block: B.Block) -> tuple[np.ndarray, np.ndarray]:
+        """Logits of each text, and the mean idf of its n-grams."""
+        table = np.column_stack((self.weights, self.idf))
+        total, count = np.zeros((block.rows, table.shape[1])), np.zeros(block.rows)
         for bucket, starts in G.text_grams(block, ORDERS, BUCKETS):
-            total += G.segment_sums(self.weights[bucket], starts)
+            total += G.segment_sums(table[bucket], starts)
             count += np.diff(starts)
-        return total / np.maximum(count, 1)[:, None] + self.bias
+        total /= np.maximum(count, 1)[:, None]
+        return total[:, :-1] + self.bias, total[:, -1]
 
-    def predict(self, block: B.Block) -> tuple[np.ndarray, np.ndarray]:
-        """Index of the likeliest language of each text (the first of equals), and its calibrated probability."""
-        p = softmax(self.logits(block) / self.temperature)
+    def predict(self, block: B.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Index of the likeliest language of each text (the first of equals), its calibrated probability, and whether the text's n-grams are usual ones."""
+        logits, rarity = self.scores(block)
+        p = softmax(logits / self.temperature)
         best = p.argmax(axis=1)
-        return best, p[np.arange(len(best)), best]
+        return best, p[np.arange(len(best)), best], rarity <= self.rarest
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -178,31 +184,38 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     weights, bias = fit_ftrl([features[i] for i in fit], labels[fit], len(languages))
     test = np.flatnonzero(back)
     logits = np.array([features[i][1] @ weights[features[i][0]] + bias for i in test]).reshape(len(test), len(languages))
-    return LanguageModel(languages, weights * (idf * SCALE)[:, None], bias, fit_temperature(logits, labels[test]))
+    # n-grams of no learned language fall on buckets by chance: halfway between that and the rarest text held back
+    rarity = np.array([np.frombuffer(part, np.float32) @ idf[np.frombuffer(index, np.int32)] for _, index, part in sample])
+    rarest = (max(rarity[back] if back.any() else rarity, default=0.0) + idf.mean()) / 2
+    return LanguageModel(languages, weights * (idf * SCALE)[:, None], bias, fit_temperature(logits, labels[test]), idf, float(rarest))
 
 
 def identify(docs: DataFrame, model: LanguageModel | None, text: str = "text") -> DataFrame:
-    """All columns of ``docs`` plus ``__lang`` and ``__score`` (calibrated probability of that language).
+    """All columns of ``docs``, then three: ``__lang``, ``__score`` (calibrated probability of that language) and ``__usual``.
 
-    A text that is null or has no letter, and every text if there is no model, is ``und`` with score 0.
+    A text that is null or has no letter, and every text if there is no model, is ``und`` with score 0 and not usual. A text is
+    usual unless its n-grams are as rare on the whole as those of an unlearned language would be. Columns of ``docs`` pass
+    as they are, whatever their names: a new name that is taken gets underscores behind it. Repeated rows stay repeated.
     """
     small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text)
-    rows = docs.withColumn("__letter", F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
-    shape = T.StructType(list(docs.schema.fields)).add("__lang", "string").add("__score", "double")
+    lang, certainty, usual = (free_name(name, docs.columns) for name in ("__lang", "__score", "__usual"))
+    rows = docs.withColumn(free_name("__letter", docs.columns), F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
+    shape = T.StructType(list(docs.schema.fields)).add(lang, "string").add(certainty, "double").add(usual, "boolean")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         for batch in batches:
             letter = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False).astype(bool)
-            names, score = np.full(batch.num_rows, UNKNOWN, object), np.zeros(batch.num_rows)
+            names, score, common = np.full(batch.num_rows, UNKNOWN, object), np.zeros(batch.num_rows), np.zeros(batch.num_rows, bool)
             for block in B.blocks(batch.column(at)) if model else ():
-                best, p = model.predict(block)
+                best, p, near = model.predict(block)
                 own = slice(block.row0, block.row0 + block.rows)
                 names[own] = np.where(letter[own], np.array(model.languages, object)[best], UNKNOWN)
                 score[own] = np.where(letter[own], p, 0.0)
-            columns = [*batch.columns[:-1], pa.array(names, pa.string()), pa.array(score, pa.float64())]
+                common[own] = letter[own] & near
+            columns = [*batch.columns[:-1], pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(common)]
             yield pa.RecordBatch.from_arrays(columns, names=shape.names)
 
     return rows.mapInArrow(run, shape)

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from redactframe.llm import blocks as B
-from redactframe.llm.store import small_batches, written
+from redactframe.llm.store import free_name, small_batches, written
 
 #: Second base of the line hashes: one 64-bit hash places a line, the other is its fingerprint.
 _SECOND = 0xA0761D6478BD642F
@@ -260,19 +260,23 @@ def drop_lines(batch_ids: pa.Array, column: pa.Array, group: ShardGroup, min_cha
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = 40, min_docs: int = 5,
                 shard_lines: int = 500_000, group_bytes: int = 64 << 20) -> DataFrame:
-    """All columns of ``docs`` with the text less its repeated lines, plus ``__lines`` and ``__dropped`` (counts).
+    """All columns of ``docs`` with the text less its repeated lines, then ``__lines`` and ``__dropped`` (counts).
 
     A line's key is the line without ASCII white space at its ends and in ASCII lower case. Keys of at least
     ``min_chars`` code points in at least ``min_docs`` rows lose their lines except in the row of the largest id (in
     every row that carries it, if rows repeat). A null text is one empty line and comes out empty; rows with a null
-    key count as documents and keep a line only where no row with a key has it. Other columns pass as they are.
+    key count as documents and keep a line only where no row with a key has it. Other columns pass as they are, whatever
+    their names: a new name that is taken gets underscores behind it. Keys are whole numbers; others raise TypeError.
     """
     small_batches(docs.sparkSession)
+    if not isinstance(docs.schema[key].dataType, T.IntegralType):
+        raise TypeError(f"{key} is not a column of whole numbers")
     counts = line_counts(docs.select(F.col(key).cast("bigint"), text), min_chars, min_docs)
     index, total = build_index(counts, shard_lines)
     names = docs.columns
     at_key, at_text = names.index(key), names.index(text)
-    state = docs.withColumn("__lines", F.lit(None).cast("bigint")).withColumn("__dropped", F.lit(0).cast("bigint"))
+    lines, dropped = (free_name(name, docs.columns) for name in ("__lines", "__dropped"))
+    state = docs.withColumn(lines, F.lit(None).cast("bigint")).withColumn(dropped, F.lit(0).cast("bigint"))
     kind = T.StructType(state.schema.fields)
     for number, members in enumerate(_groups(index, group_bytes) or [[]]):
         rows = index.where(F.col("shard").isin(members)).collect() if members else []

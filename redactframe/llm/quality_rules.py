@@ -186,7 +186,7 @@ def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
           trees: int = 200, tree_rows: int = 64, sample_rows: int = 20_000, least_kept: float = 0.99) -> DataFrame:
     """``id``, the base statistics, ``base_failed``, ``anomaly`` and ``kept`` of every document.
 
-    The forest grows from about ``sample_rows`` rows (a hash of the id) that pass the base rules. The threshold reads
+    The forest grows from about ``sample_rows`` rows (drawn by a hash of their statistics, equal ones once) that pass the base rules. The threshold reads
     every labelled document that passes them; each label row counts, null ids and labels do not. Without any sample
     or label row the base rules alone decide. Repeated documents stay repeated.
     """
@@ -197,7 +197,7 @@ def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     share = min(1.0, sample_rows / max(1, passing.count()))
     names = (*BASE, *FURTHER)
     drawn = passing.where(F.pmod(F.xxhash64(F.lit("forest"), *names), F.lit(2**20)) < int(share * 2**20)).select(*names)
-    rows = drawn.distinct().orderBy(*names).limit(2 * sample_rows).toArrow()
+    rows = drawn.distinct().toArrow().sort_by([(c, "ascending") for c in names])
     sample = features({c: rows.column(c).to_numpy() for c in names})
     forest = Forest.grow(sample, trees, tree_rows) if len(sample) else None
     sent = docs.sparkSession.sparkContext.broadcast(forest)

@@ -107,7 +107,7 @@ def propagate(members: DataFrame, state: DataFrame, shards: int, capacity: int,
     return state
 
 
-def assign(rows: DataFrame, members: DataFrame, shards: int = 40, rounds: int = 4, cell_rows: int = 4096) -> DataFrame:
+def assign(rows: DataFrame, members: DataFrame, shards: int = 40, rounds: int = 4, cell_rows: int = 256) -> DataFrame:
     """``row``, ``shard``, ``slot`` of every row: shard counts differ by one at most, slots are gapless from 0.
 
     ``rows`` has a unique ``row`` number; ``members`` has (row, link), a row may have several links. Links of one row do
@@ -147,7 +147,7 @@ def assign(rows: DataFrame, members: DataFrame, shards: int = 40, rounds: int =
     return numbered(final, "shard", quota, ["row"], "slot", cell_rows)
 
 
-def shard_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: int = 40, rounds: int = 4, cell_rows: int = 4096) -> DataFrame:
+def shard_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: int = 40, rounds: int = 4, cell_rows: int = 256) -> DataFrame:
     """``id``, ``size``, ``crc``, ``shard``, ``slot`` of every document; documents with equal texts are linked.
 
     Size is the text's UTF-8 bytes plus 16. A null text counts as an empty one; null ids and repeated rows are rows

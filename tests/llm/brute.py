@@ -24,6 +24,12 @@ def fingerprint(text, width=4):
     return sum(1 << b for b in range(64) if 2 * counts[b] > len(grams))
 
 
+def shingles(text, width=5):
+    """Set of word shingles; a shorter text is one."""
+    w = WORD.findall(lower(text))
+    return {" ".join(w[i:i + width]) for i in range(len(w) - width + 1)} or ({" ".join(w)} if w else set())
+
+
 def components(pairs, nodes):
     root = {n: n for n in nodes}
 

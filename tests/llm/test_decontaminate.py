@@ -17,11 +17,31 @@ DOCS = [
 ]
 
 
+def longest(text):
+    """Longest run of equal words that fills a window of the item: words, item, start, place."""
+    found, words = [], brute.BENCH_WORD.findall(brute.lower(text or ""))
+    for i, item in ITEMS:
+        own = brute.BENCH_WORD.findall(brute.lower(item or ""))
+        for a in range(len(own)):
+            for b in range(len(words)) if own[a] in words else ():
+                n = 0
+                while a + n < len(own) and b + n < len(words) and own[a + n] == words[b + n]:
+                    n += 1
+                if n >= min(10, len(own)):
+                    found.append((-n, "" if i is None else str(i), a, b))
+    if not found:
+        return 0, None, None, None
+    n, item, a, b = min(found)
+    return -n, item, a, b
+
+
 @pytest.mark.parametrize("block_bytes", [8 << 20, 40])
 def test_against_brute_force(rows, block_bytes):
     docs = rows([(d, t, "c") for d, t in DOCS], "doc_id long, text string, hit string")
     bench = rows([(i, t, 0) for i, t in ITEMS], "item_id long, text string, id int")
-    got = [tuple(r) for r in decontaminate.scan(docs, bench, block_bytes=block_bytes).collect()]
+    out = decontaminate.scan(docs, bench, block_bytes=block_bytes).collect()
+    assert sorted([(r["id"], *tuple(r)[5:]) for r in out], key=str) == sorted([(d, *longest(t)) for d, t in DOCS], key=str)
+    got = [tuple(r)[:5] for r in out]
     want = [(d, n, h, len(f), hashlib.sha256(",".join(f).encode()).hexdigest()) for d, n, h, f in brute.contaminated(DOCS, ITEMS)]
     assert sorted(got, key=str) == sorted(want, key=str)
     kept = [tuple(r) for r in decontaminate.clean(docs, bench, block_bytes=block_bytes).collect()]
@@ -53,6 +73,12 @@ def test_longest_matches(rows):
     assert got == {3: (6, 1, 1), 4: (5, 1, 2), 5: (4, 1, 3), 6: (3, 1, 4), 7: (2, 1, 5), 8: (1, 1, 6)}
 
 
+def test_matches_of_string_ids(rows):
+    docs = rows([("b", "x " + " ".join(W[3:9])), ("a", " ".join(W[3:9])), (None, "nothing")], "doc_id string, text string")
+    got = decontaminate.matches(docs, rows([("i", " ".join(W[:12]))], "item_id string, text string")).where("start = 3").collect()
+    assert [tuple(r) for r in got] == [("i", 3, 6, "a", 0)]
+
+
 def test_blocks_cover_long_texts():
     column = pa.array(["a" * 50, None, "b", "c" * 7, ""])
     got = list(B.blocks(column, 10))

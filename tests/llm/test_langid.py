@@ -87,3 +87,51 @@ def test_temperature_recovers_the_scale():
     logits = rng.normal(size=(4000, 3)) * 2
     labels = np.array([rng.choice(3, p=langid.softmax(x)) for x in logits])
     assert abs(langid.fit_temperature(logits * 3, labels) - 3) < 0.3
+
+
+def test_unlearned_scripts_are_unusual(docs, rows, model):
+    odd = ["Привет, как дела? Сегодня хорошая погода и мы идем гулять в парк.", "今日はとても良い天気ですね。公園に行きましょう。", "დღეს კარგი ამინდია და ჩვენ პარკში მივდივართ", "สวัสดีครับ วันนี้อากาศดีมาก"]
+    got = {r["text"]: r["__usual"] for r in langid.identify(rows([(t,) for t in [*odd, None, "", "12"]], "text string"), model).collect()}
+    assert not any(got.values())
+    assert langid.identify(docs, model).where("NOT __usual").count() == 0
+
+
+def test_names_that_are_taken(rows, model):
+    df = rows([("the thing of the", 1, "own", "a", 2.0, True)], "text string, __letter int, __lang string, `__Score` string, x double, __usual boolean")
+    out = langid.identify(df, model)
+    assert out.columns == [*df.columns, "__lang_", "__score_", "__usual_"]
+    assert tuple(out.first())[:7] == ("the thing of the", 1, "own", "a", 2.0, True, "en")
+
+
+def test_regression_against_plain_loops():
+    """Follow-the-regularised-leader, one coordinate at a time, over the same order of rows."""
+    rng = np.random.default_rng(5)
+    rows = [(np.sort(rng.choice(12, 4, replace=False)).astype(np.int32), rng.random(4)) for _ in range(30)]
+    labels, classes = rng.integers(0, 3, 30), 3
+    alpha, beta, l1, l2, epochs, seed = 0.5, 1.0, 0.2, 0.02, 3, 7
+    z, n = [[0.0] * classes for _ in range(12)], [[0.0] * classes for _ in range(12)]
+    bias, bias_n = [0.0] * classes, [0.0] * classes
+
+    def weight(f, c):
+        if abs(z[f][c]) <= l1:
+            return 0.0
+        return ((1 if z[f][c] > 0 else -1) * l1 - z[f][c]) / ((beta + n[f][c] ** 0.5) / alpha + l2)
+
+    order = np.random.default_rng(seed)
+    for _ in range(epochs):
+        for i in order.permutation(len(rows)):
+            index, value = rows[i]
+            w = {(f, c): weight(f, c) for f in index for c in range(classes)}
+            logit = [bias[c] + sum(v * w[f, c] for f, v in zip(index, value, strict=True)) for c in range(classes)]
+            e = np.exp(np.array(logit) - max(logit))
+            for c in range(classes):
+                error = e[c] / e.sum() - (labels[i] == c)
+                for f, v in zip(index, value, strict=True):
+                    g = v * error
+                    z[f][c] += g - ((n[f][c] + g * g) ** 0.5 - n[f][c] ** 0.5) / alpha * w[f, c]
+                    n[f][c] += g * g
+                bias_n[c] += error * error
+                bias[c] -= alpha * error / (beta + bias_n[c] ** 0.5)
+    weights, got_bias = langid.fit_ftrl(rows, labels, classes, alpha, beta, l1, l2, epochs, seed)
+    assert np.allclose(weights[:12], [[weight(f, c) for c in range(classes)] for f in range(12)]) and np.allclose(got_bias, bias)
+    assert (weights[12:] == 0).all()

@@ -48,3 +48,15 @@ def test_perfect_hash(n):
     assert not again.probe(others, others)[0].any()
 
 
+
+
+def test_names_that_are_taken(rows):
+    df = rows([(i, LONG + f"\nown {i}", i, "kept") for i in range(6)], "doc_id long, text string, __lines int, `__Dropped` string")
+    out = line_dedup.dedup_lines(df)
+    assert out.columns == [*df.columns, "__lines_", "__dropped_"]
+    assert sorted(tuple(r) for r in out.collect()) == [(i, (LONG + "\n" if i == 5 else "") + f"own {i}", i, "kept", 2, int(i < 5)) for i in range(6)]
+
+
+def test_keys_are_whole_numbers(rows):
+    with pytest.raises(TypeError, match="whole numbers"):
+        line_dedup.dedup_lines(rows([("a", LONG)], "doc_id string, text string"))

@@ -25,12 +25,29 @@ def texts(df):
     return sorted([(r["doc_id"], r["text"]) for r in df.collect()], key=str)
 
 
+def near_roots(texts):
+    """Component of each place: equal sets of 5-word shingles, and pairs of Jaccard similarity 0.8 or more."""
+    sets = [brute.shingles(t) for t in texts]
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) > 0]
+    return brute.components(pairs, range(len(texts)))
+
+
 def test_language_stage_rejects_only_texts_without_language(spark, docs):
     out = P.language_id(spark, docs, SMALL)
     assert out.columns == docs.columns
     assert texts(out) == sorted([(d, t) for d, t, _ in DOCS if d not in (4, 5, 6)], key=str)
 
 
+def test_language_stage_rejects_unlearned_scripts(spark, rows):
+    """On the given table and some texts in other scripts: those go, all else stays, clashing names too."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").selectExpr("*", "doc_id AS __letter", "'x' AS __lang", "text AS __score")
+    odd = ["Привет, как дела? Сегодня хорошая погода и мы идем гулять в парк.", "今日はとても良い天気ですね。公園に行きましょう。", "დღეს კარგი ამინდია და ჩვენ პარკში მივდივართ"]
+    more = rows([(10_000 + i, t, "en", "s", len(t), i, "x", t) for i, t in enumerate(odd)], docs.schema)
+    out = P.language_id(spark, docs.unionByName(more), SMALL)
+    assert out.columns == docs.columns
+    assert sorted(r["doc_id"] for r in out.collect()) == sorted(r["doc_id"] for r in docs.collect())
+
+
 def test_line_stage(spark, docs):
     out = P.dedup_lines(spark, docs, SMALL)
     assert out.columns == docs.columns
@@ -42,9 +59,7 @@ def test_line_stage(spark, docs):
 def test_near_dedup_stage(spark, docs):
     out = P.near_dedup(spark, docs, SMALL)
     named = [(d, t) for d, t, _ in DOCS if d is not None]
-    prints = [brute.fingerprint(t) for _, t in named]
-    pairs = [(i, j) for i in range(len(named)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 4]
-    root = brute.components(pairs, range(len(named)))
+    root = near_roots([t for _, t in named])
     heads = {min(named[j][0] for j in range(len(named)) if root[j] == root[i]) for i in range(len(named))}
     assert out.columns == docs.columns
     assert sorted([r["doc_id"] for r in out.collect()], key=str) == sorted([*heads, None], key=str)
@@ -70,10 +85,11 @@ def test_run_follows_the_stages(spark):
     kept = [(r["doc_id"], r["text"]) for r in P.language_id(spark, docs, SMALL).collect()]
     assert len(kept) >= 0.98 * docs.count()
     kept = [(d, t) for d, _, _, t in brute.dedup_lines(kept)]
-    prints = {d: brute.fingerprint(t) for d, t in kept}
-    ids = sorted(prints)
-    root = brute.components([(a, b) for a in ids for b in ids if a < b and (prints[a] ^ prints[b]).bit_count() <= 4], ids)
-    kept = [(d, t) for d, t in kept if root[d] == d]
+    root = near_roots([t for _, t in kept])
+    first = {}
+    for i, (d, _) in enumerate(kept):
+        first[root[i]] = min(d, first.get(root[i], d))
+    kept = [(d, t) for i, (d, t) in enumerate(kept) if first[root[i]] == d]
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
     want = {d for d, _, hit, _ in brute.contaminated(kept, items) if not hit}
     assert {r["doc_id"] for r in P.run(spark, SMALL).collect()} == want
