@@ -165,10 +165,18 @@ def _attempts(v: Column) -> Column:
     return F.coalesce(listed, mapped)
 
 
-def _shaped(v: Column) -> Column:
-    """A parsed candidate as typed columns; what has the wrong JSON type is null. A list of one field is a single fill."""
-    act = _text(v, "action")
-    fields = F.when(act == "fill_many", _first_fields(v))
+def _opened(v: Column) -> Column:
+    """A parsed candidate and its action; each is taken out once, as what follows reads them often."""
+    return F.struct(v.alias("v"), _text(v, "action").alias("act"))
+
+
+def _listed(o: Column) -> Column:
+    return F.struct(o["v"].alias("v"), o["act"].alias("act"), F.when(o["act"] == "fill_many", _first_fields(o["v"])).alias("fields"))
+
+
+def _shaped(o: Column) -> Column:
+    """An opened candidate as typed columns; what has the wrong JSON type is null. A list of one field is a single fill."""
+    v, act, fields = o["v"], o["act"], o["fields"]
     single = F.when(F.size(fields) == 1, F.get(fields, F.lit(0)))
     own = {n: _text(v, n) for n in ("selector", "text", "value", "code", "direction", "url", "summary", "key")}
     is_field = act == "fill_field"
@@ -209,8 +217,8 @@ def reply_actions(replies: DataFrame, reply: str = "raw") -> DataFrame:
     Python only cuts out candidates; parsing, type checks and the rules stay in the engine. A ``fill`` ends the search
     too; what it comes to is up to page and profile (``matching.reply_fills`` on its ``attempts``).
     """
-    parsed = replies.withColumn("candidates", json_candidates(reply)).withColumn(
-        "shaped", F.transform("candidates", lambda c: _shaped(F.try_parse_json(c))))
+    opened = F.transform(F.transform("candidates", lambda c: F.try_parse_json(c)), _opened)
+    parsed = replies.withColumn("candidates", json_candidates(reply)).withColumn("shaped", F.transform(F.transform(opened, _listed), _shaped))
     good = F.filter("shaped", lambda a: reject_reason(a).isNull())
     return parsed.withColumn("a", F.transform(F.slice(good, 1, 1), _payload)).withColumn("a", F.get("a", F.lit(0))).drop("candidates", "shaped").select(
         *[c for c in replies.columns if c != reply], "a.*")

@@ -19,7 +19,7 @@ from redactframe.functions.text import (
     trim,
 )
 
-# Every rule needs an @ or a digit.
+# Every rule of rules.SPAN_PATTERNS needs an @ or a digit; rules of a user's own need not.
 _MAY_HOLD_PII = r"[@\d]"
 
 
@@ -41,9 +41,9 @@ def pii_spans(
         )
 
     spans = [typed(entity, pattern) for entity, pattern in patterns]
+    found = texts.filter(t.rlike(_MAY_HOLD_PII)) if patterns is rules.SPAN_PATTERNS else texts
     return (
-        texts.filter(t.rlike(_MAY_HOLD_PII))
-        .select(key, F.explode(F.concat(*spans)).alias("s"))
+        found.select(key, F.explode(F.concat(*spans)).alias("s"))
         .select(key, "s.*", F.lit(1.0).alias("confidence"), F.lit("regex").alias("source"))
     )
 

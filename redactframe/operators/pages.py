@@ -3,26 +3,32 @@
 from __future__ import annotations
 
 import json
+import re
 from functools import reduce
 from html.entities import name2codepoint
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from redactframe import rules
 from redactframe.functions import urls
-from redactframe.functions.text import collapse, let, matches, trim
+from redactframe.functions.text import collapse, match_spans, matches, trim
 from redactframe.operators.detect import visible_id_count
 
 # Parts of a page that are never visible.
 _DROPPED = [r"(?s)<!--.*?-->", r"(?is)<head\b.*?</head>", r"(?is)<script\b.*?</script>", r"(?is)<style\b.*?</style>"]
 _HIDING = r"""(?:\shidden[\s=>]|display\s*:\s*none|visibility\s*:\s*hidden|opacity\s*:\s*0[;"'])"""
-_HIDDEN_TAG = rf"(?is)^<[a-z][^>]*{_HIDING}"
+_HIDDEN = re.compile(rf"<[a-z][^>]*{_HIDING}", re.I | re.S | re.A)
+_TOKEN, _NAME = re.compile(r"<[^>]*>|[^<]+|<"), re.compile(r"</?([A-Za-z][A-Za-z0-9]*)")
+_VOID = {"input", "br", "img", "hr", "meta", "link"}
 #: Named character references by name, as the standard library lists them, and the digit forms.
 NAMED = {f"&{name};": chr(point) for name, point in name2codepoint.items() if name != "amp"}
 NAMED["&nbsp;"] = " "  # layout shows it as a blank
 _REFERENCE = r"&(?:[A-Za-z][A-Za-z0-9]{1,30}|#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6});"
 _AMPERSAND = r"&(?:amp|#0*38|#[xX]0*26);"
+LABEL_ELEMENT = r"(?is)<label\b[^>]*>.*?</label>"
 #: Native controls, and any element that is editable in place.
 CONTROL_TAG = r"""(?is)<(?:(?:input|select|textarea)\b[^>]*|[a-z][a-z0-9]*\s(?:[^>]*?[\s"'])?contenteditable(?:\s*=\s*(?:"(?:true|plaintext-only)?"|'(?:true|plaintext-only)?'|true\b)[^>]*|\s[^>=]*)?)>"""
 
@@ -45,35 +51,42 @@ def resolve_references(text: Column) -> Column:
     return F.regexp_replace(F.when(F.contains(text, F.lit("&")), out).otherwise(text), _AMPERSAND, "&")
 
 
+def _shown(page: str) -> str:
+    """``page`` with a blank for each tag and text of elements that hide themselves, in one walk."""
+    out: list[str] = []
+    name, depth, since = "", 0, 0
+    for token in _TOKEN.findall(page):
+        out.append(token)
+        if token[0] != "<":
+            continue
+        tag = _NAME.match(token)
+        own = tag[1].lower() if tag else ""
+        closes = token.startswith("</")
+        opens = not closes and not token.endswith("/>") and own not in _VOID
+        if not name:
+            if opens and _HIDDEN.match(token):
+                name, depth, since = own, 1, len(out) - 1
+        elif own == name:
+            depth += 1 if opens else -1 if closes else 0
+            if not depth:
+                out[since:] = [" " * (len(out) - since)]
+                name = ""
+    return "".join(out)
+
+
+@F.pandas_udf(T.StringType())
+def _without_hidden(html: pd.Series) -> pd.Series:
+    return html.map(_shown, na_action="ignore")
+
+
 def without_hidden(html: Column) -> Column:
     """The page without elements that hide themselves, whatever is nested in them.
 
-    One walk over tags and texts keeps the hiding element's name and how deep its like is nested, and notes where it
-    ends; an element that never ends hides nothing. Pages without any hiding attribute are not taken apart.
+    One walk over tags and texts, linear in the page, keeps the hiding element's name and how deep its like is nested; an
+    element that never ends hides nothing. Pages without any hiding attribute are not taken apart.
     """
-    tokens = F.transform(F.regexp_extract_all(html, F.lit(r"<[^>]*>|[^<]+|<"), F.lit(0)), lambda t, i: F.struct(t.alias("t"), i.alias("i")))
-    spans = F.array().cast("array<struct<a:int,b:int>>")
-    start = F.struct(F.lit("").alias("tag"), F.lit(0).alias("depth"), F.lit(0).alias("since"), spans.alias("spans"))
-
-    def step(s: Column, e: Column) -> Column:
-        t = e["t"]
-        name = F.lower(F.regexp_extract(t, "^</?([A-Za-z][A-Za-z0-9]*)", 1))
-        opens = ~F.startswith(t, F.lit("</")) & ~F.endswith(t, F.lit("/>")) & ~name.isin("input", "br", "img", "hr", "meta", "link")
-        begins = (s["tag"] == "") & F.startswith(t, F.lit("<")) & opens & t.rlike(_HIDDEN_TAG)
-        like = (s["tag"] != "") & (name == s["tag"]) & F.startswith(t, F.lit("<"))
-        depth = F.when(begins, 1).when(like & opens, s["depth"] + 1).when(like & F.startswith(t, F.lit("</")), s["depth"] - 1).otherwise(s["depth"])
-        ends = like & (depth == 0)
-        return F.struct(
-            F.when(begins, name).when(ends, "").otherwise(s["tag"]).alias("tag"), depth.cast("int").alias("depth"),
-            F.when(begins, e["i"]).otherwise(s["since"]).alias("since"),
-            F.when(ends, F.concat(s["spans"], F.array(F.struct(s["since"].alias("a"), e["i"].alias("b"))))).otherwise(s["spans"]).alias("spans"))
-
-    def cut(all_: Column) -> Column:
-        hidden = F.aggregate(all_, start, step, lambda s: s["spans"])
-        shown = let(hidden, lambda h: F.transform(all_, lambda e: F.when(F.exists(h, lambda r: e["i"].between(r["a"], r["b"])), " ").otherwise(e["t"])))
-        return F.array_join(shown, "")
-
-    return F.when(html.rlike("(?is)<[a-z][^>]*" + _HIDING), let(tokens, cut)).otherwise(html)
+    walked = F.when(html.rlike("(?is)<[a-z][^>]*" + _HIDING), html)
+    return F.coalesce(_without_hidden(walked), html)
 
 
 def visible_text(html: Column) -> Column:
@@ -134,7 +147,7 @@ def form_controls(pages: DataFrame) -> DataFrame:
 
 def label_elements(pages: DataFrame) -> DataFrame:
     """page_id, label_idx, for_id, label_text of all <label> elements."""
-    whole = F.regexp_extract_all("html", F.lit(r"(?is)<label\b[^>]*>.*?</label>"), F.lit(0))
+    whole = F.regexp_extract_all("html", F.lit(LABEL_ELEMENT), F.lit(0))
     return pages.select("page_id", F.posexplode(whole).alias("label_idx", "el")).select(
         "page_id", "label_idx", attribute(F.col("el"), "for").alias("for_id"),
         trim(F.regexp_replace("el", "<[^>]*>", "")).alias("label_text"),
@@ -167,15 +180,21 @@ def risk_counts(pages: DataFrame) -> DataFrame:
     is_type = lambda t, kind: (tag_name(t) == "input") & (F.lower(attribute(t, "type")) == kind)
     scripts = F.regexp_extract_all(html, F.lit(r"(?is)<script\b[^>]*>"), F.lit(0))
     tracked = lambda s: reduce(lambda a, b: a | b, [F.contains(attribute(s, "src"), F.lit(t)) for t in rules.TRACKERS])
-    labels = F.regexp_extract_all(html, F.lit(r"(?is)<label\b[^>]*>.*?</label>"), F.lit(0))
+    labels = match_spans(html, LABEL_ELEMENT)
 
-    def label_of(tag):
-        # a label names its control by id, or stands around it
+    def label_of(control):
+        # a label names its control by id, or stands around it: places tell controls that are written alike apart
+        tag = control["text"]
         mine = F.filter(labels, lambda el: (
-            (attribute(el, "for") != "") & (attribute(el, "for") == attribute(tag, "id")) | (attribute(el, "for") == "") & F.contains(el, tag)))
-        shown = trim(F.regexp_replace(F.get(mine, F.lit(0)), "<[^>]*>", ""))
+            (attribute(el["text"], "for") != "") & (attribute(el["text"], "for") == attribute(tag, "id"))
+            | (attribute(el["text"], "for") == "") & (el["start"] <= control["start"]) & (control["end"] <= el["end"])))
+        shown = trim(F.regexp_replace(F.get(mine, F.lit(0))["text"], "<[^>]*>", ""))
         return F.coalesce(F.nullif(shown, F.lit("")), attribute(tag, "aria-label"))
 
+    # places only where a box is ticked
+    is_ticked = lambda t: is_type(t, "checkbox") & has_flag(t, "checked")
+    ticked = F.when(F.exists(controls, is_ticked), F.filter(match_spans(html, CONTROL_TAG), lambda c: is_ticked(c["text"])))
+    ticked = F.coalesce(ticked, F.array().cast("array<struct<text:string,start:int,end:int>>"))
     host = urls.host(F.col("url"))
     insecure = (F.coalesce(urls.scheme(F.col("url")), F.lit("")) != "https") & ~F.coalesce(
         host.isin(rules.LOCAL_HOSTS), F.lit(False))
@@ -187,8 +206,7 @@ def risk_counts(pages: DataFrame) -> DataFrame:
         n(F.filter(controls, lambda t: tag_name(t).isin("input", "textarea")
                    & matches(hay(t), rules.RISK_SENSITIVE_INPUT, True))).alias("sensitive_inputs"),
         n(F.filter(scripts, tracked)).alias("trackers"),
-        n(F.filter(controls, lambda t: is_type(t, "checkbox") & has_flag(t, "checked")
-                   & matches(label_of(t), rules.RISK_CONSENT_LABEL, True))).alias("dark_patterns"),
+        n(F.filter(ticked, lambda c: matches(label_of(c), rules.RISK_CONSENT_LABEL, True))).alias("dark_patterns"),
         visible_id_count(visible_text(html)).cast("long").alias("pii_exposed"),
     )
 

@@ -68,9 +68,18 @@ def form_controls(spark, sf):
     return pages.form_controls(derived(spark, sf, "form_pages")).withColumn("field_idx", F.col("field_idx").cast("long"))
 
 
-def label_sql(tag: str) -> str:
+def placed_sql(src: str, pattern: str) -> str:
+    """Matches with their places: pieces between matches give the running positions."""
+    m, g = f"regexp_extract_all({src}, {q.lit(pattern)})", f"string_split_regex({src}, {q.lit(pattern)})"
+    size = lambda l, to: f"coalesce(list_sum(list_transform({l}[1:{to}], lambda s: length(s))), 0)"
+    return f"list_transform(range(1, len({m}) + 1), lambda i: {{'t': {m}[i], 'a': {size(g, 'i')} + {size(m, 'i - 1')}}})"
+
+
+def label_sql(control: str) -> str:
     """Text of the first label that names the control or stands around it, else its aria-label."""
-    own = f"list_filter(lab, lambda e: ({attr_sql('e', 'for')} <> '' AND {attr_sql('e', 'for')} = {attr_sql(tag, 'id')}) OR ({attr_sql('e', 'for')} = '' AND contains(e, {tag})))[1]"
+    tag = f"{control}.t"
+    around = f"e.a <= {control}.a AND {control}.a + length({tag}) <= e.a + length(e.t)"
+    own = f"list_filter(lab, lambda e: ({attr_sql('e.t', 'for')} <> '' AND {attr_sql('e.t', 'for')} = {attr_sql(tag, 'id')}) OR ({attr_sql('e.t', 'for')} = '' AND {around}))[1].t"
     return f"coalesce(nullif({q.trim(f'regexp_replace({own}, {q.lit("<[^>]*>")}, {q.lit("")}, {q.lit("g")})')}, ''), {attr_sql(tag, 'aria-label')})"
 
 
@@ -87,10 +96,10 @@ def risk_counts_sql(src: str) -> str:
       {n('ctl', f"{tag} = 'input' AND {kind} = 'password'")} AS password_fields,
       {n('ctl', f"{tag} IN ('input', 'textarea') AND {q.has(hay, rules.RISK_SENSITIVE_INPUT, True)}")} AS sensitive_inputs,
       {n('scr', tracked)} AS trackers,
-      {n('ctl', f"{tag} = 'input' AND {kind} = 'checkbox' AND {flag_sql('t', 'checked')} AND {q.has(label_sql('t'), rules.RISK_CONSENT_LABEL, True)}")} AS dark_patterns,
+      {n('placed', f"{TAG_SQL.format(t='t.t')} = 'input' AND lower({attr_sql('t.t', 'type')}) = 'checkbox' AND {flag_sql('t.t', 'checked')} AND {q.has(label_sql('t'), rules.RISK_CONSENT_LABEL, True)}")} AS dark_patterns,
       cast({ids} AS BIGINT) AS pii_exposed
       FROM (SELECT page_id, url, {q.host('url')} AS host, regexp_extract_all(html, {q.lit(pages.CONTROL_TAG)}) AS ctl,
-        regexp_extract_all(html, '(?is)<label\\b[^>]*>.*?</label>') AS lab, regexp_extract_all(html, '(?is)<script\\b[^>]*>') AS scr, {visible_sql('html')} AS vis FROM {src})"""
+        {placed_sql('html', pages.LABEL_ELEMENT)} AS lab, {placed_sql('html', pages.CONTROL_TAG)} AS placed, regexp_extract_all(html, '(?is)<script\\b[^>]*>') AS scr, {visible_sql('html')} AS vis FROM {src})"""
 
 
 def risk_sql(src: str) -> str:

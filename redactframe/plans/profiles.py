@@ -9,7 +9,7 @@ from redactframe.operators import documents, fields, matching, profile
 from redactframe.plans import sqltext as q
 from redactframe.plans.detection import _verhoeff_sql, luhn_sql
 from redactframe.plans.forms import _class_sql, _FILLABLE, resolve_sql
-from redactframe.plans.registry import query
+from redactframe.plans.registry import ORACLES, query
 from redactframe.sources.shapes import RAW_PROFILE_TEXT, cte
 from redactframe.sources.tables import derived, table
 
@@ -412,3 +412,22 @@ def reply_fill_fields(spark, sf):
     docs = table(spark, sf, "documents").selectExpr("cast(substr(source, 4) AS bigint) AS owner_id", "doc_id", "doc_id AS extracted_at", "text")
     actions = agents.reply_actions(derived(spark, sf, "replies").select("reply_id", "user_id", "raw"))
     return matching.reply_fills(actions, derived(spark, sf, "user_fields"), _profile(spark, sf), documents.vault_retention(docs))
+
+
+def _all_texts(spark, sf):
+    return table(spark, sf, "documents").selectExpr("cast(substr(source, 4) AS bigint) AS owner_id", "text")
+
+
+@query("fill_rewrite_all", oracle=ORACLES["fill_rewrite"].replace(VAULT_TEXTS, ALL_TEXTS))
+def fill_rewrite_all(spark, sf):
+    """As ``fill_rewrite``, against every document of the user."""
+    return matching.rewrite_fill(derived(spark, sf, "claims"), derived(spark, sf, "user_fields"), _profile(spark, sf), _all_texts(spark, sf), retained=False)
+
+
+@query("reply_fill_fields_all", oracle=ORACLES["reply_fill_fields"].replace(VAULT_TEXTS, ALL_TEXTS))
+def reply_fill_fields_all(spark, sf):
+    """As ``reply_fill_fields``, against every document of the user."""
+    from redactframe.operators import agents
+
+    actions = agents.reply_actions(derived(spark, sf, "replies").select("reply_id", "user_id", "raw"))
+    return matching.reply_fills(actions, derived(spark, sf, "user_fields"), _profile(spark, sf), _all_texts(spark, sf), retained=False)

@@ -246,6 +246,8 @@ FORM_PAGES = Shape("customer", (
     + pick(f"{C} * 11", ['<input type="checkbox" checked aria-label="I agree to marketing">', '<input type="checkbox" checked aria-label="Remember me">',
                          '<input type="checkbox" aria-label="newsletter">', '', '<label><input type="checkbox" checked name="wrapped"> I agree to share &amp; sell</label>',
                          '<label for="c9">Subscribe to the newsletter</label><input type="checkbox" id="c9" checked>', '<label>Other</label><input type="checkbox" checked aria-label="consent">',
+                         '<label>Remember me <input type="checkbox" checked></label><label><input type="checkbox" checked> I agree to share</label>',
+                         '<label><input type="checkbox" checked> I agree to share</label><label>Remember me <input type="checkbox" checked></label>',
                          '<div contenteditable="true" id="note">x</div><p contenteditable=false>y</p><span class="e" contenteditable>z</span>']) + ", "
     + f"'</form>', {pick(f'{C} * 13', ['', NESTED_HIDDEN + '<div>shown</div>', '<p hidden>one</p>two'])}, '<p>', {pick(C, ['ID 2345 6789 ', 'ref ', 'PAN ABCDE1234F and ', 'don&#8217;t &amp;lt; ', '&eacute;t&eacute; &#x1F600; &unknown; '])}, {padded(f'{C} % 10000', 4)}, '</p></body></html>') AS html",
 ))

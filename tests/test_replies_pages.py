@@ -1,9 +1,12 @@
 """Reply payloads, page visibility and one-pass profiles."""
 
+import re
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
-from redactframe.operators import agents, documents, pages, profile
+from redactframe.operators import agents, detect, documents, pages, profile
 
 
 def reply(rows, text):
@@ -80,3 +83,38 @@ def test_many_queries_share_one_scan(spark):
     out = documents.top_snippets(docs, queries, 2)
     assert out.count() == 40_000
     assert out.where("rank = 1 and score = 2").count() >= 20_000 // 10
+
+
+def test_controls_written_alike_have_their_own_labels(rows):
+    """Two boxes of equal text: each has the label that stands around it."""
+    box, forms = '<input type="checkbox" checked>', []
+    yes, no = f"<label>{box} I agree to share</label>", f"<label>Remember me {box}</label>"
+    forms = [(1, yes + no, 1), (2, no + yes, 1), (3, yes + yes, 2), (4, no + no, 0), (5, box + yes, 1), (6, f'<label for="x">consent</label>{box}', 0)]
+    counts = pages.risk_counts(rows([(i, "https://a.example", h) for i, h, _ in forms], "page_id int, url string, html string"))
+    assert {r["page_id"]: r["dark_patterns"] for r in counts.collect()} == {i: n for i, _, n in forms}
+
+
+def test_hidden_parts_take_time_in_proportion():
+    """Twice the hidden blocks take about twice the time, not four times."""
+    def seconds(n):
+        page = "".join(f"<div hidden><div>{i}</div></div><p>shown {i}</p>" for i in range(n))
+        begin = time.perf_counter()
+        out = pages._shown(page)
+        assert out.count("shown") == n and "<div" not in out
+        return time.perf_counter() - begin
+
+    seconds(4000)
+    small, large = min(seconds(8000) for _ in range(3)), min(seconds(32_000) for _ in range(3))
+    assert large < 10 * small
+
+
+def test_rules_of_ones_own_need_no_digit(rows):
+    texts = rows([(1, "call John now"), (2, "John 1"), (3, None), (4, "nobody")], "doc_id int, text string")
+    found = detect.pii_spans(texts, patterns=[("NAME", "John")])
+    assert sorted((r["doc_id"], r["start"]) for r in found.collect()) == [(1, 5), (2, 0)]
+
+
+def test_replies_are_parsed_once(rows):
+    replies = rows([(1, '{"action": "click", "selector": "#a"}')], "reply_id int, raw string")
+    plan = agents.reply_actions(replies)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"parse_?json", plan, re.I)) <= 2

@@ -1,3 +1,5 @@
+import random
+
 from redactframe.operators import documents as D
 
 
@@ -11,3 +13,44 @@ def test_claims_meet_every_text_of_their_owner(spark, rows):
     assert sorted(r["claim_id"] for r in D.vault_contains_all(claims, vault).collect()) == [1, 2, 4]
     assert [r["claim_id"] for r in D.vault_contains(claims, D.vault_retention(vault)).collect()] == [4]
     assert D.vault_contains_all(claims.limit(0), vault).count() == 0
+
+
+def _found(spark, rows, texts, claims, first_bytes=16):
+    from redactframe.functions.contains import found_in_long
+
+    hays = rows(texts, "owner_id long, text string")
+    asked = rows(claims, "owner_id long, needle string")
+    return {tuple(r) for r in found_in_long(hays, asked, ["owner_id"], "text", "needle", first_bytes).select("owner_id", "needle").collect()}
+
+
+def test_search_against_brute_force(spark, rows):
+    """Needles of all lengths, in several letters, cut from texts or nearly so."""
+    rng = random.Random(7)
+    words = ["alpha", "ß", "é", "你好", "😀", "beta", "a", "zz", " ", "x" * 30]
+    texts = [(rng.randrange(4), " ".join(rng.choices(words, k=rng.randrange(0, 60)))) for _ in range(60)] + [(1, None), (1, ""), (None, "alpha beta")]
+    needles = []
+    for owner, text in texts:
+        for _ in range(8):
+            a = rng.randrange(len(text or "x"))
+            cut = (text or "")[a:a + rng.choice([1, 2, 3, 7, 15, 16, 17, 40, 300])]
+            needles.append((rng.choice([owner, 0, 3]), cut if rng.random() < 0.7 else cut + "!"))
+    needles += [(0, None), (None, "alpha"), (0, "")]
+    want = {(o, n) for o, n in needles if n and o is not None and any(p == o and n in (t or "") for p, t in texts)}
+    for first_bytes in (1, 16):
+        assert _found(spark, rows, texts, needles, first_bytes) == want
+    assert len(want) > 100
+
+
+def test_one_long_claim_moves_little(spark, rows):
+    """With a claim of 2,000 characters, what is shuffled stays far below the texts, and one owner's texts stay where they are."""
+    rng = random.Random(3)
+    body = [" ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(4000)) for _ in range(40)]
+    texts = [(1, b) for b in body]
+    claims = [(1, body[17][5000:7000]), (1, body[3][100:2100] + "!"), (1, "abc"), (1, body[39][-30:])]
+    assert _found(spark, rows, texts, claims) == {claims[0], claims[2], claims[3]}
+    from redactframe.functions.contains import found_in_long
+
+    plan = found_in_long(rows(texts, "owner_id long, text string"), rows(claims, "owner_id long, needle string"), ["owner_id"], "text", "needle")
+    # rows leave the scan as matched needles only: nothing explodes texts into places or slices
+    text = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("MapInArrow") == 1 and "Generate" not in text
