@@ -261,7 +261,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     small_batches(docs.sparkSession)
     prints = written(fingerprints(docs, key, text, width), "simhash")
     by_print = prints.groupBy("fp").agg(F.min("id").alias("smallest"))
-    roots = connected(links(by_print.select("fp"), budget, segments, bucket_rows))
+    roots = connected(written(links(by_print.select("fp"), budget, segments, bucket_rows), "links"))
     rooted = by_print.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     rooted = written(rooted, "simhash-roots")
     # only fingerprints that have a link need their component's smallest id looked up
