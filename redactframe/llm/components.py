@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from redactframe.llm.store import discard, written
 
-#: Links for each file of a round's table.
-FILE_ROWS = 1 << 17
-
 
 def _large(edges: DataFrame) -> DataFrame:
     """Every neighbour above a node moves to the smallest node that the node sees, itself included."""
@@ -29,21 +26,19 @@ def connected(links: DataFrame, most_rounds: int = 64) -> DataFrame:
     """(node, root): each linked node and the smallest node of its component.
 
     ``links`` has two columns of one orderable type; self-links and nulls are ignored, nodes without a link are not
-    returned; the links should be a stored table, as they are read twice. Each round is a few equi-joins; the result of every second one is a written table. The number of rounds grows
+    returned. Each round is a few equi-joins; the result of every second one is a written table. The number of rounds grows
     with the square of the logarithm of a component's size; the driver only reads a count and a sum of each table.
     """
     src, dst = links.columns
     a, b = F.col(src), F.col(dst)
     edges = links.where(a.isNotNull() & b.isNotNull() & (a != b)).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct()
-    # files of a bounded number of rows: a round has two rows a link at most
-    files = 1 + links.count() // FILE_ROWS
-    state = last = None
+    edges = written(edges, "links")
+    state = None
     for _ in range(0, most_rounds, 2):
-        nodes = written(_small(_large(_small(_large(edges)))).coalesce(files), "stars")
+        nodes = written(_small(_large(_small(_large(edges)))), "stars")
         now = nodes.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if last is not None:
-            discard(last)
-        edges = last = nodes
+        discard(edges)
+        edges = nodes
         if now == state:
             return nodes.select(F.col("a").alias("node"), F.col("b").alias("root"))
         state = now
