@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from redactframe.llm.store import discard, written
 
+#: Links for each file of a round's table.
+FILE_ROWS = 1 << 17
+
 
 def _large(edges: DataFrame) -> DataFrame:
     """Every neighbour above a node moves to the smallest node that the node sees, itself included."""
@@ -33,9 +36,11 @@ def connected(links: DataFrame, most_rounds: int = 64) -> DataFrame:
     a, b = F.col(src), F.col(dst)
     edges = links.where(a.isNotNull() & b.isNotNull() & (a != b)).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct()
     edges = written(edges, "links")
+    # files of a bounded number of rows: a round has two rows a link at most
+    files = 1 + edges.count() // FILE_ROWS
     state = None
     for _ in range(0, most_rounds, 2):
-        nodes = written(_small(_large(_small(_large(edges)))), "stars")
+        nodes = written(_small(_large(_small(_large(edges)))).coalesce(files), "stars")
         now = nodes.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         discard(edges)
         edges = nodes
