@@ -29,8 +29,8 @@ def connected(links: DataFrame, most_rounds: int = 64) -> DataFrame:
     """(node, root): each linked node and the smallest node of its component.
 
     ``links`` has two columns of one orderable type; self-links and nulls are ignored, nodes without a link are not
-    returned. Each round is a few equi-joins; the result of every second one is a written table. The number of rounds grows
-    with the square of the logarithm of a component's size; the driver only reads a count and a sum of each table.
+    returned. Each round is a few equi-joins; its result is a written table. The number of rounds grows with the
+    square of the logarithm of a component's size; the driver only reads a count and a sum of each round.
     """
     src, dst = links.columns
     a, b = F.col(src), F.col(dst)
@@ -39,8 +39,8 @@ def connected(links: DataFrame, most_rounds: int = 64) -> DataFrame:
     # files of a bounded number of rows: a round has two rows a link at most
     files = 1 + edges.count() // FILE_ROWS
     state = None
-    for _ in range(0, most_rounds, 2):
-        nodes = written(_small(_large(_small(_large(edges)))).coalesce(files), "stars")
+    for _ in range(most_rounds):
+        nodes = written(_small(_large(edges)).coalesce(files), "stars")
         now = nodes.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         discard(edges)
         edges = nodes
