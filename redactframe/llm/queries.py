@@ -68,12 +68,12 @@ sizes AS (SELECT DISTINCT k FROM bw),
 dw AS (
   SELECT doc_id, k, i, array_to_string(w[i:i + k - 1], ' ') AS g
   FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, sizes WHERE len(w) >= k)),
-at AS (
+item_windows AS (
   SELECT item_id, k, i AS j, array_to_string(w[i:i + k - 1], ' ') AS g
   FROM (SELECT item_id, w, least(len(w), 10) AS k, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM b WHERE len(w) > 0)),
 runs AS (
   SELECT doc_id, CAST(item_id AS VARCHAR) AS item, i, j, k, j - row_number() OVER (PARTITION BY doc_id, item_id, i - j ORDER BY j) AS island, i - j AS diagonal
-  FROM dw JOIN at USING (k, g)),
+  FROM dw JOIN item_windows USING (k, g)),
 chains AS (SELECT doc_id, item, count(*) + min(k) - 1 AS words, min(j) - 1 AS start, min(i) - 1 AS place FROM runs GROUP BY doc_id, item, diagonal, island),
 longest AS (SELECT * FROM chains QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY words DESC, item, start, place) = 1),
 hits AS (SELECT doc_id, item_id, i, k FROM dw JOIN bw USING (k, g)),
