@@ -3,18 +3,15 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from redactframe import rules
-from redactframe.functions.contains import found_in_long
-from redactframe.functions.text import collapse, lines, trim, words
+from redactframe.functions.contains import contains_join, found_in_long
+from redactframe.functions.text import collapse, lines, materialize, trim, words
 from redactframe.operators.redact import scrub_ids
+from redactframe.session import cut_lineage
 
 # --- ingest -----------------------------------------------------------------
 
@@ -89,134 +86,67 @@ def clip(sentence: Column, cap: int = rules.MAX_SNIPPET_CHARS) -> Column:
     return F.when(F.length(s) <= cap, s).otherwise(F.concat(short, F.lit("…")))
 
 
-#: Keyword uses (query and keyword) that one scan carries: a few bytes each in every Python worker.
-KEYWORD_USES_PER_SCAN = 2_000_000
+def snippet_index(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """Sentences of ``docs`` with the words of ``wanted`` (column ``word``) that they contain: doc_id, sent_idx, body, held.
 
+    ``body`` is a hash of the sentence, ``held`` a sorted array. Of sentences that hold the same words only the first k in
+    document order are listed: any query scores them alike, so the others are in no answer. Words have letters and digits
+    only, so they lie inside a run of these; they meet the distinct runs of the corpus, not its sentences.
+    """
+    runs = F.array_distinct(F.filter(F.split(F.lower("sentence"), "[^a-z0-9]+"), lambda r: F.length(r) >= rules.MIN_KEYWORD_CHARS))
+    tokens = sentences(docs).select("doc_id", "sent_idx", F.xxhash64("sentence").alias("body"), F.explode(runs).alias("token"))
+    lexicon = contains_join(tokens.select("token").distinct(), wanted, [], "token", "word").select("token", "word")
+    held = tokens.join(lexicon, "token").groupBy("doc_id", "sent_idx", "body").agg(F.sort_array(F.collect_set("word")).alias("held"))
+    order = Window.partitionBy("held").orderBy("doc_id", "sent_idx", "body")
+    return held.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= k).drop("nth")
+
+
+def _best(scored: DataFrame, k: int) -> DataFrame:
+    """The k rows of each query with the least ``place``, and their ``rank``."""
+    order = Window.partitionBy("query_id").orderBy("place")
+    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
-def top_snippets(docs: DataFrame, queries: DataFrame, k: int = rules.DEFAULT_TOP_K, uses_per_scan: int = KEYWORD_USES_PER_SCAN) -> DataFrame:
+
+def top_snippets(docs: DataFrame, queries: DataFrame, k: int = rules.DEFAULT_TOP_K) -> DataFrame:
     """The k best sentences per query over all documents.
 
     ``docs``: doc_id, text. ``queries``: query_id, text. Score = how many of the query's
     keywords the lower-cased sentence contains; ties keep document order (doc_id, sent_idx).
 
-    Queries x sentences is never formed as rows. Each task reads its documents once, looks every distinct word up in
-    one automaton of all keywords, and follows each keyword's list of queries; only k rows per query leave the task,
-    so the single shuffle moves at most k rows per query and task. What the tasks are sent is proportional to the
-    keyword uses and counted first; a larger query set is cut into hash groups with a scan each.
+    Postings (word to sentence) come from ``snippet_index``. A first round scores the first k postings of each keyword,
+    which gives each query a k-th best place that any other answer has to beat. A sentence of score s or more holds one of
+    a query's n - s + 1 rarest keywords, so the second round reads the postings of these only, and drops what does not
+    reach the place before it is shuffled. Nothing passes through the driver.
+
+    Rows of one query_id are one query, repeated rows of a document count once. Queries without an id or a keyword, and
+    null or blank texts, give no rows.
     """
     k = max(1, min(rules.MAX_TOP_K, k))
-    asked = queries.select("query_id", keywords(F.col("text")).alias("kw")).filter(F.size("kw") > 0)
-    load = asked.agg(F.sum(F.size("kw"))).first()[0] or 0
-    groups = max(1, -(-int(load) // uses_per_scan))
-    bodies = docs.select("doc_id", sentence_array(F.col("text")).alias("sents")).filter(F.size("sents") > 0)
-    schema = "query_id long, doc_id long, sent_idx int, score int, sentence string"
-    found = None
-    for g in range(groups):
-        part = asked if groups == 1 else asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(groups)) == g)
-        uses = part.select("query_id", F.explode("kw").alias("word")).toArrow()
-        sent = docs.sparkSession.sparkContext.broadcast(KeywordIndex.of(uses.column("word").to_pylist(), uses.column("query_id").to_numpy()))
-        best = bodies.mapInPandas(_scan_for(sent, k), schema)
-        found = best if found is None else found.unionByName(best)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id", "sent_idx")
-    return (
-        found.withColumn("rank", F.row_number().over(order))
-        .filter(F.col("rank") <= k)
-        .select("query_id", "doc_id", "sent_idx", "score", "rank", clip(F.col("sentence")).alias("snippet"))
-    )
-
-
-@dataclass
-class KeywordIndex:
-    """Keywords in order, and for each the numbers of the queries that use it."""
-
-    words: list[str]
-    starts: np.ndarray
-    queries: np.ndarray
-    ids: np.ndarray  # query number to query_id
-
-    @classmethod
-    def of(cls, words: list[str], query_ids: np.ndarray) -> KeywordIndex:
-        vocabulary = sorted(set(words))
-        number = {w: i for i, w in enumerate(vocabulary)}
-        keyword = np.array([number[w] for w in words], np.int64)
-        ids, query = np.unique(query_ids, return_inverse=True)
-        order = np.argsort(keyword, kind="stable")
-        return cls(vocabulary, np.searchsorted(keyword[order], np.arange(len(vocabulary) + 1)), query[order].astype(np.int32), ids)
-
-
-def _scan_for(sent, k: int):
-    """mapInPandas body: per task the k best sentences of every query."""
-
-    def scan(batches: Iterator) -> Iterator:
-        import re
-
-        import ahocorasick
-
-        index: KeywordIndex = sent.value
-        machine = ahocorasick.Automaton()
-        for i, w in enumerate(index.words):
-            machine.add_word(w, i)
-        if index.words:
-            machine.make_automaton()
-
-        # A keyword has letters and digits only, so it lies inside one such run of the sentence.
-        # Runs repeat a lot: each is looked up once while the (bounded) memo lasts.
-        run = re.compile("[a-z0-9]+")
-        memo: dict[str, frozenset[int]] = {}
-
-        def inside(word: str) -> frozenset[int]:
-            ids = memo.get(word)
-            if ids is None:
-                if len(memo) >= 200_000:
-                    memo.clear()
-                ids = memo[word] = frozenset(i for _, i in machine.iter(word))
-            return ids
-
-        # the best rows so far: query number, score, document, sentence number, sentence
-        best = [np.zeros(0, np.int64) for _ in range(4)] + [np.zeros(0, object)]
-        floor = np.ones(len(index.ids), np.int64)
-
-        def settle(keywords_: list[int], rows: list[int], block: list[tuple]) -> None:
-            """Scores the block's sentences for all queries that share a keyword with them, and keeps k a query."""
-            nonlocal best
-            word, row = np.array(keywords_), np.array(rows)
-            many = index.starts[word + 1] - index.starts[word]
-            at = np.repeat(index.starts[word] - (np.cumsum(many) - many), many) + np.arange(many.sum())
-            key, score = np.unique(np.repeat(row, many) * np.int64(len(index.ids)) + index.queries[at], return_counts=True)
-            query, row = key % len(index.ids), key // len(index.ids)
-            good = score >= floor[query]
-            query, row, score = query[good], row[good], score[good]
-            fresh = [query, score, np.array([b[0] for b in block], np.int64)[row], np.array([b[1] for b in block], np.int64)[row],
-                     np.array([b[2] for b in block] + [None], object)[:-1][row]]
-            merged = [np.concatenate(pair) for pair in zip(best, fresh, strict=True)]
-            order = np.lexsort((merged[3], merged[2], -merged[1], merged[0]))
-            first = np.searchsorted(merged[0][order], merged[0][order])
-            order = order[np.arange(len(order)) - first < k]
-            best = [m[order] for m in merged]
-            full, many = np.unique(best[0], return_counts=True)
-            last = np.cumsum(many) - 1
-            floor[full[many == k]] = best[1][last[many == k]]
-
-        block, keywords_, rows, load = [], [], [], 0
-        for batch in batches:
-            for doc_id, sents in zip(batch["doc_id"], batch["sents"]):
-                for i, s in enumerate(sents):
-                    found = frozenset().union(*map(inside, set(run.findall(s.lower()))))
-                    if not found:
-                        continue
-                    rows.extend([len(block)] * len(found))
-                    keywords_.extend(found)
-                    block.append((int(doc_id), i, s))
-                    load += sum(int(index.starts[w + 1] - index.starts[w]) for w in found)
-                    if load >= 500_000:  # entries of one numpy step
-                        settle(keywords_, rows, block)
-                        block, keywords_, rows, load = [], [], [], 0
-        if block:
-            settle(keywords_, rows, block)
-        yield pd.DataFrame({
-            "query_id": index.ids[best[0]] if len(index.ids) else best[0], "doc_id": best[2], "sent_idx": best[3], "score": best[1], "sentence": best[4]})
-
-    return scan
+    uses = queries.filter(F.col("query_id").isNotNull()).select("query_id", F.explode(keywords(F.col("text"))).alias("word")).distinct()
+    index = cut_lineage(snippet_index(docs, uses.select("word").distinct(), k))
+    postings = index.select("*", F.explode("held").alias("word"))
+    found = uses.join(postings.groupBy("word").agg(F.count(F.lit(1)).alias("n")), "word")
+    rarest = F.transform(F.sort_array(F.collect_list(F.struct("n", "word"))), lambda u: u["word"])
+    asked = cut_lineage(found.groupBy("query_id").agg(rarest.alias("kw")))
+
+    def scored(postings: DataFrame, asked: DataFrame, *keep: str) -> DataFrame:
+        """A row for each query and sentence that meet in a word: at the first of the query's words, rarest first, that the sentence holds."""
+        met = materialize(postings.join(asked, "word"), ["query_id", "word", "doc_id", "sent_idx", "body", *keep], met=F.array_intersect("kw", "held"))
+        place = F.struct((-F.size("met")).alias("loss"), "doc_id", "sent_idx", "body")
+        return met.select("query_id", "word", F.get("met", F.lit(0)).alias("first"), place.alias("place"), *keep)
+
+    early = Window.partitionBy("word").orderBy("doc_id", "sent_idx", "body")
+    heads = postings.withColumn("nth", F.row_number().over(early)).filter(F.col("nth") <= k).drop("nth")
+    first = _best(scored(heads, asked.withColumn("word", F.explode("kw"))).select("query_id", "place").distinct(), k)
+    bound = first.groupBy("query_id").agg(F.when(F.count(F.lit(1)) == k, F.max("place")).alias("last"))
+    least = F.coalesce(-F.col("last.loss"), F.lit(1))
+    reach = asked.join(bound, "query_id").withColumn("word", F.explode(F.slice("kw", F.lit(1), F.size("kw") - least + 1)))
+    rivals = scored(postings, reach, "last").filter((F.col("word") == F.col("first")) & (F.col("last").isNull() | (F.col("place") <= F.col("last"))))
+    best = cut_lineage(_best(rivals.select("query_id", "place"), k).select("query_id", "place.*", "rank"))
+    own = docs.join(best.select("doc_id").distinct(), "doc_id", "left_semi")
+    texts = sentences(own).withColumn("body", F.xxhash64("sentence")).dropDuplicates(["doc_id", "sent_idx", "body"])
+    return best.join(texts, ["doc_id", "sent_idx", "body"]).select(
+        "query_id", "doc_id", "sent_idx", (-F.col("loss")).alias("score"), "rank", clip(F.col("sentence")).alias("snippet"))
 
 
 # --- vault ----------------------------------------------------------------------

@@ -150,14 +150,14 @@ def test_region_matching(spark):
     assert got == want
 
 
-def test_snippets_split_over_scans(spark, monkeypatch):
+def test_snippets_in_any_partitions(spark):
     rng = random.Random(9)
     vocab = ["alpha", "beta", "gamma", "delta", "betalpha", "the", "of", "xy"]
     docs = [(d, "\n".join(" ".join(rng.choice(vocab) for _ in range(rng.randint(0, 9))) for _ in range(20))) for d in range(30)]
     asked = [(i, " ".join(rng.choice(vocab) for _ in range(3))) for i in range(12)]
     dd, qq = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(asked, "query_id long, text string")
     whole = sorted(map(tuple, documents.top_snippets(dd, qq, 4).collect()))
-    assert sorted(map(tuple, documents.top_snippets(dd.repartition(5), qq, 4, uses_per_scan=5).collect())) == whole
+    assert sorted(map(tuple, documents.top_snippets(dd.repartition(5), qq, 4).collect())) == whole
     sents = [(d, i, s) for d, t in docs for i, s in enumerate(x.strip() for x in t.split("\n") if x.strip())]
     stop = {"the", "of"}
     for q, text in asked:
@@ -174,3 +174,26 @@ def test_vault_truncates_a_single_large_document(spark):
     while len(text.encode()) > 100:
         text = text[: int(len(text) * 0.9)]
     assert kept[0]["text"] == text
+
+
+def test_snippets_against_all_sentences(spark):
+    """Few words in many sentences, copies, repeated rows, blanks: the two rounds keep what a scan of every sentence finds."""
+    rng = random.Random(4)
+    vocab = ["red", "blue", "green", "redblue", "amber9", "grey", "und", "x"]
+    docs = [(d, "\n".join(" ".join(rng.choice(vocab[:3 + d % 6]) for _ in range(rng.randint(0, 6))) for _ in range(rng.randint(0, 30)))) for d in range(60)]
+    docs += [(60 + d, docs[7][1]) for d in range(20)] + [(90, None), (91, ""), (92, "RED Blue\n\n  \nred" + "z" * 500)] + docs[:2]
+    asked = [(i, " ".join(rng.sample(vocab, 1 + i % 5))) for i in range(40)] + [(50, None), (51, "the of"), (52, "absent red"), (None, "red"), (53, "absent")]
+    dd, qq = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(asked, "query_id long, text string")
+    sents = sorted({(d, i, s) for d, t in docs if t for i, s in enumerate(x.strip() for x in t.split("\n") if x.strip())})
+    for k in (1, 3, 8):
+        got = {}
+        for r in sorted(documents.top_snippets(dd, qq, k).collect(), key=lambda r: (r["query_id"], r["rank"])):
+            got.setdefault(r["query_id"], []).append((r["doc_id"], r["sent_idx"], r["score"]))
+        want = {}
+        for q, text in asked:
+            kw = [w for w in dict.fromkeys((text or "").split()) if len(w) >= 3 and w not in ("the", "of")]
+            ranked = sorted((-sum(w in s.lower() for w in kw), d, i) for d, i, s in sents if any(w in s.lower() for w in kw))[:k]
+            if q is not None and ranked:
+                want[q] = [(d, i, -n) for n, d, i in ranked]
+        assert got == want
+    assert documents.top_snippets(dd.limit(0), qq, 3).count() == 0 and documents.top_snippets(dd, qq.limit(0), 3).count() == 0
