@@ -89,13 +89,18 @@ def clip(sentence: Column, cap: int = rules.MAX_SNIPPET_CHARS) -> Column:
 def snippet_index(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """Sentences of ``docs`` with the words of ``wanted`` (column ``word``) that they contain: doc_id, sent_idx, body, held.
 
-    ``body`` is a hash of the sentence, ``held`` a sorted array. Of sentences that hold the same words only the first k in
+    ``body`` is a 64-bit hash of the sentence, ``held`` a sorted array of such hashes of the words. Of sentences that hold the same words only the first k in
     document order are listed: any query scores them alike, so the others are in no answer. Words have letters and digits
     only, so they lie inside a run of these; they meet the distinct runs of the corpus, not its sentences.
     """
-    runs = F.array_distinct(F.filter(F.split(F.lower("sentence"), "[^a-z0-9]+"), lambda r: F.length(r) >= rules.MIN_KEYWORD_CHARS))
-    tokens = sentences(docs).select("doc_id", "sent_idx", F.xxhash64("sentence").alias("body"), F.explode(runs).alias("token"))
-    lexicon = contains_join(tokens.select("token").distinct(), wanted, [], "token", "word").select("token", "word")
+
+    def runs(text: str) -> Column:
+        whole = F.array_distinct(F.split(F.lower(text), "[^a-z0-9]+"))
+        return F.explode(F.filter(whole, lambda r: F.length(r) >= rules.MIN_KEYWORD_CHARS)).alias("token")
+
+    # the runs of a text are those of its sentences
+    lexicon = contains_join(docs.select(runs("text")).distinct(), wanted, [], "token", "word").select("token", F.xxhash64("word").alias("word"))
+    tokens = sentences(docs).select("doc_id", "sent_idx", F.xxhash64("sentence").alias("body"), runs("sentence"))
     held = tokens.join(lexicon, "token").groupBy("doc_id", "sent_idx", "body").agg(F.sort_array(F.collect_set("word")).alias("held"))
     order = Window.partitionBy("held").orderBy("doc_id", "sent_idx", "body")
     return held.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= k).drop("nth")
@@ -125,6 +130,7 @@ def top_snippets(docs: DataFrame, queries: DataFrame, k: int = rules.DEFAULT_TOP
     uses = queries.filter(F.col("query_id").isNotNull()).select("query_id", F.explode(keywords(F.col("text"))).alias("word")).distinct()
     index = cut_lineage(snippet_index(docs, uses.select("word").distinct(), k))
     postings = index.select("*", F.explode("held").alias("word"))
+    uses = uses.withColumn("word", F.xxhash64("word"))
     found = uses.join(postings.groupBy("word").agg(F.count(F.lit(1)).alias("n")), "word")
     rarest = F.transform(F.sort_array(F.collect_list(F.struct("n", "word"))), lambda u: u["word"])
     asked = cut_lineage(found.groupBy("query_id").agg(rarest.alias("kw")))
