@@ -8,6 +8,7 @@ from redactframe.plans.agents import session_memory  # noqa: F401  (registered f
 from redactframe.plans.audit import _DELTAS, EV, HOUR
 from redactframe.plans.detection import release_documents
 from redactframe.plans.registry import ORACLES, query
+from redactframe.sources.shapes import SHAPES
 from redactframe.streaming import stateful, streams
 
 
@@ -62,18 +63,50 @@ def stream_approvals(spark, sf):
         side = lambda kind: with_flush(_event_stream(spark, sf).filter(F.col("event_type") == kind)).filter(F.col("event_type") == kind)
         pending = side("click").select("user_id", F.col("event_id").alias("pending_id"), F.col("ts").alias("pending_ts"))
         decisions = side("purchase").select("user_id", F.col("event_id").alias("decision_id"), F.col("ts").alias("decision_ts"))
-        return streams.approvals(pending, decisions, "user_id", "2 HOURS", "10 minutes")
+        return stateful.approvals_stream(pending, decisions, "user_id", 2 * HOUR, "10 minutes")
 
-    done = streams.drive_to_close(spark, build, far, streams.work_folder(spark))
+    with streams.state_provider(spark):
+        done = streams.drive_to_close(spark, build, far, streams.work_folder(spark))
     return done.filter(F.col("user_id") >= 0).select("user_id", "pending_id", "decision_id", "approved")
 
 
 @query("stream_rate_limit", oracle=ORACLES["rate_limit"])
 def stream_rate_limit(spark, sf):
-    calls = _event_stream(spark, sf).select("user_id", "event_id", F.unix_millis("ts").alias("ts_ms"))
+    far = _sentinel(spark, f"cast({NO_USER} AS bigint) AS user_id, cast(-1 AS bigint) AS event_id, timestamp '2100-01-01' AS ts")
+
+    def build(with_flush):
+        calls = with_flush(_event_stream(spark, sf).select("user_id", "event_id", "ts"))
+        return stateful.rate_limit_stream(calls, "user_id", "ts", "10 minutes", 12 * HOUR)
+
+    with streams.state_provider(spark):
+        out = streams.drive_to_close(spark, build, far, streams.work_folder(spark))
+    return out.filter(F.col("key") != NO_USER).withColumnRenamed("key", "user_id")
+
+
+@query("stream_epoch", oracle=ORACLES["epoch_filter"])
+def stream_epoch(spark, sf):
+    shape = SHAPES["scans"]
+    scans = streams.file_stream(spark, sf, shape.base).selectExpr(*shape.columns)
     with streams.state_provider(spark):
-        out = streams.drive(stateful.rate_limit_stream(calls, "user_id", 12 * HOUR), streams.work_folder(spark))
-    return out.withColumnRenamed("key", "user_id")
+        ledger = streams.drive(stateful.epoch_stream(scans), streams.work_folder(spark))
+    return stateful.still_released(ledger).select("tab_id", "scan_id", "epoch", "payload")
+
+
+@query("stream_budget_ttl", oracle=f"""WITH {EV}, p AS (SELECT *, lag(ts_ms) OVER (PARTITION BY user_id ORDER BY ts_ms, event_id) AS prev FROM e),
+ s AS (SELECT *, sum(CASE WHEN prev IS NULL OR ts_ms - prev > {24 * HOUR} THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts_ms, event_id ROWS UNBOUNDED PRECEDING) AS b FROM p)
+ SELECT user_id, min(ts_ms) AS first_ms, max(ts_ms) AS last_ms, """ + ", ".join(
+    f"count(*) FILTER (event_type = '{t}') AS total_{c}" for c, t in _DELTAS.items()) + " FROM s GROUP BY user_id, b")
+def stream_budget_ttl(spark, sf):
+    """Budgets that end after a day without an event."""
+    far = _sentinel(spark, f"cast({NO_USER} AS bigint) AS user_id, 'none' AS event_type, timestamp '2100-01-01' AS ts")
+
+    def build(with_flush):
+        deltas = with_flush(_event_stream(spark, sf).select("user_id", "event_type", "ts")).select("user_id", "ts", *[
+            F.when(F.col("event_type") == t, 1).otherwise(0).alias(c) for c, t in _DELTAS.items()])
+        return streams.budget_sessions(deltas, "user_id", "ts", list(_DELTAS), "24 hours", "10 minutes")
+
+    done = streams.drive_to_close(spark, build, far, streams.work_folder(spark)).filter(F.col("user_id") != NO_USER)
+    return done.select("user_id", F.unix_millis("first_ts").alias("first_ms"), F.unix_millis("last_ts").alias("last_ms"), *[f"total_{c}" for c in _DELTAS])
 
 
 @query("stream_memory", oracle=ORACLES["session_memory"])
@@ -104,7 +137,7 @@ def stream_risk_badge(spark, sf):
 
     def build(with_flush):
         visits = with_flush(_event_stream(spark, sf)).select(
-            "user_id", "event_id", "ts", F.unix_millis("ts").alias("ts_ms"), F.expr(_KIND).alias("kind"))
+            "user_id", "event_id", "ts", F.expr(_KIND).alias("kind"))
         return stateful.risk_badge_stream(visits, "user_id", "ts", "10 minutes", _TTL, _VISIT, _LOAD)
 
     with streams.state_provider(spark):

@@ -1,98 +1,164 @@
-"""Custom stateful stream operators: rate limit, risk badge, bounded memory.
+"""Custom stateful stream operators: rate limit, risk badge, approvals, epoch fence, bounded memory.
 
-Each keeps a few values per key in the state store. The rows of a key inside one micro-batch are put in event
-order in memory (three numbers a row; limit a batch with maxFilesPerTrigger). Batches are taken as they come: an event
-that arrives in a later batch than a younger one is judged by the state of then.
+Rate limit, risk badge and approvals judge rows in event order once the watermark has passed them (``in_order``). The epoch
+fence and the memory need no order of arrival; they take batches as they come.
 """
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from redactframe import rules
+from redactframe.streaming.in_order import SLICE_MS, InOrder, in_order
 
 
-def _ordered(rows: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
-    parts = list(rows)
-    return pd.concat(parts).sort_values(by, kind="stable") if parts else pd.DataFrame()
-
-
-class RateLimiter(StatefulProcessor):
+class RateLimiter(InOrder):
     """At most one accepted call per interval and key; state is the last accepted instant."""
 
-    def __init__(self, interval_ms: int):
+    columns = ["event_id", "ts_ms", "accepted", "retry_after_ms"]
+    nullable = {"retry_after_ms": "Int64"}
+
+    def __init__(self, interval_ms: int, slice_ms: int = SLICE_MS):
+        super().__init__(slice_ms)
         self.interval = interval_ms
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "last_ms long")
+    def open(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("last", "last_ms long")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        d = _ordered(rows, ["ts_ms", "event_id"])
-        last = self.last.get()[0] if self.last.exists() else None
-        out = []
-        for event, ts in zip(d["event_id"], d["ts_ms"]):
-            ok = last is None or ts - last >= self.interval
-            out.append((key[0], int(event), int(ts), ok, None if ok else int(self.interval - (ts - last))))
-            last = int(ts) if ok else last
-        self.last.update((last,))
-        frame = pd.DataFrame(out, columns=["key", "event_id", "ts_ms", "accepted", "retry_after_ms"])
-        yield frame.astype({"retry_after_ms": "Int64"})
+    def load(self) -> None:
+        self.last = self.state.get()[0] if self.state.exists() else None
+
+    def save(self) -> None:
+        if self.last is not None:
+            self.state.update((self.last,))
+
+    def judge(self, ts: int, event: int, code: int) -> Iterator[tuple]:
+        ok = self.last is None or ts - self.last >= self.interval
+        yield event, ts, ok, None if ok else self.interval - (ts - self.last)
+        self.last = ts if ok else self.last
 
-    def close(self) -> None:
-        pass
 
+#: Codes of the rows of ``RiskBadge`` and ``Approvals``.
+VISIT, LOAD, CLOSE = 0, 1, 2
+PENDING, DECISION = 0, 1
 
-class RiskBadge(StatefulProcessor):
+
+class RiskBadge(InOrder):
     """Debounced refresh with a cache.
 
-    Input rows: event_id, ts_ms, kind. A ``load`` always asks for a refresh after its quiet time and never reads the
-    cache; a ``visit`` is answered from a fresh report, else it asks for one after its own, shorter quiet time; a
-    later request replaces a waiting one. A ``close`` forgets the key.
+    A load always asks for a refresh after its quiet time and never reads the cache; a visit is answered from a fresh
+    report, else it asks for one after its own, shorter quiet time; a later request replaces a waiting one. A close
+    forgets the key.
     """
 
-    def __init__(self, ttl_ms: int, visit_quiet_ms: int, load_quiet_ms: int):
+    columns = ["ts_ms", "kind"]
+
+    def __init__(self, ttl_ms: int, visit_quiet_ms: int, load_quiet_ms: int, slice_ms: int = SLICE_MS):
+        super().__init__(slice_ms)
         self.ttl, self.visit_quiet, self.load_quiet = ttl_ms, visit_quiet_ms, load_quiet_ms
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
+    def open(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("badge", "report_ms long, due_ms long")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        d = _ordered(rows, ["ts_ms", "event_id"])
-        report, due = self.state.get() if self.state.exists() else (None, None)
-        before = due
-        out = []
-        for ts, kind in zip(d["ts_ms"], d["kind"]):
-            ts = int(ts)
-            if due is not None and due <= ts:
-                out.append((key[0], due, "refresh"))
-                report, due = due, None
-            if kind == "close":
-                report, due = None, None
-            elif kind == "load":
-                due = ts + self.load_quiet
-            elif report is not None and ts - report < self.ttl:
-                out.append((key[0], ts, "cached"))
-            else:
-                due = ts + self.visit_quiet
-        if before is not None and before != due:
-            self.handle.deleteTimer(before)
-        if due is not None and due != before:
-            self.handle.registerTimer(due)
-        if report is None and due is None:
+    def load(self) -> None:
+        self.report, self.due = self.state.get() if self.state.exists() else (None, None)
+
+    def save(self) -> None:
+        if self.report is None and self.due is None:
+            self.state.clear()
+        else:
+            self.state.update((self.report, self.due))
+
+    def judge(self, ts: int, event: int, code: int) -> Iterator[tuple]:
+        yield from self.settle(ts + 1)
+        if code == CLOSE:
+            self.report, self.due = None, None
+        elif code == LOAD:
+            self.due = ts + self.load_quiet
+        elif self.report is not None and ts - self.report < self.ttl:
+            yield ts, "cached"
+        else:
+            self.due = ts + self.visit_quiet
+
+    def settle(self, before: int) -> Iterator[tuple]:
+        if self.due is not None and self.due < before:
+            yield self.due, "refresh"
+            self.report, self.due = self.due, None
+
+    def deadline(self) -> int | None:
+        return self.due
+
+
+class Approvals(InOrder):
+    """Open actions wait in state; the first decision after them settles all of them, and a deadline those without one."""
+
+    columns = ["pending_id", "pending_ms", "decision_id", "decision_ms", "approved"]
+    nullable = {"decision_id": "Int64", "decision_ms": "Int64"}
+
+    def __init__(self, timeout_ms: int, slice_ms: int = SLICE_MS):
+        super().__init__(slice_ms)
+        self.timeout = timeout_ms
+
+    def open(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getListState("pending", "ts_ms long, event_id long")
+
+    def load(self) -> None:
+        self.waiting = deque(tuple(x) for x in self.state.get()) if self.state.exists() else deque()
+
+    def save(self) -> None:
+        if self.waiting:
+            self.state.put(list(self.waiting))
+        else:
             self.state.clear()
+
+    def judge(self, ts: int, event: int, code: int) -> Iterator[tuple]:
+        yield from self.settle(ts)
+        if code == PENDING:
+            self.waiting.append((ts, event))
         else:
-            self.state.update((report, due))
-        yield pd.DataFrame(out, columns=["key", "ts_ms", "kind"])
+            while self.waiting:
+                asked, pending = self.waiting.popleft()
+                yield pending, asked, event, ts, True
+
+    def settle(self, before: int) -> Iterator[tuple]:
+        while self.waiting and self.waiting[0][0] + self.timeout < before:
+            asked, pending = self.waiting.popleft()
+            yield pending, asked, None, None, False
+
+    def deadline(self) -> int | None:
+        return self.waiting[0][0] + self.timeout if self.waiting else None
+
+
+class EpochFence(StatefulProcessor):
+    """Releases rows of the newest epoch of a key; state is that epoch.
+
+    A newer epoch takes back all that the one before released, by one row without scan and payload.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.newest = handle.getValueState("newest", "epoch long")
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        at = expiredTimerInfo.getExpiryTimeInMs()
-        self.state.update((at, None))
-        yield pd.DataFrame([(key[0], at, "refresh")], columns=["key", "ts_ms", "kind"])
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        before = newest = self.newest.get()[0] if self.newest.exists() else None
+        for part in rows:
+            top = part["epoch"].max()
+            if pd.isna(top):
+                continue
+            if newest is None or top > newest:
+                if newest is not None:
+                    yield pd.DataFrame([(key[0], None, newest, None, "retract")], columns=["key", "scan_id", "epoch", "payload", "op"])
+                newest = int(top)
+            current = part[part["epoch"] == newest]
+            if len(current):
+                yield pd.DataFrame({"key": key[0], "scan_id": current["scan_id"], "epoch": newest, "payload": current["payload"], "op": "release"})
+        if newest != before:
+            self.newest.update((newest,))
 
     def close(self) -> None:
         pass
@@ -122,16 +188,51 @@ class BoundedMemory(StatefulProcessor):
         pass
 
 
-def rate_limit_stream(calls: DataFrame, key: str, interval_ms: int = rules.RATE_LIMIT_MS) -> DataFrame:
-    """``calls``: key, event_id, ts_ms."""
-    return calls.groupBy(key).transformWithStateInPandas(
-        RateLimiter(interval_ms), "key long, event_id long, ts_ms long, accepted boolean, retry_after_ms long", "Append", "None")
+def rate_limit_stream(calls: DataFrame, key: str, ts: str, watermark: str, interval_ms: int = rules.RATE_LIMIT_MS, slice_ms: int = SLICE_MS) -> DataFrame:
+    """``calls``: key, event_id and the event-time column ``ts``."""
+    return in_order(calls.withColumn("code", F.lit(0)), key, ts, watermark, RateLimiter(interval_ms, slice_ms),
+                    "event_id long, ts_ms long, accepted boolean, retry_after_ms long")
+
+
+def risk_badge_stream(
+    visits: DataFrame, key: str, ts: str, watermark: str, ttl_ms: int, visit_quiet_ms: int, load_quiet_ms: int, slice_ms: int = SLICE_MS
+) -> DataFrame:
+    """``visits``: key, event_id, kind (load, close or any other, a visit) and the event-time column ``ts``."""
+    code = F.when(F.col("kind") == "close", CLOSE).when(F.col("kind") == "load", LOAD).otherwise(VISIT)
+    return in_order(visits.withColumn("code", code), key, ts, watermark, RiskBadge(ttl_ms, visit_quiet_ms, load_quiet_ms, slice_ms), "ts_ms long, kind string")
+
+
+def approvals_stream(pending: DataFrame, decisions: DataFrame, key: str, timeout_ms: int, watermark: str, slice_ms: int = SLICE_MS) -> DataFrame:
+    """Pending actions, each with the first decision made after it and within the timeout.
+
+    ``pending``: key, pending_id, pending_ts. ``decisions``: key, decision_id, decision_ts; at equal times a decision
+    with a larger id comes after. Both sides go to one keyed state that holds open actions only, so no action meets more than one
+    decision. One without a decision in time comes out with null decision columns once the watermark has passed its
+    limit. The watermark is that of both sides together: it must allow for the lag of the slower side.
+    """
+    both = pending.select(key, F.col("pending_ts").alias("ts"), F.col("pending_id").alias("event_id"), F.lit(PENDING).alias("code")).unionByName(
+        decisions.select(key, F.col("decision_ts").alias("ts"), F.col("decision_id").alias("event_id"), F.lit(DECISION).alias("code")))
+    out = in_order(both, key, "ts", watermark, Approvals(timeout_ms, slice_ms),
+                   "pending_id long, pending_ms long, decision_id long, decision_ms long, approved boolean")
+    return out.select(F.col("key").alias(key), "pending_id", F.timestamp_millis("pending_ms").alias("pending_ts"),
+                      "decision_id", F.timestamp_millis("decision_ms").alias("decision_ts"), "approved")
+
+
+def epoch_stream(scans: DataFrame) -> DataFrame:
+    """``scans``: tab_id, scan_id, epoch, payload. A ledger of rows with ``op`` release, and retract for an epoch that a newer one replaces.
+
+    Rows without an epoch are never released.
+    """
+    kind = {c: scans.schema[c].dataType.simpleString() for c in ("tab_id", "scan_id", "payload")}
+    out = scans.select("tab_id", "scan_id", "epoch", "payload").groupBy("tab_id").transformWithStateInPandas(
+        EpochFence(), f"key {kind['tab_id']}, scan_id {kind['scan_id']}, epoch long, payload {kind['payload']}, op string", "Append", "None")
+    return out.withColumnRenamed("key", "tab_id")
 
 
-def risk_badge_stream(visits: DataFrame, key: str, ts: str, watermark: str, ttl_ms: int, visit_quiet_ms: int, load_quiet_ms: int) -> DataFrame:
-    """``visits``: key, event_id, ts_ms, kind and the event-time column ``ts``."""
-    return visits.withWatermark(ts, watermark).groupBy(key).transformWithStateInPandas(
-        RiskBadge(ttl_ms, visit_quiet_ms, load_quiet_ms), "key long, ts_ms long, kind string", "Append", "EventTime")
+def still_released(ledger: DataFrame) -> DataFrame:
+    """What of a ledger of ``epoch_stream`` has not been taken back."""
+    back = ledger.where("op = 'retract'").select("tab_id", "epoch")
+    return ledger.where("op = 'release'").drop("op").join(back, ["tab_id", "epoch"], "left_anti")
 
 
 def memory_stream(turns: DataFrame, key: str) -> DataFrame:

@@ -25,36 +25,22 @@ def rescans(mutations: DataFrame, key: str, ts: str, gap: str, watermark: str) -
     )
 
 
-def approvals(
-    pending: DataFrame, decisions: DataFrame, key: str, timeout: str, watermark: str
-) -> DataFrame:
-    """Pending actions, each with the first decision made after it and within the timeout.
-
-    ``pending``: key, pending_id, pending_ts. ``decisions``: key, decision_id, decision_ts; at equal times a decision
-    with a larger id comes after. The join meets every decision of the window, an aggregation on the pending action
-    keeps the first, so an action is answered once. One without a decision in time comes out with null decision
-    columns once the watermark has passed its limit.
-    """
-    p = pending.withWatermark("pending_ts", watermark).alias("p")
-    d = decisions.withWatermark("decision_ts", watermark).alias("d")
-    timely = (
-        (F.col(f"p.{key}") == F.col(f"d.{key}"))
-        & (F.col("d.decision_ts") >= F.col("p.pending_ts"))
-        & (F.col("d.decision_ts") <= F.col("p.pending_ts") + F.expr(f"INTERVAL {timeout}"))
-        & ((F.col("d.decision_ts") > F.col("p.pending_ts")) | (F.col("d.decision_id") > F.col("p.pending_id")))
-    )
-    met = p.join(d, timely, "leftOuter").select(f"p.{key}", "pending_id", "pending_ts", "decision_id", "decision_ts")
-    first = met.groupBy(key, "pending_id", "pending_ts").agg(F.min(F.struct("decision_ts", "decision_id")).alias("m"), F.count("decision_id").alias("n"))
-    answered = F.col("n") > 0
-    return first.select(key, "pending_id", "pending_ts", F.when(answered, F.col("m.decision_id")).alias("decision_id"),
-                        F.when(answered, F.col("m.decision_ts")).alias("decision_ts"), answered.alias("approved"))
-
-
 def budget(deltas: DataFrame, key: str, counters: list[str]) -> DataFrame:
     """Running totals per session; use output mode update."""
     return deltas.groupBy(key).agg(*[F.sum(c).alias(f"total_{c}") for c in counters])
 
 
+def budget_sessions(deltas: DataFrame, key: str, ts: str, counters: list[str], idle: str, watermark: str) -> DataFrame:
+    """Totals of each session; one ends after ``idle`` without a row, and leaves the state once the watermark has passed its end."""
+    totals = [F.sum(c).alias(f"total_{c}") for c in counters]
+    return (
+        deltas.withWatermark(ts, watermark)
+        .groupBy(F.session_window(ts, idle).alias("w"), key)
+        .agg(F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"), *totals)
+        .drop("w")
+    )
+
+
 def work_folder(spark: SparkSession) -> str:
     """A fresh folder below the shared checkpoint folder."""
     ensure_checkpoint_dir(spark)
