@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from redactframe import rules
 from redactframe.operators import audit
 from redactframe.plans import sqltext as q
-from redactframe.plans.registry import query
+from redactframe.plans.registry import ORACLES, query
+from redactframe.sources import files
 from redactframe.sources.shapes import cte
 from redactframe.sources.tables import derived, events
+from redactframe.streaming.streams import work_folder
 
 EV = "e AS (SELECT event_id, user_id, event_type, value, epoch_us(ts) // 1000 AS ts_ms FROM events)"
 
@@ -28,6 +30,14 @@ def audit_export(spark, sf):
     return audit.export_rows(derived(spark, sf, "audit_rows"))
 
 
+@query("audit_sink", oracle=ORACLES["audit_export"])
+def audit_sink(spark, sf):
+    """The export written as CSV and read back."""
+    rows, path = audit.export_rows(derived(spark, sf, "audit_rows")), f"{work_folder(spark)}/audit"
+    files.write_audit(rows, path)
+    return spark.read.option("header", True).schema(rows.schema).csv(path)
+
+
 @query("audit_rollup", oracle=f"{cte('audit_rows')} SELECT domain, count(*) AS scans, cast(sum(CASE WHEN coalesce(fields_redacted, 0) <> 0 THEN fields_redacted ELSE coalesce(fields, 0) END) AS BIGINT) AS fields, cast(sum(coalesce(faces_detected, faces, 0)) AS BIGINT) AS faces FROM audit_rows GROUP BY domain")
 def audit_rollup(spark, sf):
     return audit.rollup(derived(spark, sf, "audit_rows"))

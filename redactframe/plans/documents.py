@@ -44,6 +44,62 @@ def needs_ocr(spark, sf):
     return table(spark, sf, "documents").select("doc_id", D.needs_ocr(F.col("text")).alias("needs_ocr"))
 
 
+def _ingested(rows):
+    accepted, rejected = files.ingest_bytes(rows)
+    return accepted.select("name", "format", F.lit(None).cast("string").alias("reject_code"), "needs_ocr", F.md5(F.encode("text", "UTF-8")).alias("text_md5")).unionByName(
+        rejected.select("name", "format", "reject_code", F.lit(None).cast("boolean").alias("needs_ocr"), F.lit(None).cast("string").alias("text_md5")))
+
+
+def _ingested_sql(text: str, code: str, format_: str, name: str, source: str) -> str:
+    return f"""WITH f AS (SELECT {name} AS name, {format_} AS format, {code} AS reject_code, {text} AS t FROM {source})
+ SELECT name, format, reject_code, CASE WHEN reject_code IS NULL THEN length(regexp_replace(t, '\\s', '', 'g')) < 50 END AS needs_ocr,
+  CASE WHEN reject_code IS NULL THEN md5(t) END AS text_md5 FROM f"""
+
+
+# Every document as a file: half of them with a byte order mark, a third with a malformed byte at the end.
+@query("ingest_text", oracle=_ingested_sql(
+    "text || CASE WHEN doc_id % 3 = 0 THEN chr(65533) ELSE '' END", "CASE WHEN coalesce(text, '') = '' AND (text IS NULL OR doc_id % 2 <> 0 AND doc_id % 3 <> 0) THEN 'EMPTY' END",
+    "['text', 'md', 'csv', 'json'][doc_id % 4 + 1]", "doc_id || ['.txt', '.md', '.csv', '.json'][doc_id % 4 + 1]", "documents"))
+def ingest_text(spark, sf):
+    return _ingested(table(spark, sf, "documents").selectExpr(
+        "concat('in/', doc_id, array('.txt', '.md', '.csv', '.json')[int(doc_id % 4)]) AS path",
+        "concat(CASE WHEN doc_id % 2 = 0 THEN X'EFBBBF' ELSE X'' END, encode(text, 'UTF-8'), CASE WHEN doc_id % 3 = 0 THEN X'FF' ELSE X'' END) AS content"))
+
+
+def _word_files(batches):
+    """Each text as a DOCX file, a paragraph a line and two runs a paragraph; every fiftieth is no archive, another lacks its document part."""
+    import io
+    import zipfile
+    from xml.sax.saxutils import escape
+
+    def run(text):
+        return f'<w:r><w:t xml:space="preserve">{escape(text, {chr(13): "&#13;"})}</w:t></w:r>'
+
+    def file(doc_id, text):
+        if doc_id % 50 == 7:
+            return text.encode()
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            body = "".join(f"<w:p>{run(x[:len(x) // 2])}{run(x[len(x) // 2:])}</w:p>" for x in text.split("\n"))
+            z.writestr("word/other.xml" if doc_id % 50 == 9 else "word/document.xml", f'<w:document xmlns:w="urn:w"><w:body>{body}</w:body></w:document>')
+        return out.getvalue()
+
+    for batch in batches:
+        yield batch[["path"]].assign(content=[file(d, t) for d, t in zip(batch["doc_id"], batch["text"])])
+
+
+_TIDY = q.trim("regexp_replace(regexp_replace(text, '[ \\t]+\\n', chr(10), 'g'), '\\n{3,}', chr(10) || chr(10), 'g')")
+
+
+@query("ingest_docx", oracle=_ingested_sql(
+    _TIDY, "CASE WHEN doc_id % 50 = 7 THEN CASE WHEN text = '' THEN 'EMPTY' ELSE 'DOCX_UNREADABLE' END WHEN doc_id % 50 = 9 THEN 'DOCX_NO_DOCUMENT' "
+    "WHEN regexp_matches(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x{FFFE}\\x{FFFF}]') THEN 'DOCX_UNREADABLE' END",
+    "'docx'", "doc_id || '.docx'", "(SELECT doc_id, coalesce(text, '') AS text FROM documents)"))
+def ingest_docx(spark, sf):
+    rows = table(spark, sf, "documents").selectExpr("doc_id", "concat('in/', doc_id, '.docx') AS path", "coalesce(text, '') AS text")
+    return _ingested(rows.mapInPandas(_word_files, "path string, content binary"))
+
+
 _STOP = "[" + ", ".join(q.lit(w) for w in rules.STOPWORDS) + "]"
 KEYWORDS_SQL = f"""SELECT item_id AS query_id, w AS keyword, min(i) AS first_at FROM (SELECT item_id, l[i] AS w, i FROM (
   SELECT item_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT item_id, string_split_regex(lower(text), '[^a-z0-9]+') AS l FROM benchmark)))

@@ -10,8 +10,10 @@ from redactframe.plans import sqltext as q
 from redactframe.plans.detection import _verhoeff_sql, luhn_sql
 from redactframe.plans.forms import _class_sql, _FILLABLE, resolve_sql
 from redactframe.plans.registry import ORACLES, query
+from redactframe.sources import files
 from redactframe.sources.shapes import RAW_PROFILE_TEXT, cte
 from redactframe.sources.tables import derived, table
+from redactframe.streaming.streams import work_folder
 
 PNSK = rules.PROFILE_NEVER_STORE_KEY
 
@@ -431,3 +433,12 @@ def reply_fill_fields_all(spark, sf):
 
     actions = agents.reply_actions(derived(spark, sf, "replies").select("reply_id", "user_id", "raw"))
     return matching.reply_fills(actions, derived(spark, sf, "user_fields"), _profile(spark, sf), _all_texts(spark, sf), retained=False)
+
+
+@query("profile_export", oracle="SELECT 'customer-' || c_custkey AS profile_name, unnest(['name', 'segment', 'nation']) AS key, unnest([c_name, c_mktsegment, CAST(c_nationkey AS VARCHAR)]) AS value FROM customer")
+def profile_export(spark, sf):
+    """Entries written as the export and read back."""
+    entries = table(spark, sf, "customer").selectExpr("concat('customer-', c_custkey) AS profile_name", "stack(3, 'name', c_name, 'segment', c_mktsegment, 'nation', string(c_nationkey)) AS (key, value)")
+    path = f"{work_folder(spark)}/profiles"
+    files.write_profiles(entries, path, buckets=8)
+    return spark.read.schema(entries.schema).json(path).drop("bucket")

@@ -47,20 +47,30 @@ def utf8_text(content: Column) -> Column:
 
 
 def ingest(spark: SparkSession, path: str, most_bytes: int = rules.MAX_DOCUMENT_BYTES) -> tuple[DataFrame, DataFrame]:
-    """Documents with their text, and rejected files with a code.
+    """Documents of a folder with their text, and rejected files with a code.
 
     Size and type are decided from a listing; a second scan opens only files within ``most_bytes``. A file scan skips
-    files without bytes, so EMPTY appears only for listings that come as a table (documents.split_ingest). PDF text
-    needs a parser library and comes in as a text table instead; a PDF file is reported as NO_PARSER.
+    files without bytes, so EMPTY appears only for files that come as a table. PDF text needs a parser library and comes in
+    as a text table instead; a PDF file is reported as NO_PARSER.
     """
+    return _ingested(scan_files(spark, path), file_contents(spark, path, most_bytes), most_bytes)
+
+
+def ingest_bytes(files: DataFrame, most_bytes: int = rules.MAX_DOCUMENT_BYTES) -> tuple[DataFrame, DataFrame]:
+    """``ingest`` of files that are rows: ``path`` and ``content`` (null: no bytes), such as members of archives or a stored binaryFile scan."""
+    described = _described(files.select("path", F.coalesce(F.octet_length("content"), F.lit(0)).cast("long").alias("length"), "content"))
+    return _ingested(described.drop("content"), described.where(F.col("n_bytes").between(1, most_bytes)), most_bytes)
+
+
+def _ingested(listed: DataFrame, readable: DataFrame, most_bytes: int) -> tuple[DataFrame, DataFrame]:
     code = (
         F.when(F.col("format").isNull(), "UNSUPPORTED")
+        .when(F.col("n_bytes") == 0, "EMPTY")
         .when(F.col("n_bytes") > most_bytes, "TOO_LARGE")
         .when(F.col("format") == "pdf", "NO_PARSER")
     )
-    early = scan_files(spark, path).withColumn("reject_code", code).filter("reject_code IS NOT NULL").select(
+    early = listed.withColumn("reject_code", code).filter("reject_code IS NOT NULL").select(
         "path", "name", "format", "n_bytes", "reject_code")
-    readable = file_contents(spark, path, most_bytes)
     plain = readable.filter(F.col("format").isin(TEXT_FORMATS)).select(
         "path", "name", "format", "n_bytes", utf8_text(F.col("content")).alias("text"), F.lit(None).cast("string").alias("reject_code"))
     word = docx_text(readable.filter(F.col("format") == "docx"), most_bytes)

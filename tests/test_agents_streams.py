@@ -74,6 +74,17 @@ def test_ingest_files(spark, tmp_path):
     assert codes == {"x.png": "UNSUPPORTED", "bad.docx": "DOCX_UNREADABLE", "other.docx": "DOCX_NO_DOCUMENT"}
 
 
+def test_ingest_of_bytes_in_a_table(rows):
+    d = rows([("in/a.txt", bytearray(b"\xef\xbb\xbfhello")), ("in/none.txt", None), ("in/empty.md", bytearray()), ("in/x.exe", bytearray(b"MZ")),
+              ("in/long.csv", bytearray(b"x" * 200)), ("in/p.pdf", bytearray(b"%PDF")), ("in/bad.docx", bytearray(b"no archive")), ("in/a.txt", bytearray(b"hello"))],
+             "path string, content binary")
+    accepted, rejected = files.ingest_bytes(d, most_bytes=100)
+    assert [(r["name"], r["text"], r["needs_ocr"]) for r in accepted.collect()] == [("a.txt", "hello", True)] * 2
+    assert {r["name"]: r["reject_code"] for r in rejected.collect()} == {
+        "none.txt": "EMPTY", "empty.md": "EMPTY", "x.exe": "UNSUPPORTED", "long.csv": "TOO_LARGE", "p.pdf": "NO_PARSER", "bad.docx": "DOCX_UNREADABLE"}
+    assert files.ingest_bytes(d.limit(0))[0].count() == 0
+
+
 def test_image_headers(rows):
     png = bytes.fromhex("89504E470D0A1A0A0000000D49484452") + (20).to_bytes(4, "big") + (40).to_bytes(4, "big") + b"\x08\x02\x00\x00\x00"
     jpeg = bytes.fromhex("FFD8FFE000044A46FFC4000500FFC0001108") + (30).to_bytes(2, "big") + (64).to_bytes(2, "big") + b"\x03" * 8
