@@ -56,7 +56,8 @@ def overlap_pairs(
     equi-join: areas within a factor 1/min_iou (so size classes differ by a bounded number of
     steps), and a shared cell of a grid whose cells grow with the size class. A pair is
     reported only in the cell of its intersection's top left corner, so nothing is counted
-    twice and no distinct is needed.
+    twice and no distinct is needed. The cells are always shuffled: sized by its table, a side
+    would be broadcast through the driver with many times the rows that the planner knows of.
     """
     reach = max(1, math.ceil(math.log(1 / min_iou, 4)))
 
@@ -76,7 +77,7 @@ def overlap_pairs(
     r = cells(sized(right, "r_").withColumn("level", F.explode(steps)), "r_")
     side = F.pow(F.lit(2.0), F.col("level") + 2)
     home = (F.floor(F.greatest("l_x1", "r_x1") / side) == F.col("cx")) & (F.floor(F.greatest("l_y1", "r_y1") / side) == F.col("cy"))
-    pairs = l.join(r, [group, "level", "cx", "cy"]).filter(home).withColumn("iou", iou("l_", "r_", epsilon))
+    pairs = l.join(r.hint("merge"), [group, "level", "cx", "cy"]).filter(home).withColumn("iou", iou("l_", "r_", epsilon))
     return pairs.filter(F.col("iou") >= min_iou).drop("level", "cx", "cy", "l_level", "r_level")
 
 
