@@ -95,7 +95,7 @@ def xxh64_spans(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, seed:
 _SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view("<u8").ravel().copy()
 
 
-def _majority(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+def majority(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Bits that are set in over half of each text's hashes; no hashes give zero."""
     counts = np.diff(bounds)
     out = np.zeros(len(counts), np.uint64)
@@ -137,7 +137,7 @@ def block_shingles(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[n
 
 
 def block_fingerprints(data: np.ndarray, offsets: np.ndarray, width: int) -> np.ndarray:
-    return _majority(*block_shingles(data, offsets, width))
+    return majority(*block_shingles(data, offsets, width))
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4) -> DataFrame:
@@ -190,8 +190,11 @@ def near(one: np.uint64, many: np.ndarray, masks: list[np.uint64], budget: int)
     return alive[np.bitwise_count(x) <= budget]
 
 
-def spanning_links(prints: np.ndarray, masks: list[np.uint64], budget: int) -> tuple[np.ndarray, np.ndarray]:
-    """For the fingerprints of one bucket: (member, smallest of its connected part) for all but that smallest."""
+def spanning_links(prints: np.ndarray, masks: list[np.uint64], budget: int, near_only: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """For the fingerprints of one bucket: (member, smallest of its connected part) for all but that smallest.
+
+    With ``near_only`` the second is the near fingerprint from which the member was reached.
+    """
     prints = np.unique(prints)
     child, root = [], []
     left = prints
@@ -199,19 +202,23 @@ def spanning_links(prints: np.ndarray, masks: list[np.uint64], budget: int) -> t
         top, left = left[0], left[1:]
         queue = [top]
         while queue and len(left):
-            hit = near(queue.pop(), left, masks, budget)
+            one = queue.pop()
+            hit = near(one, left, masks, budget)
             if len(hit):
                 found = left[hit]
                 child.append(found)
-                root.append(np.full(len(found), top, np.uint64))
+                root.append(np.full(len(found), one if near_only else top, np.uint64))
                 queue.extend(found)
                 left = np.delete(left, hit)
     none = np.zeros(0, np.uint64)
     return (np.concatenate(child), np.concatenate(root)) if child else (none, none)
 
 
-def links(distinct: DataFrame, budget: int = 4, segments: int = 7, bucket_rows: int = 4096) -> DataFrame:
-    """Links (src, dst) that connect exactly those fingerprints (column ``fp``) that ``budget`` bits connect."""
+def links(distinct: DataFrame, budget: int = 4, segments: int = 7, bucket_rows: int = 4096, near_only: bool = False) -> DataFrame:
+    """Links (src, dst) that connect exactly those fingerprints (column ``fp``) that ``budget`` bits connect.
+
+    With ``near_only`` each link is itself of ``budget`` bits or fewer; else it may end at the smallest fingerprint of a bucket's part.
+    """
     masks = _segments(segments)
     choices = [np.bitwise_or.reduce([masks[i] for i in pick]) for pick in combinations(range(segments), segments - budget)]
     signed = [int(np.uint64(c).view(np.int64)) for c in choices]
@@ -229,7 +236,7 @@ def links(distinct: DataFrame, budget: int = 4, segments: int = 7, bucket_rows:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(prints: list[np.ndarray]):
-            child, root = spanning_links(np.concatenate(prints).view(np.uint64), masks, budget)
+            child, root = spanning_links(np.concatenate(prints).view(np.uint64), masks, budget, near_only)
             return pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), pa.array(root.view(np.int64))], names=["src", "dst"])
 
         open_key, held = None, []
