@@ -135,30 +135,47 @@ class Approvals(InOrder):
         return self.waiting[0][0] + self.timeout if self.waiting else None
 
 
+#: Groups of keys of the epoch fence. Each group of a batch costs some calls to the state, each key did before.
+FENCE_GROUPS = 1024
+
+
 class EpochFence(StatefulProcessor):
-    """Releases rows of the newest epoch of a key; state is that epoch.
+    """Releases rows of the newest epoch of a key; state is that epoch of each key of a group, in one value.
 
-    A newer epoch takes back all that the one before released, by one row without scan and payload.
+    A newer epoch takes back all that the one before released, by one row without scan and payload. Rows without a key are group -1.
     """
 
+    def __init__(self, kind: str):
+        self.kind = kind
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.newest = handle.getValueState("newest", "epoch long")
+        self.state = handle.getValueState("newest", f"tabs array<{self.kind}>, epochs array<long>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        before = newest = self.newest.get()[0] if self.newest.exists() else None
+        newest = dict(zip(*self.state.get(), strict=True)) if self.state.exists() else {}
+        changed = False
         for part in rows:
-            top = part["epoch"].max()
-            if pd.isna(top):
-                continue
-            if newest is None or top > newest:
-                if newest is not None:
-                    yield pd.DataFrame([(key[0], None, newest, None, "retract")], columns=["key", "scan_id", "epoch", "payload", "op"])
-                newest = int(top)
-            current = part[part["epoch"] == newest]
-            if len(current):
-                yield pd.DataFrame({"key": key[0], "scan_id": current["scan_id"], "epoch": newest, "payload": current["payload"], "op": "release"})
-        if newest != before:
-            self.newest.update((newest,))
+            part = part[part["epoch"].notna()]
+            tabs = part["tab_id"].tolist() if key[0] >= 0 else [None] * len(part)
+            epochs = part["epoch"].astype("int64").tolist()
+            top: dict = {}
+            for tab, epoch in zip(tabs, epochs, strict=True):
+                if epoch > top.get(tab, epoch - 1):
+                    top[tab] = epoch
+            risen = {tab: epoch for tab, epoch in top.items() if tab not in newest or epoch > newest[tab]}
+            back = [(tab, None, newest[tab], None, "retract") for tab in risen if tab in newest]
+            newest |= risen
+            changed |= bool(risen)
+            if back:
+                yield pd.DataFrame(back, columns=["key", "scan_id", "epoch", "payload", "op"])
+            held = [newest[tab] == epoch for tab, epoch in zip(tabs, epochs, strict=True)]
+            if any(held):
+                current = part[held]
+                names = [tab for tab, own in zip(tabs, held, strict=True) if own]
+                yield pd.DataFrame({"key": names, "scan_id": current["scan_id"].to_numpy(), "epoch": current["epoch"].astype("int64").to_numpy(),
+                                    "payload": current["payload"].to_numpy(), "op": "release"})
+        if changed:
+            self.state.update((list(newest), list(newest.values())))
 
     def close(self) -> None:
         pass
@@ -224,8 +241,9 @@ def epoch_stream(scans: DataFrame) -> DataFrame:
     Rows without an epoch are never released.
     """
     kind = {c: scans.schema[c].dataType.simpleString() for c in ("tab_id", "scan_id", "payload")}
-    out = scans.select("tab_id", "scan_id", "epoch", "payload").groupBy("tab_id").transformWithStateInPandas(
-        EpochFence(), f"key {kind['tab_id']}, scan_id {kind['scan_id']}, epoch long, payload {kind['payload']}, op string", "Append", "None")
+    group = F.when(F.col("tab_id").isNull(), -1).otherwise(F.pmod(F.xxhash64("tab_id"), F.lit(FENCE_GROUPS))).cast("int").alias("tabs")
+    out = scans.select(group, "tab_id", "scan_id", "epoch", "payload").groupBy("tabs").transformWithStateInPandas(
+        EpochFence(kind["tab_id"]), f"key {kind['tab_id']}, scan_id {kind['scan_id']}, epoch long, payload {kind['payload']}, op string", "Append", "None")
     return out.withColumnRenamed("key", "tab_id")
 
 

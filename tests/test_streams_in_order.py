@@ -151,3 +151,34 @@ def test_one_key_with_very_many_rows(spark, tmp_path):
         out = streams.drive(stateful.rate_limit_stream(stream, "key", "ts", "1 second", 1000), str(tmp_path / "work"))
     got = out.where("key = 0").agg(F.count("*"), F.count_if("accepted"), F.max("retry_after_ms")).first()
     assert tuple(got) == (n, n // 100, 990)
+
+
+def test_epoch_fence_calls_the_state_once_a_group():
+    """Very many keys of one group: one read and one write of the state, rows without a key included."""
+    import pandas as pd
+
+    class Value:
+        calls, held = 0, None
+
+        def exists(self):
+            return self.held is not None
+
+        def get(self):
+            self.calls += 1
+            return self.held
+
+        def update(self, value):
+            self.calls += 1
+            self.held = value
+
+    fence = stateful.EpochFence("long")
+    fence.state = Value()
+    frame = lambda rows: pd.DataFrame(rows, columns=["tab_id", "scan_id", "epoch", "payload"])
+    rows = [(t, 10 * t + e, e, "p") for t in range(3000) for e in (0, 1)]
+    out = pd.concat(fence.handleInputRows((5,), iter([frame(rows)]), None))
+    assert sorted(out["scan_id"]) == [10 * t + 1 for t in range(3000)] and set(out["op"]) == {"release"}
+    out = pd.concat(fence.handleInputRows((5,), iter([frame([(7, 1, 2, "p"), (8, 2, 0, "p"), (9, 3, None, "p")])]), None))
+    assert out[["key", "epoch", "op"]].values.tolist() == [[7, 1, "retract"], [7, 2, "release"]]
+    assert fence.state.calls == 3
+    fence.state = Value()
+    assert pd.concat(fence.handleInputRows((-1,), iter([frame([(None, 1, 2, "p"), (None, 2, 1, "p")])]), None))["scan_id"].tolist() == [1]
