@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from redactframe import rules
 from redactframe.functions.text import collapse, digits, jvm_regex, let, may_match, round_half_up, trim
+from redactframe.session import stored
 
 
 def scrub_ids(text: Column) -> Column:
@@ -61,51 +62,79 @@ def suppress_value(value: Column) -> Column:
     return F.when(F.coalesce(value, F.lit("")) != "", F.lit(rules.REDACTED))
 
 
+#: Needles of a page up to which its labels meet the whole list of them.
+FEW_NEEDLES = 256
+
+
+def _rewritten(label: Column, plan: Column) -> Column:
+    """The label with each needle of the list (sorted structs of seq and needle) replaced in turn, ignoring case."""
+    quoted = lambda n: F.concat(F.lit("(?i)"), F.regexp_replace(n, r"([\\.*+?^${}()|\[\]])", r"\\$1"))
+    return F.aggregate(plan, label, lambda acc, step: F.regexp_replace(acc, quoted(step["needle"]), F.lit(rules.REDACTED)))
+
+
 def redact_entities(fields: DataFrame, entities: DataFrame) -> DataFrame:
     """Replace PER/ORG/LOC strings inside the field labels of the same page, ignoring case.
 
     ``fields``: page_id, field_idx, label. ``entities``: page_id, seq, entity_type, text.
     Distinct entity strings apply once each, in order of first appearance (``seq``), also to
-    text an earlier one produced. Only needles that can touch a label reach it: they share a gram with the label, or with the
+    text an earlier one produced. The needles of a page are one list, which its fields meet by page; a page of more than ``FEW_NEEDLES``
+    has no list, there only needles that can touch a label reach it: they share a gram with the label, or with the
     redaction marker (a later needle may match inside or across the marker).
     """
-    from redactframe.functions.contains import GRAM, all_grams, first_gram
-
     needle = trim(F.col("text"))
-    needles = (
+    marker = rules.REDACTED.lower()
+    # A needle that is not in the label can still hit text an earlier one produced: it then lies
+    # inside the marker, holds it whole, or starts or ends with a piece of it. Such needles are rare.
+    tails = "|".join(re.escape(marker[i:]) for i in range(len(marker)))
+    heads = "|".join(re.escape(marker[:i]) for i in range(1, len(marker) + 1))
+    on_marker = (
+        F.lit(marker).contains(F.col("folded")) | F.col("folded").contains(marker)
+        | F.col("folded").rlike(f"^(?:{tails})") | F.col("folded").rlike(f"(?:{heads})$")
+    )
+    needles = stored(
         entities.filter(F.col("entity_type").isin(rules.NER_GROUPS))
         .select("page_id", "seq", needle.alias("needle"), F.lower(needle).alias("folded"))
         .filter(F.length("needle") >= 2)
         .groupBy("page_id", "folded")
         .agg(F.min_by("needle", "seq").alias("needle"), F.min("seq").alias("seq"))
+        .select("page_id", "seq", "needle", "folded", on_marker.alias("on_marker"))
     )
+    many = stored(needles.groupBy("page_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > FEW_NEEDLES).select("page_id"))
+    if many.isEmpty():
+        return _redact_by_page(fields, needles)
+    few = _redact_by_page(fields.join(many, "page_id", "left_anti").select(fields.columns), needles.join(many, "page_id", "left_anti"))
+    rest = fields.join(many, "page_id", "left_semi").select(fields.columns)
+    return few.unionByName(_redact_by_gram(rest, needles.join(many, "page_id", "left_semi")))
+
+
+def _redact_by_page(fields: DataFrame, needles: DataFrame) -> DataFrame:
+    """Labels against the list of needles of their page, after one shuffle of the fields."""
+    lists = needles.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("seq", "needle", "folded", "on_marker"))).alias("__list"))
+    low = F.lower("label")
+    touched = F.exists("__list", lambda n: F.contains(low, n["folded"]))
+    plan = F.filter("__list", lambda n: n["on_marker"] | F.contains(low, n["folded"]))
+    own = F.when(touched, _rewritten(F.col("label"), plan)).otherwise(F.col("label"))
+    return fields.join(lists, "page_id", "left").select(*fields.columns, own.alias("redacted_label"))
+
+
+def _redact_by_gram(fields: DataFrame, needles: DataFrame) -> DataFrame:
+    """Distinct labels against the needles that share a gram with them."""
+    from redactframe.functions.contains import GRAM, all_grams, first_gram
+
     labels = fields.select("page_id", "label").filter(F.length("label") > 0).distinct()
-    marker = rules.REDACTED.lower()
     gram = first_gram(F.col("folded"), GRAM)
     candidates = (
-        labels.withColumn("gram", F.explode(all_grams(F.lower("label"), GRAM)))
+        labels.withColumn("gram", F.explode(all_grams(F.lower("label"), GRAM, 2)))
         .join(needles.withColumn("gram", gram), ["page_id", "gram"])
         .filter(F.contains(F.lower("label"), F.col("folded")))
         .select("page_id", "label", "seq", "needle")
     )
-    # A needle that is not in the label can still hit text an earlier one produced: it then lies
-    # inside the marker, holds it whole, or starts or ends with a piece of it. Such needles are rare.
-    tails = "|".join(re.escape(marker[i:]) for i in range(len(marker)))
-    heads = "|".join(re.escape(marker[:i]) for i in range(1, len(marker) + 1))
-    on_marker = needles.filter(
-        F.lit(marker).contains(F.col("folded")) | F.col("folded").contains(marker)
-        | F.col("folded").rlike(f"^(?:{tails})") | F.col("folded").rlike(f"(?:{heads})$")
-    ).select("page_id", "seq", "needle")
     touched = candidates.select("page_id", "label").distinct()
-    pairs = candidates.unionByName(touched.join(on_marker, "page_id")).distinct()
+    pairs = candidates.unionByName(touched.join(needles.filter("on_marker").select("page_id", "seq", "needle"), "page_id")).distinct()
     plan = pairs.groupBy("page_id", "label").agg(
         F.array_sort(F.collect_list(F.struct("seq", "needle"))).alias("plan")
     )
-    quoted = lambda n: F.concat(F.lit("(?i)"), F.regexp_replace(n, r"([\\.*+?^${}()|\[\]])", r"\\$1"))
-    rewritten = F.aggregate(
-        "plan", F.col("label"), lambda acc, step: F.regexp_replace(acc, quoted(step["needle"]), F.lit(rules.REDACTED))
-    )
-    done = plan.select("page_id", "label", rewritten.alias("redacted"))
+    done = plan.select("page_id", "label", _rewritten(F.col("label"), F.col("plan")).alias("redacted"))
     return fields.join(done, ["page_id", "label"], "left").select(
         *[c for c in fields.columns], F.coalesce("redacted", "label").alias("redacted_label")
     )
