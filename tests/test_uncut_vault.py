@@ -54,3 +54,21 @@ def test_one_long_claim_moves_little(spark, rows):
     # rows leave the scan as matched needles only: nothing explodes texts into places or slices
     text = plan._jdf.queryExecution().optimizedPlan().toString()
     assert text.count("MapInArrow") == 1 and "Generate" not in text
+
+
+def test_spans_are_handed_on_once_a_task():
+    """The same texts again and again: what was handed on before is not new, and no key is lost."""
+    import numpy as np
+
+    from redactframe.functions.spans import Recent
+
+    rng = np.random.default_rng(2)
+    keys = np.append(rng.integers(0, 2**64, 5000, dtype=np.uint64), np.arange(300, dtype=np.uint64))
+    recent = Recent(1 << 20)
+    assert recent.new(keys).all() or len(np.unique(keys & recent.last)) < len(keys)
+    again = recent.new(keys)
+    assert again.sum() < 200  # those that another key of their cell replaced
+    few = Recent(4)
+    for key in (0, 1, 2, 3, 4, 0):
+        assert few.new(np.array([key], np.uint64))[0]
+    assert not few.new(np.array([0], np.uint64))[0]
