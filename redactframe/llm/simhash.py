@@ -218,6 +218,9 @@ def links(distinct: DataFrame, budget: int = 4, segments: int = 7, bucket_rows:
     """Links (src, dst) that connect exactly those fingerprints (column ``fp``) that ``budget`` bits connect.
 
     With ``near_only`` each link is itself of ``budget`` bits or fewer; else it may end at the smallest fingerprint of a bucket's part.
+
+    Choices and buckets are always shuffled: the planner sizes them by the fingerprints, not by the rows that each expands to, and would
+    broadcast, through the driver, many times what it reckons with.
     """
     masks = _segments(segments)
     choices = [np.bitwise_or.reduce([masks[i] for i in pick]) for pick in combinations(range(segments), segments - budget)]
@@ -226,7 +229,7 @@ def links(distinct: DataFrame, budget: int = 4, segments: int = 7, bucket_rows:
     tasks = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keyed = distinct.repartition(tasks, F.xxhash64("fp")).select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(c)) for c in signed])).alias("pick", "bits"))
     sizes = keyed.groupBy("pick", "bits").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = keyed.join(sizes, ["pick", "bits"])
+    met = keyed.hint("merge").join(sizes.hint("merge"), ["pick", "bits"])
     # a bucket of g blocks: each fingerprint goes to the g pairs of blocks that hold its own
     parts = F.ceil(F.col("n") / F.lit(bucket_rows)).cast("int")
     own = F.pmod(F.xxhash64("fp"), parts).cast("int")

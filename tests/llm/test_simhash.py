@@ -84,3 +84,11 @@ def test_components_of_long_path_and_star(spark):
     assert {k: v for k, v in got.items() if k != v} == want
 
 
+@pytest.mark.parametrize("near_only", [True, False])
+def test_choices_are_not_broadcast(spark, tmp_path, near_only):
+    """A small file of fingerprints expands to 35 rows each: the planner, which counts the file, must not send those through the driver."""
+    spark.createDataFrame([(x,) for x in (0b0111, 0, -1, 1 << 40)], "fp long").write.parquet(f"{tmp_path}/prints")
+    found = simhash.links(spark.read.parquet(f"{tmp_path}/prints"), near_only=near_only)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    parts = brute.components([(r["src"], r["dst"]) for r in found.collect()], [0b0111, 0, -1, 1 << 40])
+    assert parts[0b0111] == parts[0] == parts[1 << 40] != parts[-1]
