@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from functools import reduce
+import sys
+from functools import cache, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -85,6 +86,22 @@ def any_match(text: Column, patterns: list[str], ignore_case: bool = False) -> C
     return reduce(lambda a, b: a | b, [matches(text, p, ignore_case) for p in patterns])
 
 
+@cache
+def _capitals() -> tuple[str, str]:
+    """Letters with a capital that is one character, and these capitals."""
+    pairs = []
+    for c in map(chr, range(sys.maxunicode + 1)):
+        up = "\u1e9e" if c == "\u00df" else next((x for x in (c.upper(), c.title()) if len(x) == 1), c)
+        if up != c:
+            pairs.append((c, up))
+    return "".join(c for c, _ in pairs), "".join(up for _, up in pairs)
+
+
+def capitals(text: Column) -> Column:
+    """Upper case, letter by letter, as SQL engines have it: Spark's own upper() makes two or three letters of some."""
+    return F.translate(text, *_capitals())
+
+
 def trim(text: Column) -> Column:
     return F.btrim(text, F.lit(WHITESPACE))
 

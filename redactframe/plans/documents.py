@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from redactframe import rules
+from redactframe.functions.text import capitals
 from redactframe.operators import documents as D
 from redactframe.plans import sqltext as q
 from redactframe.plans.registry import query
@@ -192,26 +193,20 @@ def vault_purge(spark, sf):
     return D.vault_purge(derived(spark, sf, "profile_entries"))[1]
 
 
-def _shout(x: str) -> str:
-    # ASCII only: the capital of some other letters differs from engine to engine
-    return f"translate({x}, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')"
-
-
 @query("vault_contains", oracle=f"""WITH v AS ({VAULT_BASE}), {retention_sql('v', rules.VAULT_MAX_BYTES)},
- c AS (SELECT doc_id AS claim_id, source AS owner_id, CASE WHEN doc_id % 3 = 0 THEN ' x ' ELSE {_shout('substr(text, 1 + doc_id % 20, 4 + doc_id % 5)')} END AS value FROM documents)
+ c AS (SELECT doc_id AS claim_id, source AS owner_id, CASE WHEN doc_id % 3 = 0 THEN ' x ' ELSE upper(substr(text, 1 + doc_id % 20, 4 + doc_id % 5)) END AS value FROM documents)
  SELECT claim_id, owner_id, value FROM c WHERE length({q.trim('value')}) >= 2 AND EXISTS (SELECT 1 FROM w WHERE w.owner_id = c.owner_id AND contains(lower(w.text), lower({q.trim('c.value')})))""")
 def vault_contains(spark, sf):
     return D.vault_contains(_claims(spark, sf), D.vault_retention(_vault_input(spark, sf))).select("claim_id", "owner_id", "value")
 
 
 def _claims(spark, sf):
-    return table(spark, sf, "documents").selectExpr(
-        "doc_id AS claim_id", "source AS owner_id",
-        f"CASE WHEN doc_id % 3 = 0 THEN ' x ' ELSE {_shout('substr(text, cast(1 + doc_id % 20 AS int), cast(4 + doc_id % 5 AS int))')} END AS value",
-    )
+    part = F.expr("substr(text, cast(1 + doc_id % 20 AS int), cast(4 + doc_id % 5 AS int))")
+    value = F.when(F.col("doc_id") % 3 == 0, " x ").otherwise(capitals(part))
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("claim_id"), F.col("source").alias("owner_id"), value.alias("value"))
 
 
-@query("vault_contains_all", oracle=f"""WITH c AS (SELECT doc_id AS claim_id, source AS owner_id, CASE WHEN doc_id % 3 = 0 THEN ' x ' ELSE {_shout('substr(text, 1 + doc_id % 20, 4 + doc_id % 5)')} END AS value FROM documents)
+@query("vault_contains_all", oracle=f"""WITH c AS (SELECT doc_id AS claim_id, source AS owner_id, CASE WHEN doc_id % 3 = 0 THEN ' x ' ELSE upper(substr(text, 1 + doc_id % 20, 4 + doc_id % 5)) END AS value FROM documents)
  SELECT claim_id, owner_id, value FROM c WHERE length({q.trim('value')}) >= 2 AND EXISTS (SELECT 1 FROM documents w WHERE w.source = c.owner_id AND contains(lower(w.text), lower({q.trim('c.value')})))""")
 def vault_contains_all(spark, sf):
     """Claims against every document of their owner."""

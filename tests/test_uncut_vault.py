@@ -1,5 +1,10 @@
 import random
 
+import duckdb
+import pytest
+
+import __spark_entry__
+from redactframe.functions.text import capitals
 from redactframe.operators import documents as D
 
 
@@ -72,3 +77,23 @@ def test_spans_are_handed_on_once_a_task():
     for key in (0, 1, 2, 3, 4, 0):
         assert few.new(np.array([key], np.uint64))[0]
     assert not few.new(np.array([0], np.uint64))[0]
+
+
+def test_capitals_are_those_of_sql(rows):
+    letters = [chr(i) for i in range(1, 0x110000) if not 0xD800 <= i < 0xE000]
+    letters = [x for x in letters if x.upper() != x or x.title() != x or x.lower() != x]
+    text = "".join(letters)
+    want = duckdb.execute("SELECT upper(?)", [text]).fetchone()[0]
+    assert rows([(text,)], "t string").select(capitals("t")).first()[0] == want
+
+
+@pytest.mark.parametrize("name", ["vault_contains", "vault_contains_all"])
+def test_claims_are_in_capitals_of_all_letters(spark, rows, tmp_path, name):
+    """Claims are capitals of every letter, not of A to Z alone; the SQL makes the same."""
+    docs = [(1, "  größe é ñandú", "s"), (2, "x. straße été", "s"), (4, "....ﬁne ŉa ʼn", "s"), (5, "abcdefgßß", "t"), (7, None, "t"), (None, "éé", "t"), (6, "x y", "s")]
+    rows(docs, "doc_id long, text string, source string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r["claim_id"], r["owner_id"], r["value"]) for r in __spark_entry__.queries()[name](spark, str(tmp_path)).collect()}
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+        assert got == set(con.execute(__spark_entry__.oracle_sql()[name]).fetchall())
+    assert {v for _, _, v in got} >= {" GRÖẞ", "FGẞẞ"}
