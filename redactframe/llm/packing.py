@@ -52,8 +52,8 @@ def token_ids(path: str, text: str) -> np.ndarray:
     return np.asarray(encoder(path).encode_to_numpy(text, allowed_special="all"), "<u4")
 
 
-def pieces(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", limit: int = 1024, end_id: int = 2) -> DataFrame:
-    """``id``, ``piece``, ``start``, ``length``, ``crc`` of every piece; a null text is the end token alone."""
+def pieces(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", limit: int = 1024, end_id: int = 2, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``id``, ``piece``, ``start``, ``length``, ``crc`` of every piece, and the columns ``keep`` of its document; a null text is the end token alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -69,13 +69,15 @@ def pieces(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
             rows = [known[i] for i in texts.indices.to_pylist()]
             count = np.array([len(r[0]) for r in rows], np.int64)
             numbers = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            own = pa.array(np.repeat(np.arange(len(rows)), count))
             yield pa.RecordBatch.from_arrays([
-                batch.column(0).take(pa.array(np.repeat(np.arange(len(rows)), count))), pa.array(numbers, pa.int32()),
+                batch.column(0).take(own), pa.array(numbers, pa.int32()),
                 pa.array(np.concatenate([r[0] for r in rows] or [[]]), pa.int64()), pa.array(np.concatenate([r[1] for r in rows] or [[]]), pa.int64()),
-                pa.array([c for r in rows for c in r[2]], pa.int64())], names=["id", "piece", "start", "length", "crc"])
+                pa.array([c for r in rows for c in r[2]], pa.int64()), *(x.take(own) for x in batch.columns[2:])], names=["id", "piece", "start", "length", "crc", *keep])
 
     shape = T.StructType([T.StructField("id", docs.schema[key].dataType)]).add("piece", "integer").add("start", "long").add("length", "long").add("crc", "long")
-    return docs.select(F.col(key).alias("id"), F.col(text).alias("text")).mapInArrow(run, shape)
+    shape = T.StructType([*shape.fields, *(docs.schema[c] for c in keep)])
+    return docs.select(F.col(key).alias("id"), F.col(text).alias("text"), *keep).mapInArrow(run, shape)
 
 
 def exact_patterns(lengths: np.ndarray, limit: int) -> np.ndarray:
@@ -207,14 +209,15 @@ def make_plan(counts: np.ndarray, limit: int) -> Plan:
     return Plan((length << 44) + number, first, offset, base)
 
 
-def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", limit: int = 1024, end_id: int = 2, cell_rows: int = 512) -> DataFrame:
-    """One row per piece: ``id``, ``piece``, ``start``, ``length``, ``crc``, ``sequence``, ``offset``.
+def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", limit: int = 1024, end_id: int = 2, cell_rows: int = 512,
+         keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per piece: ``id``, ``piece``, ``start``, ``length``, ``crc``, the columns ``keep`` of its document, ``sequence``, ``offset``.
 
     A document is its token ids and ``end_id``; one longer than ``limit`` is cut so that all but its first piece are
     full. Null and empty texts are the end token alone. Repeated rows are packed each; an empty table has no pieces.
     """
     small_batches(docs.sparkSession)
-    rows = written(pieces(docs, path, key, text, limit, end_id).withColumn("row", F.monotonically_increasing_id()), "pieces")
+    rows = written(pieces(docs, path, key, text, limit, end_id, keep).withColumn("row", F.monotonically_increasing_id()), "pieces")
     counts = np.zeros(limit + 1, np.int64)
     for r in rows.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect():  # at most ``limit`` rows
         counts[r["length"]] = r["n"]
@@ -226,6 +229,6 @@ def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", li
             columns = [*batch.columns[:-1], pa.array(sequence, pa.int64()), pa.array(offset, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], "sequence", "offset"])
 
-    placed = numbered(rows, "length", counts.tolist(), ["row"], "number", cell_rows).select("id", "piece", "start", "length", "crc", "number")
+    placed = numbered(rows, "length", counts.tolist(), ["row"], "number", cell_rows).select("id", "piece", "start", "length", "crc", *keep, "number")
     shape = T.StructType(placed.schema.fields[:-1]).add("sequence", "long").add("offset", "long")
     return placed.mapInArrow(run, shape)

@@ -48,6 +48,21 @@ def test_language_stage_rejects_unlearned_scripts(spark, rows):
     assert sorted(r["doc_id"] for r in out.collect()) == sorted(r["doc_id"] for r in docs.collect())
 
 
+def test_found_language_goes_on_to_the_pieces(spark, rows):
+    """The stage gives the language that the model finds, not the given one, and the packed pieces have it."""
+    words = {"en": "the of and with this that from have", "de": "der und nicht eine wird auch über größe"}
+    text = lambda lang, i: " ".join(f"{w} {words[lang].split()[i % 8]}" for w in words[lang].split())
+    known = [(i, text(lang, i // 2), lang, "s", 1, "") for i in range(80) for lang in [("en", "de")[i % 2]]]
+    odd = [(100, text("de", 3), None, "s", 1, ""), (101, text("en", 3), "und", "s", 1, ""), (None, text("de", 4), "en", "s", 1, ""), (103, " ".join([text("de", 5)] * 50), None, "s", 1, "")]
+    want = {100: "de", 101: "en", None: "de", 103: "de"}
+    out = P.language_id(spark, rows(known + odd, COLUMNS), SMALL)
+    assert {r["doc_id"]: r["lang"] for r in out.collect() if r["doc_id"] in want} == want
+    assert {r["doc_id"]: r["lang"] for r in out.collect() if r["doc_id"] not in want} == {i: lang for i, _, lang, *_ in known}
+    placed = P.pack_sequences(spark, out, SMALL).collect()
+    assert {(r["doc_id"], r["lang"]) for r in placed if r["doc_id"] in want} == set(want.items())
+    assert [(r["piece"], r["lang"]) for r in sorted(placed, key=lambda r: r["piece"]) if r["doc_id"] == 103] == [(0, "de"), (1, "de")]
+
+
 def test_line_stage(spark, docs):
     out = P.dedup_lines(spark, docs, SMALL)
     assert out.columns == docs.columns
